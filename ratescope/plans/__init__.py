@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("rates", "cubes", "derivations", "quality")
+FAMILIES = ("drift", "sources", "rates", "cubes", "derivations", "quality")
 
 
 def load() -> None:
