@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("drift", "sources", "rates", "cubes", "derivations", "quality")
+FAMILIES = ("splits", "metrics", "reports", "drift", "sources", "rates", "cubes", "derivations", "quality")
 
 
 def load() -> None:
