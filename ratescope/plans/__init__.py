@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("splits", "metrics", "reports", "drift", "sources", "rates", "cubes", "derivations", "quality")
+FAMILIES = (
+    "rates",
+    "cubes",
+    "derivations",
+    "quality",
+    "sources",
+    "drift",
+    "splits",
+    "metrics",
+    "models",
+    "reports",
+)
 
 
 def load() -> None:

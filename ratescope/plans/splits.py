@@ -20,12 +20,11 @@ FOLD_SQL = "f AS (" + " UNION ALL ".join(
 ) + ")"
 
 
-@query("expanding_folds", f"WITH {FOLD_SQL} SELECT * FROM f, (SELECT count(*) AS n FROM region) WHERE n > 0")
+@query("expanding_folds", f"WITH {OCC}, {FOLD_SQL} SELECT * FROM f WHERE period IN (SELECT period FROM occ)")
 def expanding_folds(spark, folder):
     periods = occurrences(spark, folder).where(F.col("period") < FINAL).select("period").distinct()
     table = splits.fold_periods(spark, FOLDS)
-    used = table.join(periods, "period", "left_semi")
-    return used.select("fold", "side", "period", F.lit(5).cast("bigint").alias("n"))
+    return table.join(periods, "period", "left_semi").select("fold", "side", "period")
 
 
 @query(
