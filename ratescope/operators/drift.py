@@ -19,8 +19,8 @@ from ratescope.operators.quality import calendar_coverage, time_coverage
 from ratescope.operators.statistics import (
     DECILES,
     QUARTILES_AND_TAIL,
-    quantile_columns,
-    running_totals,
+    ROWS_PER_RANGE,
+    quantile_table,
 )
 from ratescope.operators.tokens import explode_tokens
 from ratescope.runtime import settle
@@ -198,20 +198,17 @@ def numeric_drift(
     comparison: Sequence[int],
     period: str = "period",
     shares: Sequence[float] = DECILES,
+    rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Statistics of both sides and a distance: over development deciles for continuous columns,
-    over exact values for discrete ones. Runs one job to settle the value counts."""
+    over exact values for discrete ones. Value counts and statistics are settled on the way."""
     cells = side_cells(df, [*continuous, *discrete], development, comparison, period)
-    key = ["side", "variable"]
-    ranked = running_totals(cells, "value", ["n"], key).join(
-        cells.groupBy(*key).agg(F.sum("n").alias("rows")), key
-    )
-    stats = ranked.groupBy(*key).agg(
-        F.sum("n").alias("n"),
-        F.min("value").alias("minimum"),
-        *quantile_columns(QUARTILES_AND_TAIL),
-        (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
-        F.max("value").alias("maximum"),
+    quantiles = {f"_q{i}": p for i, p in enumerate(shares)}
+    # One row per side and variable; it feeds the edges, the bins and the result.
+    stats = settle(
+        quantile_table(
+            cells, ["side", "variable"], QUARTILES_AND_TAIL | quantiles, rows_per_range=rows_per_range
+        )
     )
     names = ["n", "minimum", *QUARTILES_AND_TAIL, "mean", "maximum"]
     wide = stats.groupBy("variable").agg(
@@ -221,12 +218,9 @@ def numeric_drift(
             for n in names
         ]
     )
-    quantiles = {f"_q{i}": p for i, p in enumerate(shares)}
-    edges = (
-        ranked.where((F.col("side") == "development") & F.col("variable").isin(*continuous))
-        .groupBy("variable")
-        .agg(*quantile_columns(quantiles))
-        .select("variable", F.array_distinct(F.array(*quantiles)).alias("edges"))
+    of_development = (F.col("side") == "development") & F.col("variable").isin(*continuous)
+    edges = stats.where(of_development).select(
+        "variable", F.array_distinct(F.array(*quantiles)).alias("edges")
     )
     binned = apply_bins(cells, edges, ["side"]).withColumnRenamed("rows", "n")
     exact = cells.where(F.col("variable").isin(*discrete))

@@ -17,6 +17,7 @@ from ratescope.operators.joins import alignment_report
 from ratescope.operators.quality import check_rules, predictor_rules
 from ratescope.operators.splits import Fold, fold_periods
 from ratescope.operators.tokens import token_indicators
+from ratescope.runtime import settle
 
 
 @dataclass(frozen=True)
@@ -230,7 +231,9 @@ def check_matrix(df: DataFrame, recipe: Recipe) -> DataFrame:
 # --- categories unseen in training -----------------------------------------------------------
 
 
-def _fold_cells(df, features, folds, period) -> DataFrame:
+def fold_cells(
+    df: DataFrame, features: Sequence[str], folds: Sequence[Fold], period: str = "period"
+) -> DataFrame:
     """(fold, feature, value, train, validation) from one grouping of the table."""
     counts = (
         long_values(df, features, [period])
@@ -248,45 +251,42 @@ def _fold_cells(df, features, folds, period) -> DataFrame:
     )
 
 
-def unknown_audit(
-    df: DataFrame, features: Sequence[str], folds: Sequence[Fold], period: str = "period"
-) -> DataFrame:
+def _unseen() -> Column:
+    return (F.col("train") == 0) & (F.col("validation") > 0)
+
+
+def unknown_audit(cells: DataFrame) -> DataFrame:
     """Per fold and feature: categories on both sides and validation rows with an unseen one."""
-    unseen = (F.col("train") == 0) & (F.col("validation") > 0)
-    rows = F.coalesce(F.sum(F.when(unseen, F.col("validation"))), F.lit(0))
-    return (
-        _fold_cells(df, features, folds, period)
-        .groupBy("fold", "feature")
-        .agg(
-            F.count_if(F.col("train") > 0).alias("train_categories"),
-            F.count_if(F.col("validation") > 0).alias("validation_categories"),
-            F.count_if(unseen).alias("unknown_categories"),
-            rows.alias("rows_with_unknown"),
-            percent(rows, F.sum("validation")).alias("unknown_share_percent"),
-        )
+    rows = F.coalesce(F.sum(F.when(_unseen(), F.col("validation"))), F.lit(0))
+    return cells.groupBy("fold", "feature").agg(
+        F.count_if(F.col("train") > 0).alias("train_categories"),
+        F.count_if(F.col("validation") > 0).alias("validation_categories"),
+        F.count_if(_unseen()).alias("unknown_categories"),
+        rows.alias("rows_with_unknown"),
+        percent(rows, F.sum("validation")).alias("unknown_share_percent"),
     )
 
 
-def unknown_values(
-    df: DataFrame, features: Sequence[str], folds: Sequence[Fold], period: str = "period"
-) -> DataFrame:
+def unknown_values(cells: DataFrame) -> DataFrame:
     """The unseen categories themselves, one row each."""
-    return (
-        _fold_cells(df, features, folds, period)
-        .where((F.col("train") == 0) & (F.col("validation") > 0))
-        .select("fold", "feature", "value", F.col("validation").alias("rows"))
+    return cells.where(_unseen()).select(
+        "fold", "feature", "value", F.col("validation").alias("rows")
     )
 
 
 def rows_with_any_unknown(
-    df: DataFrame, features: Sequence[str], folds: Sequence[Fold], period: str = "period"
+    df: DataFrame,
+    cells: DataFrame,
+    features: Sequence[str],
+    folds: Sequence[Fold],
+    period: str = "period",
 ) -> DataFrame:
     """Per fold: validation rows with at least one unseen category, each row counted once.
 
-    The unseen categories of a validation period are found by grouping; a left join per feature
-    marks the rows. Spark broadcasts those lists when their measured size allows it.
+    A left join per feature marks the rows. Spark broadcasts the list of unseen categories when its
+    measured size allows it, and otherwise splits hot values itself (adaptive skew join).
     """
-    unseen = unknown_values(df, features, folds, period)
+    unseen = unknown_values(cells)
     validated = fold_periods(df.sparkSession, folds, period).where("side = 'validation'")
     marked = df.join(validated.select("fold", period), period).select("fold", *features)
     hit = F.lit(False)
@@ -303,9 +303,12 @@ def rows_with_any_unknown(
 def fold_preprocessing_summary(
     df: DataFrame, recipe: Recipe, folds: Sequence[Fold], period: str = "period"
 ) -> DataFrame:
-    """One row per fold: sizes, output width by group, and unseen-category counts."""
-    audit = unknown_audit(df, recipe.categorical, folds, period)
-    per_fold = audit.groupBy("fold").agg(
+    """One row per fold: sizes, output width by group, and unseen-category counts.
+
+    The fold cells are settled, because every feature's join reads them.
+    """
+    cells = settle(fold_cells(df, recipe.categorical, folds, period))
+    per_fold = unknown_audit(cells).groupBy("fold").agg(
         F.sum("train_categories").alias("categorical_outputs"),
         F.sum("rows_with_unknown").alias("unknown_occurrences"),
     )
@@ -322,7 +325,7 @@ def fold_preprocessing_summary(
     )
     return (
         sizes.join(per_fold, "fold")
-        .join(rows_with_any_unknown(df, recipe.categorical, folds, period), "fold")
+        .join(rows_with_any_unknown(df, cells, recipe.categorical, folds, period), "fold")
         .select(
             "fold",
             "train_rows",

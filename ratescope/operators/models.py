@@ -19,13 +19,18 @@ LABEL = "_label"
 Fit = Callable[[DataFrame, Recipe, str], PipelineModel]
 
 
-def _labelled(df: DataFrame, flag: str) -> DataFrame:
-    return df.withColumn(LABEL, F.col(flag).cast("double"))
-
-
 def _fit(train: DataFrame, recipe: Recipe, flag: str, estimator) -> PipelineModel:
-    stages = [*recipe_stages(train, recipe), estimator]
-    return Pipeline(stages=stages).fit(_labelled(train, flag))
+    """Fit the recipe, then the estimator on the encoded rows.
+
+    The encoded rows are read once per iteration, so they are spread evenly first: a few large
+    input files would otherwise keep most cores idle through the whole fit.
+    """
+    encoder = Pipeline(stages=recipe_stages(train, recipe)).fit(train)
+    encoded = encoder.transform(train).select(
+        recipe.output, F.col(flag).cast("double").alias(LABEL)
+    )
+    fitted = estimator.fit(encoded.hint("rebalance"))
+    return PipelineModel(stages=[*encoder.stages, fitted])
 
 
 def fit_logistic(

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ratescope.functions import count_below, outcome_label, ratio_or_zero
 from ratescope.operators.statistics import (
     ROWS_PER_RANGE,
-    quantile_columns,
-    ranked_cells,
+    frequency_cells,
+    quantile_table,
     running_totals,
 )
 from ratescope.runtime import settle
@@ -245,28 +245,19 @@ def calibration_table(
     """
     cells = score_cells(df, flag, score, by)
     keys = list(by)
-    sizes = cells.withColumn("n", F.col("pos") + F.col("neg"))
-    ranked = running_totals(sizes, "score", ["n"], keys, rows_per_range=rows_per_range)
+    sizes = cells.select(
+        *keys,
+        F.lit("score").alias("variable"),
+        F.col("score").alias("value"),
+        (F.col("pos") + F.col("neg")).alias("n"),
+    )
     borders = {f"_q{i}": i / bins for i in range(1, bins)}
-    stacked = ranked.withColumnRenamed("score", "value")
+    table = quantile_table(sizes, [*keys, "variable"], borders, rows_per_range=rows_per_range)
+    edges = table.select(*keys, F.array(*borders).alias("edges"))
     if keys:
-        totals = sizes.groupBy(*keys).agg(F.sum("n").alias("rows"))
-        edges = (
-            stacked.join(totals, keys)
-            .groupBy(*keys)
-            .agg(*quantile_columns(borders))
-            .select(*keys, F.array(*borders).alias("edges"))
-        )
         located = cells.join(edges, keys)
     else:
-        total = sizes.agg(F.sum("n")).scalar()
-        edges = (
-            stacked.withColumn("rows", total)
-            .agg(*quantile_columns(borders))
-            .select(F.array(*borders))
-            .scalar()
-        )
-        located = cells.withColumn("edges", edges)
+        located = cells.withColumn("edges", edges.scalar())
     n = F.col("pos") + F.col("neg")
     number = F.dense_rank().over(Window.partitionBy(*keys).orderBy("_bin"))
     return (
@@ -308,13 +299,7 @@ def outcome_profile(
     """Rows, share and score distribution per TP, FP, FN and TN."""
     labelled = df.select(outcome_label(flag, decision).alias("outcome"), F.col(score).alias("score"))
     shares = {"p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}
-    ranked = ranked_cells(labelled, ["score"], ["outcome"], rows_per_range)
-    profile = ranked.groupBy("outcome").agg(
-        F.sum("n").alias("rows"),
-        (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
-        *quantile_columns(shares),
-        F.min("value").alias("minimum"),
-        F.max("value").alias("maximum"),
-    )
+    cells = settle(frequency_cells(labelled, ["score"], ["outcome"])).drop("variable")
+    profile = quantile_table(cells, ["outcome"], shares, rows_per_range=rows_per_range)
     total = df.agg(F.count(F.lit(1))).scalar()
-    return profile.withColumn("share", F.col("rows") / total)
+    return profile.withColumnRenamed("n", "rows").withColumn("share", F.col("rows") / total)

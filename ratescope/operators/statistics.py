@@ -1,14 +1,13 @@
 """Exact running totals and quantiles over a global order, without a single-task window.
 
 A window without partitions moves every distinct value into one task. Here the distinct values are
-cut into ranges first; each range is a window of its own, and the small table of range totals
-supplies what lies before it. The result is the same as that of the plain window.
+cut into ranges first, each a window of its own, and the small table of range totals supplies what
+lies before it. Quantiles go further: only the ranges that hold a wanted position are sorted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -17,29 +16,50 @@ from pyspark.sql import functions as F
 from ratescope.functions import is_finite
 from ratescope.runtime import settle
 
-ROWS_PER_RANGE = 1_000_000
+#: Distinct values one window may hold before the values are cut into ranges.
+ROWS_PER_RANGE = 200_000
+FIRST_RANGES = 1_000
 MAXIMUM_RANGES = 10_000
+#: Largest number of range rows that is sent to every task.
+BROADCAST_ROWS = 200_000
 
-# The quantiles reported for a numeric column.
+# The quantiles reported for a numeric column, and the decile shares.
 QUARTILES_AND_TAIL = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 DECILES = tuple(i / 10 for i in range(1, 10))
 
 
+# --- ranges ----------------------------------------------------------------------------------
+
+
 def range_cuts(cells: DataFrame, value: str, rows_per_range: int) -> list[float]:
     """Inner borders of value ranges with about ``rows_per_range`` cells each.
 
     Only these few numbers reach the driver (at most ``MAXIMUM_RANGES``), from a mergeable sketch.
     The borders need not be exact: they decide how work is split, not what comes out.
     """
-    ranges = min(-(-cells.count() // rows_per_range), MAXIMUM_RANGES)
+
+    def sketch(ranges: int):
+        shares = [i / ranges for i in range(1, ranges)]
+        accuracy = max(10_000, 10 * ranges)
+        cuts = F.percentile_approx(F.col(value).cast("double"), shares, accuracy)
+        return cells.agg(F.count(F.lit(1)).alias("cells"), cuts.alias("cuts")).first()
+
+    found = sketch(FIRST_RANGES)
+    ranges = min(-(-found["cells"] // rows_per_range), MAXIMUM_RANGES)
     if ranges <= 1:
         return []
-    shares = [i / ranges for i in range(1, ranges)]
-    accuracy = max(10_000, 10 * ranges)
-    cuts = cells.agg(
-        F.percentile_approx(F.col(value).cast("double"), shares, accuracy).alias("cuts")
-    ).first()["cuts"]
-    return sorted(set(cuts))
+    cuts = found["cuts"] if ranges <= FIRST_RANGES else sketch(ranges)["cuts"]
+    step = max(1, (len(cuts) + 1) // ranges)
+    return sorted(set(cuts[step - 1 :: step]))
+
+
+def located(cells: DataFrame, value: str, cuts: Sequence[float]) -> DataFrame:
+    """Cells with the number of their range."""
+    splits = [float("-inf"), *cuts, float("inf")]
+    with_input = cells.withColumn("_x", F.col(value).cast("double"))
+    return (
+        Bucketizer(splits=splits, inputCol="_x", outputCol="_range").transform(with_input).drop("_x")
+    )
 
 
 def running_totals(
@@ -62,84 +82,152 @@ def running_totals(
         upto = Window.partitionBy(*by).orderBy(way).rowsBetween(Window.unboundedPreceding, 0)
         return cells.withColumns({f"cum_{s}": F.sum(s).over(upto) for s in sums})
 
-    splits = [float("-inf"), *cuts, float("inf")]
-    located = Bucketizer(splits=splits, inputCol="_x", outputCol="_range").transform(
-        cells.withColumn("_x", F.col(value).cast("double"))
-    )
+    placed = located(cells, value, cuts)
     key = [*by, "_range"]
     range_way = F.desc("_range") if descending else F.asc("_range")
     before = Window.partitionBy(*by).orderBy(range_way).rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        located.groupBy(*key)
+        placed.groupBy(*key)
         .agg(*[F.sum(s).alias(f"_{s}") for s in sums])
         .select(*key, *[F.coalesce(F.sum(f"_{s}").over(before), F.lit(0)).alias(f"_{s}") for s in sums])
     )
+    # The window already spreads the cells by (by, range), so the join moves only the starts.
     inside = Window.partitionBy(*key).orderBy(way).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        located.withColumns({f"cum_{s}": F.sum(s).over(inside) for s in sums})
+        placed.withColumns({f"cum_{s}": F.sum(s).over(inside) for s in sums})
         .join(starts, key)
         .withColumns({f"cum_{s}": F.col(f"cum_{s}") + F.col(f"_{s}") for s in sums})
-        .drop("_range", "_x", *[f"_{s}" for s in sums])
+        .drop("_range", *[f"_{s}" for s in sums])
     )
 
 
-def frequency_cells(
-    df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
-) -> DataFrame:
+# --- quantiles -------------------------------------------------------------------------------
+
+
+def frequency_cells(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by, variable, value, n) for all numeric columns at once; non-finite values are left out."""
-    pairs = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value"))
-                for c in columns
-            ]
-        )
+    pairs = F.array(
+        *[
+            F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value"))
+            for c in columns
+        ]
     )
     return (
-        df.select(*by, pairs.alias("pair"))
-        .select(*by, "pair.*")
+        df.select(*by, F.inline(pairs))
         .where(is_finite("value"))
         .groupBy(*by, "variable", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
-def ranked_cells(
-    df: DataFrame,
-    columns: Sequence[str],
-    by: Sequence[str] = (),
-    rows_per_range: int = ROWS_PER_RANGE,
-) -> DataFrame:
-    """Frequency cells with ``cum_n`` and the group size ``rows``."""
-    cells = settle(frequency_cells(df, columns, by))
-    key = [*by, "variable"]
-    sizes = cells.groupBy(*key).agg(F.sum("n").alias("rows"))
-    return running_totals(cells, "value", ["n"], key, rows_per_range=rows_per_range).join(sizes, key)
+def _linear_position(share: float) -> Column:
+    return (F.col("rows") - 1) * F.lit(float(share))
 
 
-def value_at(position: Column) -> Column:
-    """Aggregate: the value at a 0-based position of the sorted rows."""
-    holds = (F.col("cum_n") - F.col("n") <= position) & (position < F.col("cum_n"))
-    return F.max(F.when(holds, F.col("value")))
+def _nearest_position(share: float) -> Column:
+    """Half positions go up."""
+    return F.floor(_linear_position(share) + F.lit(0.5))
 
 
-def _linear(share: float) -> Column:
-    at = (F.col("rows") - 1) * F.lit(float(share))
-    low, high = value_at(F.floor(at)), value_at(F.ceil(at))
-    part = F.max(at - F.floor(at))
-    return low + (high - low) * part
+def _positions(shares: Mapping[str, float], nearest: Sequence[str]) -> dict[str, tuple]:
+    """Name → the 0-based positions below and above the quantile, and the part between them."""
+    out = {}
+    for name, share in shares.items():
+        at = _nearest_position(share) if name in nearest else _linear_position(share)
+        out[name] = (F.floor(at), F.ceil(at), at - F.floor(at))
+    return out
 
 
-def _nearest_position(share: float) -> Column:
-    """Half positions go up."""
-    return F.floor((F.col("rows") - 1) * F.lit(float(share)) + F.lit(0.5))
+def _holds(position: Column) -> Column:
+    return (F.col("cum_n") - F.col("n") <= position) & (position < F.col("cum_n"))
 
 
-def quantile_columns(shares: Mapping[str, float], nearest: Sequence[str] = ()) -> list[Column]:
-    return [
-        (value_at(_nearest_position(p)) if name in nearest else _linear(p)).alias(name)
-        for name, p in shares.items()
-    ]
+def quantile_table(
+    cells: DataFrame,
+    by: Sequence[str],
+    shares: Mapping[str, float],
+    nearest: Sequence[str] = (),
+    above: str | None = None,
+    rows_per_range: int = ROWS_PER_RANGE,
+) -> DataFrame:
+    """Exact quantiles of (by…, value, n) cells per group, with n, minimum, mean and maximum.
+
+    Quantiles interpolate linearly unless listed in ``nearest``. ``above`` names a nearest quantile
+    whose number of larger rows is added as ``rows_above_<name>``. The cells should be settled.
+    """
+    key = list(by)
+    positions = _positions(shares, nearest)
+    cuts = range_cuts(cells, "value", rows_per_range)
+    weight = F.sum(F.col("value") * F.col("n"))
+    if cuts:
+        ranges = settle(
+            located(cells, "value", cuts)
+            .groupBy(*key, "_range")
+            .agg(
+                F.sum("n").alias("_n"),
+                F.min("value").alias("_min"),
+                F.max("value").alias("_max"),
+                weight.alias("_weight"),
+            )
+        )
+        overall = ranges.groupBy(*key).agg(
+            F.sum("_n").alias("rows"),
+            F.min("_min").alias("minimum"),
+            F.max("_max").alias("maximum"),
+            F.sum("_weight").alias("weight"),
+        )
+        before = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        start = F.coalesce(F.sum("_n").over(before), F.lit(0))
+        placed = ranges.select(
+            *key, "_range", "_n", start.alias("_start"),
+            F.sum("_n").over(Window.partitionBy(*key)).alias("rows"),
+        )
+        wanted_here = F.lit(False)
+        for low, high, _ in positions.values():
+            for at in (low, high):
+                wanted_here = wanted_here | (
+                    (F.col("_start") <= at) & (at < F.col("_start") + F.col("_n"))
+                )
+        wanted = placed.where(wanted_here).drop("_n")
+        if ranges.count() <= BROADCAST_ROWS:
+            wanted = F.broadcast(wanted)
+        inside = Window.partitionBy(*key, "_range").orderBy("value")
+        upto = F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+        ranked = (
+            located(cells, "value", cuts)
+            .join(wanted, [*key, "_range"])
+            .withColumn("cum_n", upto + F.col("_start"))
+        )
+    else:
+        overall = cells.groupBy(*key).agg(
+            F.sum("n").alias("rows"),
+            F.min("value").alias("minimum"),
+            F.max("value").alias("maximum"),
+            weight.alias("weight"),
+        )
+        group = Window.partitionBy(*key)
+        upto = group.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = cells.withColumns(
+            {"cum_n": F.sum("n").over(upto), "rows": F.sum("n").over(group)}
+        )
+
+    picks = []
+    for name, (low, high, part) in positions.items():
+        a = F.max(F.when(_holds(low), F.col("value")))
+        b = F.max(F.when(_holds(high), F.col("value")))
+        picks.append((a + (b - a) * F.max(part)).alias(name))
+        if name == above:
+            larger = F.max(F.when(_holds(low), F.col("rows") - F.col("cum_n")))
+            picks.append(larger.alias(f"rows_above_{name}"))
+    picked = ranked.groupBy(*key).agg(*picks)
+    measured = overall.select(
+        *key,
+        F.col("rows").alias("n"),
+        "minimum",
+        (F.col("weight") / F.col("rows")).alias("mean"),
+        "maximum",
+    )
+    return measured.join(picked, key)
 
 
 def numeric_summary_linear(
@@ -149,16 +237,9 @@ def numeric_summary_linear(
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Size, minimum, quantiles by linear interpolation, mean and maximum per numeric column."""
-    return (
-        ranked_cells(df, columns, by, rows_per_range)
-        .groupBy(*by, "variable")
-        .agg(
-            F.sum("n").alias("n"),
-            F.min("value").alias("minimum"),
-            *quantile_columns(QUARTILES_AND_TAIL),
-            (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
-            F.max("value").alias("maximum"),
-        )
+    cells = settle(frequency_cells(df, columns, by))
+    return quantile_table(
+        cells, [*by, "variable"], QUARTILES_AND_TAIL, rows_per_range=rows_per_range
     )
 
 
@@ -170,37 +251,20 @@ def numeric_summary_nearest(
     """As above with quantiles taken from the data (the median stays interpolated), and the rows
     above the 99th percentile."""
     picked = [name for name in QUARTILES_AND_TAIL if name != "median"]
-    at = _nearest_position(0.99)
-    holds = (F.col("cum_n") - F.col("n") <= at) & (at < F.col("cum_n"))
-    return (
-        ranked_cells(df, columns, (), rows_per_range)
-        .groupBy("variable")
-        .agg(
-            F.min("value").alias("minimum"),
-            *quantile_columns(QUARTILES_AND_TAIL, picked),
-            (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
-            F.max("value").alias("maximum"),
-            F.max(F.when(holds, F.col("rows") - F.col("cum_n"))).alias("rows_above_p99"),
-        )
-    )
+    cells = settle(frequency_cells(df, columns))
+    return quantile_table(
+        cells, ["variable"], QUARTILES_AND_TAIL, picked, "p99", rows_per_range
+    ).drop("n")
 
 
 def quantile_edges(
     df: DataFrame,
     columns: Sequence[str],
     shares: Sequence[float] = DECILES,
-    by: Sequence[str] = (),
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Distinct inner bin borders per column as a sorted array; the outer bins are open."""
     names = {f"_q{i}": p for i, p in enumerate(shares)}
-    return (
-        ranked_cells(df, columns, by, rows_per_range)
-        .groupBy(*by, "variable")
-        .agg(*quantile_columns(names))
-        .select(*by, "variable", F.array_distinct(F.array(*names)).alias("edges"))
-    )
-
-
-def union_all(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+    cells = settle(frequency_cells(df, columns))
+    table = quantile_table(cells, ["variable"], names, rows_per_range=rows_per_range)
+    return table.select("variable", F.array_distinct(F.array(*names)).alias("edges"))

@@ -239,7 +239,8 @@ def unknown_rows(spark, folder):
 FROM g GROUP BY ALL""",
 )
 def unknown_audit(spark, folder):
-    return features.unknown_audit(unknown_rows(spark, folder), UNKNOWN_FEATURES, FOLDS)
+    cells = features.fold_cells(unknown_rows(spark, folder), UNKNOWN_FEATURES, FOLDS)
+    return features.unknown_audit(cells)
 
 
 @query(
@@ -247,7 +248,8 @@ def unknown_audit(spark, folder):
     f"WITH {UNKNOWN} SELECT fold, feature, value, validation AS rows FROM g WHERE train = 0 AND validation > 0",
 )
 def unknown_values(spark, folder):
-    return features.unknown_values(unknown_rows(spark, folder), UNKNOWN_FEATURES, FOLDS)
+    cells = features.fold_cells(unknown_rows(spark, folder), UNKNOWN_FEATURES, FOLDS)
+    return features.unknown_values(cells)
 
 
 @query(
