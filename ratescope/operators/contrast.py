@@ -13,19 +13,13 @@ from ratescope.operators.drift import long_values
 from ratescope.operators.ranking import MINIMUM_ROWS
 from ratescope.operators.rates import cell_total
 
-HOWS = (
-    "highest_rate",
-    "lowest_rate",
-    "highest_volume",
-    "largest_value",
-    "smallest_value",
-    "value",
-)
+OVERALL = "overall"
 
 
 @dataclass(frozen=True)
 class Pick:
-    """How a category is chosen. Equal candidates go to the smaller label."""
+    """How a category is chosen: highest_rate, lowest_rate, highest_volume, largest_value,
+    smallest_value or value. Equal candidates go to the smaller label."""
 
     how: str
     value: object = None
@@ -95,9 +89,16 @@ def contrast_matrix(
     flag: str = "flag",
     period: str = "period",
     minimum_rows: int = MINIMUM_ROWS,
+    overall: bool = False,
 ) -> DataFrame:
-    """One row per contrast. A contrast whose category does not occur fails the query."""
+    """One row per contrast. A contrast whose category does not occur fails the query.
+
+    ``overall`` adds the row of ``global_row``; the whole table is one more category of the pass.
+    """
     dimensions = list(dict.fromkeys(c.dimension for c in contrasts))
+    if overall:
+        df = df.withColumn(OVERALL, F.lit("all"))
+        dimensions.append(OVERALL)
     evidence = category_evidence(df, dimensions, flag, period)
     fields = [
         "category",
@@ -115,8 +116,21 @@ def contrast_matrix(
         picks.append(F.min_by(row, F.when(here, c.focal.key())).alias(f"f{i}"))
         if c.reference is not None:
             picks.append(F.min_by(row, F.when(here, c.reference.key())).alias(f"r{i}"))
-    rows = F.array(*[_row(i, c, minimum_rows) for i, c in enumerate(contrasts)])
-    return evidence.agg(*picks).select(F.inline(rows))
+    rows = [_row(i, c, minimum_rows) for i, c in enumerate(contrasts)]
+    if overall:
+        everything = F.when(F.col("dimension") == OVERALL, row)
+        picks.append(F.max(everything).alias("g"))
+        g = F.col("g")
+        rows.append(
+            _overall_row(
+                g["total"],
+                g["minimum_rate_percent"],
+                g["maximum_rate_percent"],
+                g["range_points"],
+                g["periods_observed"],
+            )
+        )
+    return evidence.agg(*picks).select(F.inline(F.array(*rows)))
 
 
 def _row(i: int, c: Contrast, minimum_rows: int) -> Column:
@@ -181,18 +195,29 @@ def quality_rows(
 def global_row(by_period: DataFrame) -> DataFrame:
     """Highest against lowest period rate of the whole table as a matrix row."""
     low, high = F.min("rate_percent"), F.max("rate_percent")
-    gap = F.round(high - low, 6)
     return by_period.agg(
-        F.lit("overall").alias("dimension"),
+        F.sum("total").alias("total"),
+        low.alias("low"),
+        high.alias("high"),
+        F.round(high - low, 6).alias("gap"),
+        F.count(F.lit(1)).alias("periods"),
+    ).select(
+        F.inline(F.array(_overall_row(*map(F.col, ("total", "low", "high", "gap", "periods")))))
+    )
+
+
+def _overall_row(total: Column, low: Column, high: Column, gap: Column, periods: Column) -> Column:
+    return F.struct(
+        F.lit(OVERALL).alias("dimension"),
         F.lit("highest period rate vs lowest period rate").alias("comparison"),
         F.lit("highest period rate").alias("focal_category"),
-        F.sum("total").alias("total"),
+        total.alias("total"),
         high.alias("rate_percent"),
         F.lit("lowest period rate").alias("reference_category"),
         F.lit(None).cast("bigint").alias("reference_total"),
         low.alias("reference_rate_percent"),
         gap.alias("difference_points"),
-        F.count(F.lit(1)).alias("periods_observed"),
+        periods.alias("periods_observed"),
         low.alias("minimum_rate_percent"),
         high.alias("maximum_rate_percent"),
         gap.alias("range_points"),

@@ -22,7 +22,7 @@ from ratescope.operators.statistics import (
     ROWS_PER_RANGE,
     quantile_table,
 )
-from ratescope.operators.tokens import explode_tokens
+from ratescope.operators.tokens import token_cells
 from ratescope.runtime import settle
 
 
@@ -30,10 +30,14 @@ def _sides(period: str, development: Sequence[int], comparison: Sequence[int]):
     return F.col(period).isin(*development), F.col(period).isin(*comparison)
 
 
-def side_rows(df: DataFrame, dev: Column, cmp: Column) -> Column:
-    """Rows of both sides as one scalar; reads the period column only."""
-    return df.agg(
-        F.struct(F.count_if(dev).alias("development"), F.count_if(cmp).alias("comparison"))
+def side_rows(counts: DataFrame, variables: int) -> Column:
+    """Rows of both sides as one scalar, from value counts in which each row appears once per
+    variable; Spark reuses the shuffled counts for it."""
+    return counts.agg(
+        F.struct(
+            (F.sum("development") / variables).alias("development"),
+            (F.sum("comparison") / variables).alias("comparison"),
+        )
     ).scalar()
 
 
@@ -77,12 +81,13 @@ def categorical_drift(
     """Distance, category turnover and the largest share change for many variables.
 
     All variables are grouped in one pass. Every row has one value per variable, so the number of
-    rows of a side is the denominator of all of them.
+    rows of a side is the denominator of all of them and follows from the same cells.
     """
     dev, cmp = _sides(period, development, comparison)
-    rows = side_rows(df, dev, cmp)
     d, c = F.col("development"), F.col("comparison")
-    cells = _value_counts(df, variables, period, dev, cmp).select(
+    counts = _value_counts(df, variables, period, dev, cmp)
+    rows = side_rows(counts, len(variables))
+    cells = counts.select(
         "variable",
         "value",
         d,
@@ -135,10 +140,11 @@ def new_categories(
 ) -> DataFrame:
     """Categories seen in the comparison periods only."""
     dev, cmp = _sides(period, development, comparison)
-    rows = side_rows(df, dev, cmp)
+    counts = _value_counts(df, variables, period, dev, cmp, first_period=True)
+    seen = F.col("first_period").isNotNull()
+    rows = side_rows(counts.where(F.when(seen, F.col("comparison") >= 0)), len(variables))
     return (
-        _value_counts(df, variables, period, dev, cmp, first_period=True)
-        .where((F.col("development") == 0) & (F.col("comparison") > 0))
+        counts.where((F.col("development") == 0) & (F.col("comparison") > 0))
         .select(
             "variable",
             F.col("value").alias("category"),
@@ -270,16 +276,19 @@ def multilabel_drift(
 ) -> DataFrame:
     """Prevalence difference per token. Tokens are not exclusive, so there is no distance."""
     dev, cmp = _sides(period, development, comparison)
-    rows = side_rows(df, dev, cmp)
-    cells = (
-        explode_tokens(df, field, [period], known, delimiter)
-        .groupBy("token", period)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    d = F.coalesce(F.sum(F.when(dev, F.col("n"))), F.lit(0))
-    c = F.coalesce(F.sum(F.when(cmp, F.col("n"))), F.lit(0))
+    cells = token_cells(df.withColumn("_flag", F.lit(True)), field, [period], "_flag", known, delimiter)
+    # Few cells (tokens × periods) are read twice, so they are settled after the one pass.
+    cells = settle(cells)
+    rows = cells.agg(
+        F.struct(
+            F.sum(F.when(dev, F.col("starts"))).alias("development"),
+            F.sum(F.when(cmp, F.col("starts"))).alias("comparison"),
+        )
+    ).scalar()
+    d = F.coalesce(F.sum(F.when(dev, F.col("flagged"))), F.lit(0))
+    c = F.coalesce(F.sum(F.when(cmp, F.col("flagged"))), F.lit(0))
     periods = F.array_sort(F.collect_set(period)).cast("array<string>")
-    shares = cells.groupBy("token").agg(
+    shares = cells.where(F.col("token").isNotNull()).groupBy("token").agg(
         d.alias("development_rows"), c.alias("comparison_rows"), periods.alias("periods")
     ).withColumns(
         {

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ratescope.functions import outcome_label, stable_logistic
@@ -222,7 +222,8 @@ def contribution_ranking(long: DataFrame, features: DataFrame) -> DataFrame:
             F.sum("s").alias("mean_signed"),
         )
     )
-    total = per_predictor.agg(F.sum("mean_abs")).scalar()
+    # One row per predictor: the model bounds this table, so a plain window is enough.
+    total = F.sum("mean_abs").over(Window.partitionBy())
     return numbered(per_predictor, "mean_abs", "predictor").withColumn(
         "share", F.col("mean_abs") / total
     )

@@ -1,90 +1,103 @@
-"""When categories appear and disappear, and which rates are stable over periods."""
+"""When categories appear and disappear, and which rates are stable over periods.
+
+All dimensions are put in long form and grouped once. The results are sums over those cells, and
+each reader of the cells uses all their measures, so Spark plans the shuffle a single time.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ratescope.functions import is_flagged, percent
 from ratescope.operators.ranking import MINIMUM_ROWS
-from ratescope.operators.rates import rate_by_period, rate_spread
+from ratescope.operators.rates import cell_total
 
 # Fixed value: periods a category needs before its spread is reported.
 MINIMUM_PERIODS = 3
 
 
-def category_lifecycle(
-    df: DataFrame, dimensions: Mapping[str, str], period: str = "period"
-) -> DataFrame:
-    """First and last period, periods observed, volume and presence flags per category."""
-    return reduce(
-        DataFrame.unionByName,
-        [_lifecycle(df, name, category, period) for name, category in dimensions.items()],
+def _long(df: DataFrame, dimensions: Mapping[str, str], keep: list[str]) -> DataFrame:
+    pairs = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("dimension"), F.col(column).cast("string").alias("category")
+            )
+            for name, column in dimensions.items()
+        ]
     )
+    return df.select(*keep, F.inline(pairs))
 
 
-def _lifecycle(df: DataFrame, dimension: str, category: str, period: str) -> DataFrame:
-    cells = df.groupBy(category, period).agg(F.count(F.lit(1)).alias("rows"))
+def presence_cells(df: DataFrame, dimensions: Mapping[str, str], period: str) -> DataFrame:
+    """(dimension, category, period, rows) of all dimensions from one scan."""
+    return (
+        _long(df, dimensions, [period])
+        .groupBy("dimension", "category", period)
+        .agg(F.count(F.lit(1)).alias("rows"))
+    )
+
+
+def _present(period: str) -> Column:
+    return F.when(F.col("rows") > 0, F.col(period))
+
+
+def lifecycle_of(cells: DataFrame, period: str = "period") -> DataFrame:
+    """First and last period, periods observed, volume and presence flags per category.
+
+    Every row of the table has a category in each dimension, so all dimensions share one span.
+    """
     span = cells.agg(
         F.struct(
-            F.min(period).alias("first"),
-            F.max(period).alias("last"),
-            F.count_distinct(period).alias("periods"),
+            F.min(_present(period)).alias("first"),
+            F.max(_present(period)).alias("last"),
+            F.count_distinct(_present(period)).alias("periods"),
         )
     ).scalar()
-    first, last = F.min(period), F.max(period)
     return (
-        cells.groupBy(category)
+        cells.groupBy("dimension", "category")
         .agg(
-            first.alias("first_period"),
-            last.alias("last_period"),
+            F.min(period).alias("first_period"),
+            F.max(period).alias("last_period"),
             F.count(F.lit(1)).alias("periods_observed"),
             F.sum("rows").alias("total"),
         )
-        .select(
-            F.lit(dimension).alias("dimension"),
-            F.col(category).cast("string").alias("category"),
-            "first_period",
-            "last_period",
-            "periods_observed",
-            "total",
-            (F.col("periods_observed") == span["periods"]).alias("present_all_periods"),
-            (F.col("periods_observed") == 1).alias("only_one_period"),
-            (F.col("first_period") > span["first"]).alias("appears_later"),
-            (F.col("last_period") < span["last"]).alias("disappears_earlier"),
+        .withColumns(
+            {
+                "present_all_periods": F.col("periods_observed") == span["periods"],
+                "only_one_period": F.col("periods_observed") == 1,
+                "appears_later": F.col("first_period") > span["first"],
+                "disappears_earlier": F.col("last_period") < span["last"],
+            }
         )
     )
 
 
+def category_lifecycle(
+    df: DataFrame, dimensions: Mapping[str, str], period: str = "period"
+) -> DataFrame:
+    """``lifecycle_of`` for a table; ``dimensions`` maps a dimension name to its column."""
+    return lifecycle_of(presence_cells(df, dimensions, period), period)
+
+
 def taxonomy_diagnostics(
     df: DataFrame, dimensions: Mapping[str, str], period: str = "period"
 ) -> DataFrame:
     """Per dimension: categories, first-seen and last-seen counts per period, plus one overall row."""
-    lifecycle = category_lifecycle(df, dimensions, period)
-    observed = reduce(
-        DataFrame.unionByName,
-        [
-            df.groupBy(period, category)
-            .count()
-            .groupBy(period)
-            .agg(F.count(F.lit(1)).alias("distinct_categories"))
-            .withColumn("dimension", F.lit(name))
-            for name, category in dimensions.items()
-        ],
+    cells = presence_cells(df, dimensions, period)
+    lifecycle = lifecycle_of(cells, period)
+    observed = cells.groupBy("dimension", period).agg(
+        F.count_if(F.col("rows") > 0).alias("distinct_categories")
+    )
+    ends = F.array(
+        F.struct(F.col("first_period").alias(period), F.lit(1).alias("f"), F.lit(0).alias("l")),
+        F.struct(F.col("last_period").alias(period), F.lit(0).alias("f"), F.lit(1).alias("l")),
     )
     edges = (
-        lifecycle.select(
-            "dimension",
-            F.explode(
-                F.array(
-                    F.struct(F.col("first_period").alias(period), F.lit(1).alias("f"), F.lit(0).alias("l")),
-                    F.struct(F.col("last_period").alias(period), F.lit(0).alias("f"), F.lit(1).alias("l")),
-                )
-            ).alias("e"),
-        )
-        .select("dimension", "e.*")
+        lifecycle.where(F.col("total") > 0)
+        .select("dimension", F.inline(ends))
         .groupBy("dimension", period)
         .agg(F.sum("f").alias("first_seen"), F.sum("l").alias("last_seen"))
     )
@@ -96,13 +109,17 @@ def taxonomy_diagnostics(
         F.coalesce("first_seen", F.lit(0)).alias("first_seen"),
         F.coalesce("last_seen", F.lit(0)).alias("last_seen"),
     )
-    overall = lifecycle.groupBy("dimension").agg(
-        F.lit("overall").alias("scope"),
-        F.count(F.lit(1)).alias("union_categories"),
-        F.count_if("present_all_periods").alias("present_all_periods"),
-        F.count_if("only_one_period").alias("only_one_period"),
-        F.count_if("appears_later").alias("appears_later"),
-        F.count_if("disappears_earlier").alias("disappears_earlier"),
+    overall = (
+        lifecycle.where(F.col("total") > 0)
+        .groupBy("dimension")
+        .agg(
+            F.lit("overall").alias("scope"),
+            F.count(F.lit(1)).alias("union_categories"),
+            F.count_if("present_all_periods").alias("present_all_periods"),
+            F.count_if("only_one_period").alias("only_one_period"),
+            F.count_if("appears_later").alias("appears_later"),
+            F.count_if("disappears_earlier").alias("disappears_earlier"),
+        )
     )
     return per_period.unionByName(overall, allowMissingColumns=True)
 
@@ -119,30 +136,26 @@ def stability_filtered(
 
     Priority means seen in all periods and at least ``minimum_rows`` rows.
     """
-    return reduce(
-        DataFrame.unionByName,
-        [
-            _filtered(df, name, category, flag, period, minimum_periods, minimum_rows)
-            for name, category in dimensions.items()
-        ],
+    yes = is_flagged(flag)
+    cells = (
+        _long(df, dimensions, [period, flag])
+        .groupBy("dimension", "category", period)
+        .agg(F.count_if(yes).alias("flagged"), F.count_if(~yes).alias("unflagged"))
     )
-
-
-def _filtered(df, dimension, category, flag, period, minimum_periods, minimum_rows):
-    by_period = rate_by_period(df, category, flag, period)
-    periods = by_period.agg(F.count_distinct(period)).scalar()
-    everywhere = F.col("periods_observed") == periods
+    periods = cells.agg(F.count_distinct(F.when(cell_total() > 0, F.col(period)))).scalar()
+    low, high = F.min("rate_percent"), F.max("rate_percent")
     return (
-        rate_spread(by_period, [category], period)
+        cells.withColumn("rate_percent", percent("flagged", cell_total()))
+        .groupBy("dimension", "category")
+        .agg(
+            F.count(F.lit(1)).alias("periods_observed"),
+            F.sum(cell_total()).alias("total"),
+            low.alias("minimum_rate_percent"),
+            high.alias("maximum_rate_percent"),
+            F.round(high - low, 6).alias("range_points"),
+        )
         .where(F.col("periods_observed") >= minimum_periods)
-        .select(
-            F.lit(dimension).alias("dimension"),
-            F.col(category).cast("string").alias("category"),
-            "periods_observed",
-            "total",
-            "minimum_rate_percent",
-            "maximum_rate_percent",
-            "range_points",
-            (everywhere & (F.col("total") >= minimum_rows)).alias("priority"),
+        .withColumn(
+            "priority", (F.col("periods_observed") == periods) & (F.col("total") >= minimum_rows)
         )
     )

@@ -89,17 +89,20 @@ def check_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 # --- profiles --------------------------------------------------------------------------------
 
 
-def _profile(
-    df: DataFrame, keys: list[str], key_id: str, date: str, flag: str, checks: Mapping[str, Column]
+def _per_id(
+    df: DataFrame, keys: list[str], date: str, flag: str, checks: Mapping[str, Column]
 ) -> DataFrame:
-    """Group by (keys, id) once: duplicates and all other measures come from the same shuffle."""
-    per_id = df.groupBy(*keys, key_id).agg(
+    """Group by (period, id) once: duplicates and all other measures come from the same shuffle."""
+    return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.min(date).alias("lo"),
         F.max(date).alias("hi"),
         F.count_if(is_flagged(flag)).alias("flagged"),
         *[F.count_if(test).alias(name) for name, test in checks.items()],
     )
+
+
+def _profile(per_id: DataFrame, keys: list[str], checks: Mapping[str, Column]) -> DataFrame:
     rows, flagged = F.sum("n"), F.sum("flagged")
     return per_id.groupBy(*keys).agg(
         rows.alias("rows"),
@@ -122,7 +125,8 @@ def profile_period(
     period: str = "period",
 ) -> DataFrame:
     """Rows, duplicated ids, date span, flag counts and named condition counts per period."""
-    return _profile(df, [period], key_id, date, flag, checks or {})
+    checks = checks or {}
+    return _profile(_per_id(df, [period, key_id], date, flag, checks), [period], checks)
 
 
 def audit_run(
@@ -135,8 +139,17 @@ def audit_run(
 ) -> DataFrame:
     """``profile_period`` plus one combined row (period NULL), where an id repeated across periods
     also counts as duplicated."""
-    each = profile_period(df, key_id, date, checks, flag, period)
-    combined = _profile(df, [], key_id, date, flag, checks or {})
+    checks = checks or {}
+    per_id = _per_id(df, [period, key_id], date, flag, checks)
+    each = _profile(per_id, [period], checks)
+    # The combined row adds up the same cells per id, so the table is scanned once.
+    per_id_overall = per_id.groupBy(key_id).agg(
+        F.sum("n").alias("n"),
+        F.min("lo").alias("lo"),
+        F.max("hi").alias("hi"),
+        *[F.sum(c).alias(c) for c in ("flagged", *checks)],
+    )
+    combined = _profile(per_id_overall, [], checks)
     return each.unionByName(combined, allowMissingColumns=True)
 
 

@@ -144,6 +144,40 @@ def rate_spread(by_period: DataFrame, categories: Sequence[str], period: str) ->
     )
 
 
+def rate_with_stability(
+    df: DataFrame,
+    categories: str | Sequence[str],
+    flag: str = "flag",
+    period: str = "period",
+) -> DataFrame:
+    """``rate_summary`` and the spread of the per-period rate, from one scan and one shuffle of
+    (period, category) cells."""
+    names = as_list(categories)
+    cells = tally(df, [period, *names], flag)
+    rate = percent("flagged", cell_total())
+    return (
+        cells.groupBy(*names)
+        .agg(
+            F.sum("flagged").alias("flagged"),
+            F.sum("unflagged").alias("unflagged"),
+            F.count(F.lit(1)).alias("periods_observed"),
+            F.min(rate).alias("minimum_rate_percent"),
+            F.max(rate).alias("maximum_rate_percent"),
+        )
+        .select(
+            *_keys(names),
+            *_measures(),
+            percent(cell_total(), grand_total(cells)).alias("share_percent"),
+            "periods_observed",
+            "minimum_rate_percent",
+            "maximum_rate_percent",
+            F.round(F.col("maximum_rate_percent") - F.col("minimum_rate_percent"), 6).alias(
+                "range_points"
+            ),
+        )
+    )
+
+
 def stability(
     by_period: dict[str, tuple[DataFrame, str]], period: str = "period"
 ) -> DataFrame:
@@ -179,12 +213,24 @@ def calendar_days(periods: DataFrame, period: str = "period") -> DataFrame:
 def calendar_rate(
     df: DataFrame, month: str, flag: str = "flag", period: str = "period"
 ) -> DataFrame:
-    """``rate_summary`` by month number with calendar days and rows per calendar day."""
-    days = calendar_days(df, period).withColumnRenamed("month", month)
+    """``rate_summary`` by month number with calendar days and rows per calendar day.
+
+    Months, their total and the years observed all come from the same (year, month) cells.
+    """
+    cells = tally(df, [period, month], flag)
+    years = cells.where(cell_total() > 0).select(period)
+    days = calendar_days(years, period).withColumnRenamed("month", month)
     return (
-        rate_summary(df, month, flag)
-        .join(days, month)
-        .withColumn("rows_per_calendar_day", F.round(F.col("total") / F.col("calendar_days"), 6))
+        cells.groupBy(month)
+        .agg(F.sum("flagged").alias("flagged"), F.sum("unflagged").alias("unflagged"))
+        .join(days, month, "left")
+        .select(
+            *_keys([month]),
+            *_measures(),
+            percent(cell_total(), grand_total(cells)).alias("share_percent"),
+            "calendar_days",
+            F.round(cell_total() / F.col("calendar_days"), 6).alias("rows_per_calendar_day"),
+        )
     )
 
 

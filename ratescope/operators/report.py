@@ -4,37 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratescope.functions import is_flagged, map_strict, percent
-from ratescope.operators.rates import cell_total
+from ratescope.functions import map_strict, percent
+from ratescope.operators.rates import cell_total, grand_total, tally
 
 
 def population_table(df: DataFrame, flag: str = "flag", period: str = "period") -> DataFrame:
-    """Period rows and a total row (period NULL) from one rollup, with share and change."""
-    yes = is_flagged(flag)
-    cells = df.rollup(period).agg(
-        F.grouping(period).alias("is_total"),
-        F.count_if(yes).alias("flagged"),
-        F.count_if(~yes).alias("unflagged"),
-    )
-    total = cells.agg(F.max(cell_total())).scalar()
-    before = F.lag("total").over(Window.partitionBy("is_total").orderBy(period))
-    return (
-        cells.select(
-            F.when(F.col("is_total") == 1, "total").otherwise("period").alias("scope"),
-            "is_total",
-            period,
+    """Period rows and a total row (period NULL) with share and change against the period before.
+
+    The total row adds up the same shuffled cells; the ordered window sees one row per period.
+    """
+    cells = tally(df, period, flag)
+    total = cells.agg(F.sum("flagged").alias("flagged"), F.sum("unflagged").alias("unflagged"))
+    before = F.lag("total").over(Window.orderBy(period))
+
+    def measured(table: DataFrame, scope: str, at_period: Column) -> DataFrame:
+        return table.select(
+            F.lit(scope).alias("scope"),
+            at_period.alias(period),
             cell_total().alias("total"),
             "flagged",
             "unflagged",
             percent("flagged", cell_total()).alias("rate_percent"),
-            percent(cell_total(), total).alias("share_percent"),
+            percent(cell_total(), grand_total(cells)).alias("share_percent"),
         )
-        .withColumn("change_percent", F.round((F.col("total") / before - 1) * 100, 6))
-        .drop("is_total")
+
+    changed = measured(cells, "period", F.col(period)).withColumn(
+        "change_percent", F.round((F.col("total") / before - 1) * 100, 6)
     )
+    last = measured(total, "total", F.lit(None).cast(df.schema[period].dataType))
+    return changed.unionByName(last, allowMissingColumns=True)
 
 
 def final_period_table(comparison: DataFrame, labels: Mapping[str, str]) -> DataFrame:

@@ -220,7 +220,9 @@ def threshold_table(
 
     out = rows(pooled, list(thresholds), F.lit(None))
     if per_period:
-        out = out.unionByName(rows(counts, list(per_period), F.col(period)))
+        # All roles are laid out before the choice, so both parts read the same shuffled counts.
+        each = rows(counts, list(thresholds), F.col(period))
+        out = out.unionByName(each.where(F.col("threshold_role").isin(*per_period)))
     return out.withColumns(
         {
             "precision": ratio_or_zero("tp", F.col("tp") + F.col("fp")),
@@ -246,13 +248,12 @@ def calibration_table(
     cells = score_cells(df, flag, score, by)
     keys = list(by)
     sizes = cells.select(
-        *keys,
-        F.lit("score").alias("variable"),
-        F.col("score").alias("value"),
-        (F.col("pos") + F.col("neg")).alias("n"),
+        *keys, F.col("score").alias("value"), (F.col("pos") + F.col("neg")).alias("n")
     )
     borders = {f"_q{i}": i / bins for i in range(1, bins)}
-    table = quantile_table(sizes, [*keys, "variable"], borders, rows_per_range=rows_per_range)
+    table = quantile_table(
+        sizes, keys, borders, rows_per_range=rows_per_range, measures=False
+    )
     edges = table.select(*keys, F.array(*borders).alias("edges"))
     if keys:
         located = cells.join(edges, keys)
@@ -301,5 +302,5 @@ def outcome_profile(
     shares = {"p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}
     cells = settle(frequency_cells(labelled, ["score"], ["outcome"])).drop("variable")
     profile = quantile_table(cells, ["outcome"], shares, rows_per_range=rows_per_range)
-    total = df.agg(F.count(F.lit(1))).scalar()
+    total = cells.agg(F.sum("n")).scalar()
     return profile.withColumnRenamed("n", "rows").withColumn("share", F.col("rows") / total)

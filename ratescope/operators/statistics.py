@@ -149,11 +149,13 @@ def quantile_table(
     nearest: Sequence[str] = (),
     above: str | None = None,
     rows_per_range: int = ROWS_PER_RANGE,
+    measures: bool = True,
 ) -> DataFrame:
     """Exact quantiles of (by…, value, n) cells per group, with n, minimum, mean and maximum.
 
     Quantiles interpolate linearly unless listed in ``nearest``. ``above`` names a nearest quantile
-    whose number of larger rows is added as ``rows_above_<name>``. The cells should be settled.
+    whose number of larger rows is added as ``rows_above_<name>``. Without ``measures`` only the
+    quantiles are returned, and ``by`` may be empty. The cells should be settled.
     """
     key = list(by)
     positions = _positions(shares, nearest)
@@ -220,6 +222,8 @@ def quantile_table(
             larger = F.max(F.when(_holds(low), F.col("rows") - F.col("cum_n")))
             picks.append(larger.alias(f"rows_above_{name}"))
     picked = ranked.groupBy(*key).agg(*picks)
+    if not measures:
+        return picked
     measured = overall.select(
         *key,
         F.col("rows").alias("n"),

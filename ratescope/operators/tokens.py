@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratescope.functions import order_rank, percent, token_array
-from ratescope.operators.rates import cell_total, tally
+from ratescope.functions import is_flagged, order_rank, percent, token_array
+from ratescope.operators.rates import cell_total
 
 
 def explode_tokens(
@@ -23,28 +23,71 @@ def explode_tokens(
     out = df.select(*keep, F.explode(token_array(field, delimiter)).alias(token))
     if known is None:
         return out
-    checked = F.when(order_rank(known, token, "token") >= 0, F.col(token))
-    return out.withColumn(token, checked)
+    return out.withColumn(token, _checked(known, token))
 
 
-def token_rate_summary(
+def _checked(known: Sequence[str], token: str = "token") -> Column:
+    return F.when(order_rank(known, token, "token") >= 0, F.col(token))
+
+
+def token_cells(
     df: DataFrame,
     field: str,
+    keys: Sequence[str] = (),
     flag: str = "flag",
     known: Sequence[str] | None = None,
     delimiter: str = ";",
 ) -> DataFrame:
-    """Rates per token; the share is the percentage of rows that contain the token."""
-    rows = df.agg(F.count(F.lit(1))).scalar()
-    cells = tally(explode_tokens(df, field, [flag], known, delimiter), "token", flag)
-    return cells.select(
-        "token",
+    """(keys…, token, flagged, unflagged, starts) in one pass.
+
+    ``starts`` counts the rows whose first token this is, so its sum over all tokens is the number
+    of rows and the table need not be counted separately. Rows without a field have a NULL token.
+    """
+    at = F.posexplode_outer(token_array(field, delimiter)).alias("_at", "token")
+    exploded = df.select(*keys, is_flagged(flag).alias("_yes"), at)
+    if known is not None:
+        exploded = exploded.withColumn("token", _checked(known))
+    return exploded.groupBy(*keys, "token").agg(
+        F.count_if("_yes").alias("flagged"),
+        F.count_if(~F.col("_yes")).alias("unflagged"),
+        F.count_if(F.coalesce("_at", F.lit(0)) == 0).alias("starts"),
+    )
+
+
+# Both readers of the cells below mention all three measures. Spark prunes unused ones, and with
+# different columns it would scan and shuffle the table twice instead of reusing the shuffle.
+
+
+def cell_rows() -> Column:
+    """Aggregate: table rows behind the cells."""
+    return F.sum(F.when(cell_total() > 0, F.col("starts")))
+
+
+def _containing(cells: DataFrame) -> DataFrame:
+    return cells.where(F.when(F.col("token").isNotNull(), F.col("starts") >= 0))
+
+
+def _token_measures(rows: str | Column) -> list[Column]:
+    return [
         cell_total().alias("total"),
-        "flagged",
-        "unflagged",
+        F.col("flagged"),
+        F.col("unflagged"),
         percent("flagged", cell_total()).alias("rate_percent"),
         percent(cell_total(), rows).alias("containing_percent"),
-    )
+    ]
+
+
+def token_rate_summary(
+    df: DataFrame,
+    field: str,
+    flag: str = "flag",
+    known: Sequence[str] | None = None,
+    delimiter: str = ";",
+) -> DataFrame:
+    """Rates per token; the share is the percentage of rows that contain the token."""
+    cells = token_cells(df, field, (), flag, known, delimiter)
+    rows = cells.agg(cell_rows()).scalar()
+    return _containing(cells).select("token", *_token_measures(rows))
 
 
 def token_rate_by_period(
@@ -55,20 +98,10 @@ def token_rate_by_period(
     known: Sequence[str] | None = None,
     delimiter: str = ";",
 ) -> DataFrame:
-    rows = df.groupBy(period).agg(F.count(F.lit(1)).alias("period_rows"))
-    exploded = explode_tokens(df, field, [period, flag], known, delimiter)
+    cells = token_cells(df, field, [period], flag, known, delimiter)
+    rows = cells.groupBy(period).agg(cell_rows().alias("period_rows"))
     return (
-        tally(exploded, [period, "token"], flag)
-        .join(rows, period)
-        .select(
-            period,
-            "token",
-            cell_total().alias("total"),
-            "flagged",
-            "unflagged",
-            percent("flagged", cell_total()).alias("rate_percent"),
-            percent(cell_total(), "period_rows").alias("containing_percent"),
-        )
+        _containing(cells).join(rows, period).select(period, "token", *_token_measures("period_rows"))
     )
 
 

@@ -326,8 +326,7 @@ def matrix(spark, folder):
         contrast("l_linenumber", pick("largest_value"), pick("smallest_value")),
         contrast("code", pick("value", 0), None, "data quality"),
     ]
-    overall = ct.global_row(rates.rate_by_period(base, [], "flag"))
-    return overall.unionByName(ct.contrast_matrix(base, specs))
+    return ct.contrast_matrix(base, specs, overall=True)
 
 
 query("contrast_matrix", f"WITH {EVIDENCE} {MATRIX_SQL}")(matrix)

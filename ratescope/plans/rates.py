@@ -31,13 +31,8 @@ SPREAD = """count(DISTINCT period) AS periods_observed, min(rate_percent) AS min
 
 def severity_by_category(spark, folder):
     """Rate per category with its spread over the years, highest rate first."""
-    occ = occurrences(spark, folder)
-    by_period = rates.rate_by_period(occ, "l_returnflag")
-    spread = rates.rate_spread(by_period, ["l_returnflag"], "period").drop("total")
-    summary = rates.rate_summary(occ, "l_returnflag")
-    return joins.attach_attributes(summary, spread, ["l_returnflag"]).orderBy(
-        F.desc("rate_percent"), "l_returnflag"
-    )
+    summary = rates.rate_with_stability(occurrences(spark, folder), "l_returnflag")
+    return summary.orderBy(F.desc("rate_percent"), "l_returnflag")
 
 
 query(
