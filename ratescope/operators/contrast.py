@@ -8,10 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratescope.functions import is_flagged, percent, point_gap
-from ratescope.operators.drift import long_values
+from ratescope.functions import percent, point_gap
 from ratescope.operators.ranking import MINIMUM_ROWS
-from ratescope.operators.rates import cell_total
+from ratescope.operators.rates import cell_total, dimension_cells
 
 OVERALL = "overall"
 
@@ -53,6 +52,8 @@ class Contrast:
     focal: Pick
     reference: Pick | None
     priority: str = "secondary"
+    #: An optional contrast is left out when its category does not occur.
+    optional: bool = False
 
 
 def category_evidence(
@@ -62,18 +63,15 @@ def category_evidence(
 
     All dimensions share one scan and one shuffle of (dimension, category, period) cells.
     """
-    yes = is_flagged("_flag")
-    cells = (
-        long_values(df.withColumn("_flag", F.col(flag)), dimensions, [period, "_flag"])
-        .groupBy("variable", "value", period)
-        .agg(F.count_if(yes).alias("flagged"), F.count_if(~yes).alias("unflagged"))
-        .withColumn("rate", percent("flagged", cell_total()))
-    )
+    return evidence_from_cells(dimension_cells(df, {d: d for d in dimensions}, flag, period))
+
+
+def evidence_from_cells(cells: DataFrame) -> DataFrame:
+    """``category_evidence`` of ``dimension_cells``."""
+    rate = percent("flagged", cell_total())
     total, flagged = F.sum(cell_total()), F.sum("flagged")
-    low, high = F.min("rate"), F.max("rate")
-    return cells.groupBy(
-        F.col("variable").alias("dimension"), F.col("value").alias("category")
-    ).agg(
+    low, high = F.min(rate), F.max(rate)
+    return cells.groupBy("dimension", "category").agg(
         total.alias("total"),
         percent(flagged, total).alias("rate_percent"),
         F.count(F.lit(1)).alias("periods_observed"),
@@ -100,6 +98,16 @@ def contrast_matrix(
         df = df.withColumn(OVERALL, F.lit("all"))
         dimensions.append(OVERALL)
     evidence = category_evidence(df, dimensions, flag, period)
+    return matrix_from_evidence(evidence, contrasts, minimum_rows, overall)
+
+
+def matrix_from_evidence(
+    evidence: DataFrame,
+    contrasts: Sequence[Contrast],
+    minimum_rows: int = MINIMUM_ROWS,
+    overall: bool = False,
+) -> DataFrame:
+    """``contrast_matrix`` of category evidence; repeated contrasts are listed once."""
     fields = [
         "category",
         "total",
@@ -130,12 +138,18 @@ def contrast_matrix(
                 g["periods_observed"],
             )
         )
-    return evidence.agg(*picks).select(F.inline(F.array(*rows)))
+    matrix = evidence.agg(*picks).select(F.inline(F.array(*rows)))
+    if any(c.optional for c in contrasts):
+        found = F.col("focal_category").isNotNull()
+        matrix = matrix.where(found).dropDuplicates(["dimension", "comparison"])
+    return matrix
 
 
 def _row(i: int, c: Contrast, minimum_rows: int) -> Column:
     f = F.col(f"f{i}")
     absent = F.raise_error(F.lit(f"no category for contrast {i} of {c.dimension}"))
+    if c.optional:
+        absent = F.lit(None).cast("string")
     focal = F.coalesce(f["category"], absent)
     if c.reference is None:
         label = F.concat(focal, F.lit(" (special category)"))

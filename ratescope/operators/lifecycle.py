@@ -11,9 +11,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratescope.functions import is_flagged, percent
+from ratescope.functions import percent
 from ratescope.operators.ranking import MINIMUM_ROWS
-from ratescope.operators.rates import cell_total
+from ratescope.operators.rates import cell_total, dimension_cells
 
 # Fixed value: periods a category needs before its spread is reported.
 MINIMUM_PERIODS = 3
@@ -136,12 +136,17 @@ def stability_filtered(
 
     Priority means seen in all periods and at least ``minimum_rows`` rows.
     """
-    yes = is_flagged(flag)
-    cells = (
-        _long(df, dimensions, [period, flag])
-        .groupBy("dimension", "category", period)
-        .agg(F.count_if(yes).alias("flagged"), F.count_if(~yes).alias("unflagged"))
-    )
+    cells = dimension_cells(df, dimensions, flag, period)
+    return stability_from_cells(cells, period, minimum_periods, minimum_rows)
+
+
+def stability_from_cells(
+    cells: DataFrame,
+    period: str = "period",
+    minimum_periods: int = MINIMUM_PERIODS,
+    minimum_rows: int = MINIMUM_ROWS,
+) -> DataFrame:
+    """``stability_filtered`` of ``dimension_cells``."""
     periods = cells.agg(F.count_distinct(F.when(cell_total() > 0, F.col(period)))).scalar()
     low, high = F.min("rate_percent"), F.max("rate_percent")
     return (

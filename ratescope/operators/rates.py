@@ -7,7 +7,7 @@ columns as the first; Spark then reuses the shuffled cells instead of scanning t
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -98,6 +98,60 @@ def sort_by_order(
     return df.orderBy(*first, order_rank(order, category, category))
 
 
+# --- many dimensions at once -----------------------------------------------------------------
+
+
+def dimension_cells(
+    df: DataFrame, dimensions: Mapping[str, str], flag: str = "flag", period: str = "period"
+) -> DataFrame:
+    """(dimension, category, period, flagged, unflagged) of all dimensions from one scan.
+
+    ``dimensions`` maps a name to its column; categories become text. Summaries, by-period tables,
+    stability and contrasts are sums over these cells, so a caller that wants many of them settles
+    the cells and never reads the table again.
+    """
+    pairs = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("dimension"), F.col(column).cast("string").alias("category")
+            )
+            for name, column in dimensions.items()
+        ]
+    )
+    long = df.select(period, is_flagged(flag).alias("_yes"), F.inline(pairs))
+    return long.groupBy("dimension", "category", period).agg(
+        F.count_if("_yes").alias("flagged"), F.count_if(~F.col("_yes")).alias("unflagged")
+    )
+
+
+def summary_from_cells(
+    cells: DataFrame, dimension: str, order: Sequence | None = None
+) -> DataFrame:
+    """``rate_summary`` of one dimension of ``dimension_cells``."""
+    own = cells.where(F.col("dimension") == dimension)
+    out = (
+        own.groupBy("category")
+        .agg(F.sum("flagged").alias("flagged"), F.sum("unflagged").alias("unflagged"))
+        .select(
+            *_keys(["category"]),
+            *_measures(),
+            percent(cell_total(), grand_total(own)).alias("share_percent"),
+        )
+    )
+    return out if order is None else sort_by_order(out, "category", order)
+
+
+def by_period_from_cells(cells: DataFrame, dimension: str, period: str = "period") -> DataFrame:
+    """``rate_by_period`` with period shares for one dimension of ``dimension_cells``."""
+    own = cells.where(F.col("dimension") == dimension)
+    return own.join(period_totals(own, period), period).select(
+        period,
+        *_keys(["category"]),
+        *_measures(),
+        percent(cell_total(), "period_total").alias("period_share_percent"),
+    )
+
+
 # --- periods ---------------------------------------------------------------------------------
 
 
