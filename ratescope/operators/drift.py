@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ratescope.functions import (
     category_label,
-    count_at_or_below,
     is_finite,
     percent,
     ratio_or_zero,
@@ -183,14 +182,21 @@ def side_cells(
     )
 
 
-def apply_bins(cells: DataFrame, edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def apply_bins(
+    cells: DataFrame, edges: DataFrame, by: Sequence[str] = (), most_edges: int = len(DECILES)
+) -> DataFrame:
     """Rows per bin; bin = number of edges at or below the value, so extremes fall in end bins.
 
-    ``cells`` has (by…, variable, value, n), ``edges`` one array per variable.
+    ``cells`` has (by…, variable, value, n), ``edges`` one array of up to ``most_edges`` numbers per
+    variable. The comparisons are written out, which keeps them in generated code.
     """
+    below = [
+        F.when(F.get("edges", F.lit(i)) <= F.col("value"), 1).otherwise(0)
+        for i in range(most_edges)
+    ]
     return (
         cells.join(edges.select("variable", "edges"), "variable")
-        .withColumn("bin", count_at_or_below(F.col("edges"), F.col("value")))
+        .withColumn("bin", sum(below, F.lit(0)))
         .groupBy(*by, "variable", "bin")
         .agg(F.sum("n").alias("rows"))
     )
@@ -228,7 +234,7 @@ def numeric_drift(
     edges = stats.where(of_development).select(
         "variable", F.array_distinct(F.array(*quantiles)).alias("edges")
     )
-    binned = apply_bins(cells, edges, ["side"]).withColumnRenamed("rows", "n")
+    binned = apply_bins(cells, edges, ["side"], len(shares)).withColumnRenamed("rows", "n")
     exact = cells.where(F.col("variable").isin(*discrete))
     groups = binned.select("side", "variable", F.col("bin").cast("double").alias("value"), "n")
     distance = _side_distance(groups.unionByName(exact))

@@ -22,15 +22,17 @@ Fit = Callable[[DataFrame, Recipe, str], PipelineModel]
 def _fit(train: DataFrame, recipe: Recipe, flag: str, estimator) -> PipelineModel:
     """Fit the recipe, then the estimator on the encoded rows.
 
-    The encoded rows are read once per iteration, so they are spread evenly first: a few large
-    input files would otherwise keep most cores idle through the whole fit.
+    The estimator reads its rows once per iteration, so they are spread evenly before they are
+    encoded: a few large input files would otherwise keep most cores idle through the whole fit.
     """
     encoder = Pipeline(stages=recipe_stages(train, recipe)).fit(train)
-    encoded = encoder.transform(train).select(
-        recipe.output, F.col(flag).cast("double").alias(LABEL)
+    narrow = train.select(*recipe.predictors, F.col(flag).cast("double").alias(LABEL))
+    spark = train.sparkSession
+    parts = max(
+        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
     )
-    fitted = estimator.fit(encoded.hint("rebalance"))
-    return PipelineModel(stages=[*encoder.stages, fitted])
+    encoded = encoder.transform(narrow.repartition(parts)).select(recipe.output, LABEL)
+    return PipelineModel(stages=[*encoder.stages, estimator.fit(encoded)])
 
 
 def fit_logistic(
