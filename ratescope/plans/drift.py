@@ -296,7 +296,7 @@ MATRIX_SQL = " UNION ALL ".join(
         ),
         _contrast_sql(
             "code",
-            _pick("code", "rate_percent DESC", "total >= 500 AND category <> '0'"),
+            _pick("code", "rate_percent DESC", "total >= 100 AND category <> '0'"),
             _pick("code", "total DESC"),
             "central",
         ),
@@ -319,7 +319,7 @@ def matrix(spark, folder):
         contrast("l_linestatus", pick("value", "O"), pick("value", "F"), "central"),
         contrast(
             "code",
-            pick("highest_rate", minimum_rows=500, excluded=(0,)),
+            pick("highest_rate", minimum_rows=100, excluded=(0,)),
             pick("highest_volume"),
             "central",
         ),
