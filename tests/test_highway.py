@@ -57,7 +57,7 @@ def files(spark):
         "veiculos": (h % 4 + 1).cast("string"),
         "latitude": F.concat(F.lit("-"), (h % 30).cast("string"), F.lit(",5")),
         "longitude": F.concat(F.lit("-"), (h % 40 + 33).cast("string"), F.lit(",25")),
-        "regional": F.lit("SPRF"),
+        "regional": F.lit("REG"),
         "delegacia": F.lit("DEL"),
         "uop": F.lit("UOP"),
     }
