@@ -268,7 +268,7 @@ def _contrast_sql(dimension: str, focal: str, reference: str, priority: str, min
 
 def _quality_sql(dimension: str, value: str) -> str:
     return f"""SELECT '{dimension}' AS dimension, category || ' (special category)' AS comparison,
-  category AS focal_category, total, rate_percent, NULL AS reference_category, NULL::BIGINT AS reference_total,
+  category AS focal_category, total, rate_percent, NULL::VARCHAR AS reference_category, NULL::BIGINT AS reference_total,
   NULL::DOUBLE AS reference_rate_percent, NULL::DOUBLE AS difference_points, periods_observed,
   minimum_rate_percent, maximum_rate_percent, range_points, 'data_quality' AS sample_flag,
   'data quality' AS priority, false AS substantive FROM ev WHERE dimension = '{dimension}' AND category = '{value}'"""

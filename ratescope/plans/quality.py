@@ -364,7 +364,7 @@ PREDICTIONS = f"""{SC}, pred AS (SELECT o_orderkey, period,
   CASE WHEN o_orderkey % 50 = 0 THEN NOT flag ELSE flag END AS flag,
   CASE WHEN o_orderkey % 40 = 0 THEN score + 2 ELSE score END AS score,
   CASE WHEN o_orderkey % 30 = 0 THEN 99 ELSE fold END AS fold FROM sc WHERE period BETWEEN 1996 AND 2000),
-src AS (SELECT * FROM ord WHERE o_orderkey % 60 <> 0)"""
+src AS (SELECT * FROM ord WHERE o_orderpriority <> '5-LOW')"""
 
 
 @query(
@@ -373,7 +373,7 @@ src AS (SELECT * FROM ord WHERE o_orderkey % 60 <> 0)"""
 SELECT 'score_out_of_range' AS "check", count(*) FILTER (WHERE score > 1 OR score < 0) AS violations FROM pred
 UNION ALL SELECT 'wrong_fold', count(*) FILTER (WHERE fold <> period - 1995) FROM pred
 UNION ALL SELECT 'duplicated_ids', 0 FROM (SELECT 1)
-UNION ALL SELECT 'unknown_ids', count(*) FILTER (WHERE o_orderkey % 60 = 0) FROM pred
+UNION ALL SELECT 'unknown_ids', count(*) FROM pred WHERE o_orderkey NOT IN (SELECT o_orderkey FROM src)
 UNION ALL SELECT 'flag_differs', count(*) FILTER (WHERE p.flag <> s.flag) FROM pred p JOIN src s USING (o_orderkey)
 UNION ALL SELECT 'period_differs', count(*) FILTER (WHERE p.period <> s.period) FROM pred p JOIN src s USING (o_orderkey)""",
 )
@@ -390,6 +390,6 @@ def check_predictions(spark, folder):
             F.when(key % 30 == 0, 99).otherwise(F.col("fold")).alias("fold"),
         )
     )
-    source = orders(spark, folder).where("o_orderkey % 60 <> 0")
+    source = orders(spark, folder).where("o_orderpriority <> '5-LOW'")
     folds = {p: p - 1995 for p in range(1996, 2001)}
     return dq.check_predictions(predictions, source, "o_orderkey", "score", folds)
