@@ -9,7 +9,6 @@ from ratescope.operators import features, statistics
 from ratescope.plans.registry import query
 from ratescope.plans.tables import (
     EV,
-    ITEMS,
     OCC,
     ORD,
     PLACES,

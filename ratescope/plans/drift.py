@@ -14,7 +14,6 @@ from ratescope.plans.tables import (
     DEVELOPMENT,
     EV,
     FINAL,
-    FLAGGED,
     ITEMS,
     MEASURES,
     NAME_TOKENS,
@@ -26,7 +25,6 @@ from ratescope.plans.tables import (
 )
 from ratescope.plans.rates import LATE
 
-SIDES = "period <= 2000 AS dev, period = 2001 AS cmp"
 TVD = "round(0.5::DOUBLE * sum(abs(d / (SELECT sum(d) FROM c) - k / (SELECT sum(k) FROM c))), 9) AS tvd"
 
 

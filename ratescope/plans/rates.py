@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ratescope.operators import joins, lifecycle, ranking, rates, statistics, tokens
 from ratescope.plans.registry import query
 from ratescope.plans.tables import (
-    FLAGGED,
     ITEMS,
     MEASURES,
     NAME_TOKENS,
@@ -386,9 +385,6 @@ def threshold_diagnostics(spark, folder):
 
 # --- multi-valued fields ---------------------------------------------------------------------
 
-TOKEN_SHARE = "containing_percent"
-
-
 @query("explode_tokens", f"WITH {TOK} SELECT period, flag, token, count(*) AS n FROM tok GROUP BY ALL")
 def explode_tokens(spark, folder):
     exploded = tokens.explode_tokens(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,15 +24,6 @@ def finite_or_error(df: DataFrame) -> DataFrame:
     return df.select(*checked)
 
 
-def non_finite_rows(df: DataFrame) -> DataFrame:
-    """Rows holding a NaN or infinite number, for reporting before a write."""
-    numbers = [
-        f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))
-    ]
-    tests = [F.isnan(c) | (F.abs(F.col(c)) == F.lit(float("inf"))) for c in numbers]
-    return df.where(reduce(lambda a, b: a | b, tests, F.lit(False)))
-
-
 def write_cube_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """JSON lines without NaN or infinity; the check happens in the write itself."""
     finite_or_error(df).write.mode(mode).json(path)
