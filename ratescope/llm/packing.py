@@ -16,51 +16,50 @@ from ratescope.llm.common import ranks_within, text_of
 from ratescope.runtime import settle
 
 
-class WordTokens:
-    """Token ids of texts, with the ids of words seen before at hand.
+#: How byte-level tokenizers write a byte: printable Latin-1 as it is, the others from U+0100 on.
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in PRINTED)}
+
+
+class WordTokens(dict):
+    """Words and their token ids, as little-endian unsigned 32-bit numbers; filled as words are met.
 
     For tokenizers that drop white space and never merge across it, the ids of a text are those of
-    its words. So each distinct word is tokenized once, and a text is put together by look-ups. A word that
-    ends in one comma or full stop after a letter is looked up without it, an ASCII word in lower
-    case. At most ``most_words`` words are kept; then the table starts anew.
+    its words. So a distinct word is tokenized once and a text is put together by look-ups. A comma or
+    full stop after a letter is a token of its own and looked up apart. Of a word of Latin letters alone
+    (to U+00FF) the tokenizer's preparation changes the case only, so it is looked up in lower case and its
+    merges are asked for directly. At ``most_words`` words the table starts anew.
     """
 
-    def __init__(self, vocabulary: str, most_words: int = 400_000):
-        import os
-
+    def __init__(self, vocabulary: str, most_words: int = 500_000):
+        super().__init__()
         from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.merges = self.tokenizer.model
         self.most_words = most_words
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > self.most_words:
-            self.known = {"": b""}
-        known, parts = self.known, []
-        for word in words:
-            stop = word[-1:] in (",", ".") and word[-2:-1].isalpha()
-            base, tail = (word[:-1], word[-1]) if stop else (word, "")
-            # upper-case letters spell no special token, so those words stay as they are
-            parts.append((word, base.lower() if base.isascii() and "<|" not in base else base, tail))
-        fresh = list({x for _, base, tail in parts for x in (base, tail) if x not in known})
-        for word, found in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            known[word] = np.asarray(found.ids, dtype="<u4").tobytes()
-        for word, base, tail in parts:
-            known[word] = known[base] + known[tail]
+
+    def __missing__(self, word: str) -> bytes:
+        if word[-1:] in (",", ".") and word[-2:-1].isalpha():
+            ids = self[word[:-1]] + self[word[-1]]
+        elif word.isalpha() and max(word) <= "\xff":
+            small = word.lower()
+            if small == word:
+                letters = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+                ids = np.array([t.id for t in self.merges.tokenize(letters)], dtype="<u4").tobytes()
+            else:
+                ids = self[small]
+        else:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if len(self) >= self.most_words:
+            self.clear()
+        self[word] = ids
+        return ids
 
     def ids(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        words = text.replace("\n", " ").split(" ")
-        found = list(map(self.known.get, words))
-        if None in found:
-            missing = {w for w, ids in zip(words, found, strict=True) if ids is None}
-            if len(self.known) + len(missing) > self.most_words:
-                missing = set(words)
-            self._learn(missing)
-            found = list(map(self.known.__getitem__, words))
-        return b"".join(found)
+        # split() also splits at these four, which the tokenizers take for symbols
+        plain = not any(c in text for c in "\x1c\x1d\x1e\x1f")
+        return b"".join(map(self.__getitem__, text.split() if plain else text.split(" ")))
 
 
 _TOKENS: dict[str, WordTokens] = {}
