@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ratescope.llm import exact, mixing, packing, shards, shingles
+from ratescope.llm import exact, mixing, packing, shards, shingles, toxicity
 from ratescope.llm.common import table
 
 QUERIES = {}
@@ -49,3 +49,8 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingles.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
