@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ratescope.llm import exact, mixing, packing, shards, shingles, toxicity
+from ratescope.llm import exact, licenses, mixing, neighbours, packing, pages, personal, shards, shingles, toxicity
 from ratescope.llm.common import table
 
 QUERIES = {}
@@ -17,6 +17,11 @@ def query(function):
     return function
 
 
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licences(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact.exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
@@ -41,6 +46,16 @@ def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_rows(table(spark, sf_dir, "documents"), 24)
 
 
+@query
+def op5_vector_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 @query
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -54,3 +69,8 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.personal_data(table(spark, sf_dir, "documents"))

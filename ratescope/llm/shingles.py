@@ -56,14 +56,28 @@ def set_name(shingles: np.ndarray) -> int:
 CHUNK = 4096
 
 
+def bitmap_of(shingles: np.ndarray) -> np.ndarray:
+    """One bit per shingle hash among 64, 128, 256 … bits, at least four per shingle."""
+    width = max(64, 1 << int(4 * len(shingles) - 1).bit_length())
+    bits = np.zeros(width, dtype=np.uint8)
+    bits[(shingles & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view("<u8")
+
+
+def _folded(bitmap: np.ndarray, words: int) -> np.ndarray:
+    """The same set's bitmap of ``words`` words: hashes keep their low bits, so halves are laid over each other."""
+    return np.bitwise_or.reduce(bitmap.reshape(-1, words), axis=0)
+
+
 def _sets_and_counts(docs: DataFrame, width: int, bits: int) -> DataFrame:
-    """Per row its set's size and name; and per task how many shingles fell on each of 2**bits counters."""
+    """Per row its set's size, name and bitmap; and per task how many shingles fell on each of 2**bits counters."""
     schema = T.StructType(
         [
             docs.schema["id"],
             T.StructField("part", T.IntegerType()),
             T.StructField("n_shingles", T.LongType()),
             T.StructField("set", T.LongType()),
+            T.StructField("bitmap", T.BinaryType()),
             T.StructField("chunk", T.IntegerType()),
             T.StructField("counts", T.BinaryType()),
         ]
@@ -84,6 +98,7 @@ def _sets_and_counts(docs: DataFrame, width: int, bits: int) -> DataFrame:
                     batch.column(1),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_name(s) for s in sets], pa.int64()),
+                    pa.array([bitmap_of(s).tobytes() for s in sets], pa.binary()),
                     pa.nulls(n, pa.int32()),
                     pa.nulls(n, pa.binary()),
                 ],
@@ -98,6 +113,7 @@ def _sets_and_counts(docs: DataFrame, width: int, bits: int) -> DataFrame:
                     pa.nulls(n, pa.int32()),
                     pa.nulls(n, pa.int64()),
                     pa.nulls(n, pa.int64()),
+                    pa.nulls(n, pa.binary()),
                     pa.array(range(n), pa.int32()),
                     pa.array([p.tobytes() for p in parts], pa.binary()),
                 ],
@@ -197,46 +213,83 @@ def _set_arrays(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(read, "set long, shingles binary")
 
 
-def links_in_tile(names: np.ndarray, arrays: list[np.ndarray], lower: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that connect the sets of a tile which link at all: a spanning forest of them.
+def _needed(size: int, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """The smallest intersection that links a set of ``size`` with sets of ``sizes``."""
+    return -(-percent * (size + sizes) // (100 + percent))
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted arrays."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    return int(np.count_nonzero(b[at] == a))
 
-    Pairs of a set in ``left`` and one in ``right`` are compared, at least one of them ``lower`` (of the
-    tile's own size band). Each set has a bitmap with one bit per shingle hash; the bits that one
-    set has and the other lacks are shingles not shared, so counting them bounds the intersection from
-    above. What the bound lets through is intersected exactly, unless the two are connected already.
+
+class Tile:
+    """Sets in order of size, with bitmaps of one width, of which pairs are to be compared.
+
+    A pair has one set in ``left`` and one in ``right`` (blocks of a large tile), at least one of them of the tile's own
+    size band (``lower``). The bits that one set has and the other lacks are shingles not shared, so
+    counting them bounds the intersection from above.
     """
-    order = np.argsort([len(a) for a in arrays], kind="stable")
-    names, lower, left, right = names[order], lower[order], left[order], right[order]
-    arrays = [arrays[i] for i in order]
-    sizes = np.array([len(a) for a in arrays], dtype=np.int64)
-    width = max(64, 1 << int(4 * sizes.max()).bit_length())
-    bitmaps = np.zeros((len(arrays), width // 64), dtype=np.uint64)
-    for i, a in enumerate(arrays):
-        at = a & np.uint64(width - 1)
-        np.bitwise_or.at(bitmaps[i], (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    group = np.arange(len(arrays))
-    links = []
-    for i in range(len(arrays) - 1):
-        rest = slice(i + 1, np.searchsorted(sizes, sizes[i] * 100 // percent, side="right"))
-        may = ((left[i] & right[rest]) | (right[i] & left[rest])) & (lower[i] | lower[rest]) & (group[rest] != group[i])
+
+    def __init__(self, sizes, bitmaps, lower, left, right, percent: int):
+        self.order = np.argsort(sizes, kind="stable")
+        self.sizes = np.asarray(sizes, dtype=np.int64)[self.order]
+        words = min(len(b) for b in bitmaps)
+        self.bitmaps = np.stack([_folded(bitmaps[i], words) for i in self.order])
+        self.lower, self.left, self.right = (np.asarray(x)[self.order] for x in (lower, left, right))
+        self.percent = percent
+
+    def near(self, i: int, group: np.ndarray | None = None) -> np.ndarray:
+        """Places after i that the bound lets through; those of i's own group are left out."""
+        end = np.searchsorted(self.sizes, self.sizes[i] * 100 // self.percent, side="right")
+        rest = slice(i + 1, end)
+        may = ((self.left[i] & self.right[rest]) | (self.right[i] & self.left[rest])) & (self.lower[i] | self.lower[rest])
+        if group is not None:
+            may &= group[rest] != group[i]
         others = np.flatnonzero(may) + i + 1
-        if not len(others):
-            continue
-        needed = -(-percent * (sizes[i] + sizes[others]) // (100 + percent))
-        mine, theirs = bitmaps[i], bitmaps[others]
+        mine, theirs = self.bitmaps[i], self.bitmaps[others]
         bound = np.minimum(
-            sizes[i] - np.bitwise_count(mine & ~theirs).sum(axis=1, dtype=np.int64),
-            sizes[others] - np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64),
+            self.sizes[i] - np.bitwise_count(mine & ~theirs).sum(axis=1, dtype=np.int64),
+            self.sizes[others] - np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64),
         )
-        for j, need in zip(others[bound >= needed], needed[bound >= needed], strict=True):
-            if group[i] == group[j]:
-                continue
-            at = np.searchsorted(arrays[j], arrays[i])
-            shared = np.count_nonzero(arrays[j][np.minimum(at, sizes[j] - 1)] == arrays[i])
-            if shared >= need:
-                links.append((int(names[i]), int(names[j])))
+        return others[bound >= _needed(self.sizes[i], self.sizes[others], self.percent)]
+
+
+def near_pairs(names: np.ndarray, tile: Tile) -> list[tuple[int, int]]:
+    """Pairs of set names that the bitmaps do not tell apart."""
+    names = names[tile.order]
+    return [(int(names[i]), int(names[j])) for i in range(len(names) - 1) for j in tile.near(i)]
+
+
+def forest(names: np.ndarray, groups: np.ndarray, arrays: list[np.ndarray], tile: Tile) -> list[tuple[int, int]]:
+    """Links between groups of a tile, exactly intersected: enough of them to join all groups that link."""
+    names, arrays = names[tile.order], [arrays[i] for i in tile.order]
+    group, found = np.unique(groups[tile.order], return_inverse=True)[1], []
+    for i in range(len(names) - 1):
+        for j in tile.near(i, group):
+            if group[i] != group[j] and _shared(arrays[i], arrays[j]) >= _needed(tile.sizes[i], tile.sizes[j], tile.percent):
+                found.append((int(names[i]), int(names[j])))
                 group[group == group[j]] = group[i]
-    return links
+    return found
+
+
+def _linked(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), dtype="<u8") for v in (x, y))
+                good.append(_shared(x, y) >= _needed(len(x), len(y), percent))
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    a = arrays.select(F.col("set").alias("a"), F.col("shingles").alias("x"))
+    b = arrays.select(F.col("set").alias("b"), F.col("shingles").alias("y"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(keep, "a long, b long")
 
 
 def jaccard_components(
@@ -246,6 +299,7 @@ def jaccard_components(
     width: int = 5,
     percent: int = 80,
     bits: int = 20,
+    small: int = 64,
     block_rows: int = 1024,
     block_bytes: int = 8 << 20,
 ) -> DataFrame:
@@ -255,16 +309,20 @@ def jaccard_components(
     between different sets are found or implied by others found; equal sets are one set throughout, so
     copies are never compared. Steps:
 
-    1. One pass names each row's set and counts shingles in 2**bits counters (a fixed table).
+    1. One pass names each row's set, makes its bitmap (about a byte per word) and counts shingles in
+       2**bits counters (a fixed table).
     2. A second pass sends each set's rarest shingles (see ``_prefixes``); a window keeps those that
        two sets share, and of shingles with the same sets one is kept.
     3. A shingle's sets form tiles by size band (factor 100/percent: linked sets are in one band or in
-       neighbours). A large tile is cut into blocks; pairs of blocks are compared by themselves, so no
-       task holds more than two blocks. Only links that connect something new leave a task.
-    4. Links are joined into components; the result reaches the rows through (set, part) pairs.
+       neighbours). In a tile of at most ``small`` sets the bitmaps are compared and the pairs left
+       are intersected exactly, once each. In a larger tile all sets are intersected with one of them.
+    4. Larger tiles that are not yet one component are cut into blocks, and pairs of blocks compared
+       by bitmap and, between components, exactly; only links that join components leave a task,
+       which never holds more than two blocks.
+    5. Links become components; the result reaches the rows through (set, part) pairs.
 
-    Comparisons in a tile grow with the square of its distinct sets that share a rare shingle; bitmaps make
-    one cost some nanoseconds, and rows between tasks grow with the number of blocks only.
+    So a large group of near copies costs one comparison per member and rare shingle, unless it holds
+    sets that do not link; then bitmaps are compared in the square of the tile, blockwise.
 
     Null and empty texts have no shingles and link with nothing: their component is their own id.
     A null id is smallest only if its whole component has no other. Repeated rows are copies.
@@ -273,6 +331,10 @@ def jaccard_components(
     first = settle(_sets_and_counts(source, width, bits))
     rows = first.where(F.col("n_shingles").isNotNull()).select("id", "part", "n_shingles", "set")
     counts = _total_counts(first.where(F.col("chunk").isNotNull()), bits)
+    sets = settle(
+        first.where("n_shingles > 0").groupBy("set").agg(F.min("id").alias("id"), F.first("bitmap").alias("bitmap"))
+    )
+
     tile = Window.partitionBy("shingle", "salt")
     shared = (
         _prefixes(source, counts, width, bits, percent)
@@ -291,44 +353,80 @@ def jaccard_components(
         .select("shingle")
     )
     band = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
-    members = shared.join(same_sets, "shingle").withColumn("band", band)
-    tiled = settle(
-        members.select("shingle", "set", "size", F.explode(F.array(F.struct(F.col("band").alias("tile"), F.lit(True).alias("lower")), F.struct((F.col("band") - 1).alias("tile"), F.lit(False).alias("lower")))).alias("t")).select(
-            "shingle", "set", "size", "t.tile", "t.lower"
+    own = F.struct(band.alias("tile"), F.lit(True).alias("lower"))
+    below = F.struct((band - 1).alias("tile"), F.lit(False).alias("lower"))
+    banded = shared.join(same_sets, "shingle").select("shingle", "set", "size", F.explode(F.array(own, below)).alias("t"))
+    banded = banded.select("shingle", "t.tile", "set", "size", "t.lower")
+    tiles = (
+        banded.groupBy("shingle", "tile")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.max("lower").alias("any_lower"),
+            F.sum("size").alias("n_shingles"),
+            F.min(F.when(F.col("lower"), F.col("set"))).alias("leader"),
         )
-    )
-    blocks = (
-        tiled.groupBy("shingle", "tile")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("lower").alias("any_lower"), F.sum("size").alias("n_shingles"))
         .where("n > 1 and any_lower")
-        .select("shingle", "tile", F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("n_shingles") * 8 / block_bytes)).cast("int").alias("blocks"))
     )
-    mine = F.pmod(F.xxhash64("set", F.lit("block")), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    members = settle(banded.join(tiles, ["shingle", "tile"]))
+
+    def compare_small(frame: pd.DataFrame) -> pd.DataFrame:
+        every = np.ones(len(frame), dtype=bool)
+        bitmaps = [np.frombuffer(b, dtype="<u8") for b in frame["bitmap"]]
+        tile = Tile(frame["size"].to_numpy(), bitmaps, frame["lower"].to_numpy(), every, every, percent)
+        return pd.DataFrame(near_pairs(frame["set"].to_numpy(), tile), columns=["a", "b"], dtype="int64")
+
+    bitmaps = sets.select("set", "bitmap")
+    from_small = members.where(F.col("n") <= small).select("shingle", "tile", "set", "size", "lower").join(bitmaps, "set")
+    from_small = from_small.groupBy("shingle", "tile").applyInPandas(compare_small, "a long, b long")
+    from_large = members.where((F.col("n") > small) & (F.col("set") != F.col("leader"))).select(F.col("leader").alias("a"), F.col("set").alias("b"))
+    pairs = from_small.union(from_large).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = settle(pairs.distinct())
+
+    def arrays_of(wanted: DataFrame) -> DataFrame:
+        """Sorted shingles of the wanted sets, from one text each."""
+        owners = settle(sets.join(wanted, "set", "left_semi").select("id").distinct())
+        texts = source.join(owners, source["id"].eqNullSafe(owners["id"]), "left_semi")
+        return _set_arrays(texts, width).groupBy("set").agg(F.first("shingles").alias("shingles"))
+
+    first_links = settle(_linked(pairs, settle(arrays_of(pairs.select("a").union(pairs.select("b")).toDF("set"))), percent))
+    roots = components(first_links, "a", "b")
+
+    grouped = members.where(F.col("n") > small).join(roots, members["set"] == roots["node"], "left")
+    grouped = grouped.select("shingle", "tile", "set", "size", "lower", F.coalesce("component", "set").alias("group"))
+    blocks = F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("n_shingles") * 8 / block_bytes)).cast("int")
+    alive = (
+        grouped.groupBy("shingle", "tile")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("n_shingles"), F.min("group").alias("least"), F.max("group").alias("most"))
+        .where("least != most")
+        .select("shingle", "tile", blocks.alias("blocks"))
+    )
     compared = settle(
-        tiled.join(blocks, ["shingle", "tile"])
-        .withColumn("mine", mine)
-        .withColumn("other", other)
-        .select("shingle", "tile", "set", "lower", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+        grouped.join(alive, ["shingle", "tile"])
+        .withColumn("mine", F.pmod(F.xxhash64("set", F.lit("block")), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("shingle", "tile", "set", "lower", "group", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
     )
-    wanted = compared.select("set").distinct()
-    owners = settle(rows.join(wanted, "set").groupBy("set").agg(F.min("id").alias("id")).select("id").distinct())
-    arrays = _set_arrays(source.join(owners, source["id"].eqNullSafe(owners["id"]), "left_semi"), width)
-    arrays = arrays.groupBy("set").agg(F.first("shingles").alias("shingles"))
 
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(b, dtype=np.uint64) for b in frame["shingles"]]
+    def compare_blocks(frame: pd.DataFrame) -> pd.DataFrame:
+        arrays = [np.frombuffer(b, dtype="<u8") for b in frame["shingles"]]
         mine = frame["mine"].to_numpy()
-        found = links_in_tile(
-            frame["set"].to_numpy(), sets, frame["lower"].to_numpy(), mine == frame["low"].to_numpy(), mine == frame["high"].to_numpy(), percent
+        tile = Tile(
+            [len(a) for a in arrays],
+            [bitmap_of(a) for a in arrays],
+            frame["lower"].to_numpy(),
+            mine == frame["low"].to_numpy(),
+            mine == frame["high"].to_numpy(),
+            percent,
         )
+        found = forest(frame["set"].to_numpy(), frame["group"].to_numpy(), arrays, tile)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    links = compared.join(arrays, "set").groupBy("shingle", "tile", "low", "high").applyInPandas(compare, "a long, b long")
-    roots = components(settle(links), "a", "b")
-    least = rows.where("n_shingles > 0").groupBy("set").agg(F.min("id").alias("least"))
-    labelled = least.join(roots, least["set"] == roots["node"], "left").withColumn("root", F.coalesce("component", "set"))
-    smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
+    rest = compared.join(arrays_of(compared.select("set")), "set")
+    rest = rest.groupBy("shingle", "tile", "low", "high").applyInPandas(compare_blocks, "a long, b long")
+    roots = components(roots.toDF("a", "b").union(rest), "a", "b")
+
+    labelled = sets.select("set", "id").join(roots, sets["set"] == roots["node"], "left").withColumn("root", F.coalesce("component", "set"))
+    smallest = labelled.groupBy("root").agg(F.min("id").alias("component_id"))
     labels = settle(labelled.select("set", "root").join(smallest, "root").select("set", "component_id"))
     found = spread_join(rows, labels, ["set"], "part")
     return found.select(
