@@ -147,7 +147,7 @@ def _shares(raw: np.ndarray, temperature: float) -> np.ndarray:
 def _training_rows(spark: SparkSession, background: DataFrame, copies: int, seed: int) -> DataFrame:
     """(label, text, held): varied templates, and background paragraphs as unknown.
 
-    A copy loses about a tenth of its words and may stand after the words of a background paragraph;
+    A copy loses about a tenth of its words and may stand between words of background paragraphs;
     background paragraphs that hold a template are left out.
     """
     listed = [(float(FAMILIES.index(f)), k, t) for f, ts in TEMPLATES.items() for k, t in enumerate(ts)]
@@ -156,10 +156,12 @@ def _training_rows(spark: SparkSession, background: DataFrame, copies: int, seed
     words = F.split("text", r"\s+")
     thinned = F.filter(words, lambda w: (F.col("copy") == 0) | (F.pmod(F.xxhash64(w, "copy", F.lit(seed)), F.lit(10)) > 0))
     numbered = background.withColumn("place", F.pmod(F.xxhash64("text"), F.lit(97)))
-    lead = numbered.groupBy("place").agg(F.min("text").alias("lead")).select("place", F.slice(F.split("lead", r"\s+"), 1, 12).alias("lead"))
-    varied = copied.withColumn("place", F.pmod(draw, F.lit(97))).join(lead, "place", "left")
-    before = F.when((draw % 2 == 0) & F.col("lead").isNotNull(), F.col("lead")).otherwise(F.array().cast("array<string>"))
-    notices = varied.select("label", F.array_join(F.concat(before, thinned), " ").alias("text"), (draw % 5 == 0).alias("held"))
+    around = numbered.groupBy("place").agg(F.split(F.min("text"), r"\s+").alias("lead"), F.split(F.max("text"), r"\s+").alias("tail"))
+    varied = copied.withColumn("place", F.pmod(draw, F.lit(97))).join(around, "place", "left")
+    alone = F.array().cast("array<string>")
+    before = F.when((draw % 2 == 0) & F.col("lead").isNotNull(), F.slice("lead", F.lit(1), (draw % 31).cast("int"))).otherwise(alone)
+    after = F.when((draw % 3 == 0) & F.col("tail").isNotNull(), F.slice("tail", F.lit(1), (draw % 29).cast("int"))).otherwise(alone)
+    notices = varied.select("label", F.array_join(F.concat(before, thinned, after), " ").alias("text"), (draw % 5 == 0).alias("held"))
     agreement = F.greatest(*[template_agreement(F.col("text"), F.lit(f)) for f in TEMPLATES])
     other = background.where(agreement < 0.5).select(F.lit(0.0).alias("label"), "text", (F.pmod(F.xxhash64("text"), F.lit(5)) == 0).alias("held"))
     return notices.union(other)
@@ -194,8 +196,8 @@ def scan_licences(
     docs: DataFrame,
     id_column: str = "doc_id",
     text_column: str = "text",
-    most_words: int = 80,
-    step: int = 60,
+    most_words: int = 60,
+    step: int = 40,
     agree: float = 0.6,
     **settings,
 ) -> DataFrame:

@@ -81,6 +81,7 @@ def mix_plan(
     shard_words: int = 1 << 17,
     most_shards: int = 1 << 20,
     seed: int = 7,
+    row_column: str | None = None,
 ) -> DataFrame:
     """How many words of each row the mix takes.
 
@@ -96,16 +97,18 @@ def mix_plan(
     rows is as many tasks as it has shards. Rows with equal hashes stand by id and size.
 
     Returns id, size, source, source_size, target, taken, first (the first word of the part taken
-    once more than the rest), extra (its length; it may wrap around) and row. A null text has 0 words; the null source is a source.
+    once more than the rest), extra (its length; it may wrap around), times and row (``row_column``, if given). A null text has 0 words; the null
+    source is a source.
     """
     text = text_of("text")
+    number = F.col(row_column) if row_column else F.monotonically_increasing_id()
     rows = settle(
-        docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(source_column).alias("source")).select(
+        docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(source_column).alias("source"), number.alias("row")).select(
             "id",
             "source",
             word_count(text).alias("size"),
             F.xxhash64(F.lit(seed), F.col("id"), F.crc32(F.encode(text, "UTF-8"))).alias("draw"),
-            F.monotonically_increasing_id().alias("row"),
+            "row",
         )
     )
     sizes = settle(rows.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")))
@@ -167,11 +170,8 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     so one that counts the text still counts the whole.
     """
     numbered, row = with_row_numbers(docs)
-    source = F.col(source_column) if source_column in docs.columns else F.lit(None).cast("string")
-    plan = mix_plan(
-        numbered.select(F.col(row).alias("id"), F.col(text_column).alias("text"), source.alias("source")), "id", "text", "source", **settings
-    ).select(F.col("id").alias(row), "size", "times", "first", "extra")
-    plan = plan.where("times > 0 or extra > 0").select(row, F.struct("size", "times", "first", "extra").alias(f"{row}plan"))
+    plan = mix_plan(numbered, id_column, text_column, source_column, row_column=row, **settings).withColumnRenamed("row", row)
+    plan = plan.where("size > 0 and (times > 0 or extra > 0)").select(row, F.struct("size", "times", "first", "extra").alias(f"{row}plan"))
     p = F.col(f"{row}plan")
     whole = p["times"] + (p["extra"] >= p["size"]).cast("int")
     cut = (p["extra"] > 0) & (p["extra"] < p["size"])

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratescope.llm.common import spread_join, unused_name, with_row_numbers
+from ratescope.llm.common import spread_join, with_row_numbers
 from ratescope.llm.components import components
 from ratescope.runtime import settle
 
@@ -439,8 +439,11 @@ def jaccard_components(
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **settings) -> DataFrame:
     """``docs`` with one row of each component, the one with the smallest id, all columns unchanged."""
     numbered, row = with_row_numbers(docs)
-    key = unused_name(numbered, "key")
-    named = numbered.select(F.struct(F.col(id_column).isNull().alias("missing"), F.col(id_column).alias("id"), F.col(row).alias("row")).alias(key), F.col(text_column))
-    found = jaccard_components(named, key, text_column, **settings)
-    dropped = settle(found.where((F.col("n_shingles") > 0) & (F.col("component_id") != F.col(key))).select(F.col(f"{key}.row").alias(row)))
+    found = jaccard_components(numbered.select(F.col(row).alias("at"), F.col(text_column).alias("text")), "at", "text", **settings)
+    linked = settle(found.where("n_shingles > 0").select("at", "component_id"))
+    groups = linked.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
+    ids = numbered.select(F.col(row).alias("at"), F.col(id_column).alias("id"))
+    members = settle(linked.join(groups, "component_id").join(ids, "at"))
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "at")).alias("first"))
+    dropped = settle(members.join(first, "component_id").where("at != first.at").select(F.col("at").alias(row)))
     return numbered.join(dropped, row, "left_anti").select(*docs.columns)

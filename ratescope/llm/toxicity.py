@@ -43,16 +43,16 @@ def _features(chosen: list[int]) -> list:
     return [slicer, *steps, VectorAssembler(inputCols=[f"over_{k}" for k in range(len(OVER))], outputCol="features")]
 
 
-def _telling(counts: dict[float, tuple[int, np.ndarray]], terms: int, least: int) -> list[int]:
-    """The counters with the highest chi-square between the classes; at least one."""
+def _telling(counts: dict[float, tuple[int, np.ndarray]], terms: int, least: int, telling: float) -> list[int]:
+    """The counters with the highest chi-square between the classes, of at least ``telling``; at least one."""
     (n0, with0), (n1, with1) = counts[0.0], counts[1.0]
     n, hit = n0 + n1, with0 + with1
     expected = hit * n1 / n
     spread = hit * (1 - hit / n) * n1 / n * n0 / n
     chi = np.where((hit >= least) & (spread > 0), (with1 - expected) ** 2 / np.maximum(spread, 1e-12), 0.0)
     best = np.lexsort((np.arange(len(chi)), -chi))[:terms]
-    chosen = [int(i) for i in best if chi[i] > 0]
-    return sorted(chosen) or [0]
+    chosen = [int(i) for i in best if chi[i] >= telling]
+    return sorted(chosen) or [int(best[0])]
 
 
 class ToxicityModel:
@@ -81,6 +81,7 @@ def fit_toxicity(
     most_labels: int = 20_000,
     terms: int = 1024,
     least: int = 5,
+    telling: float = 10.8,
     factors: int = 4,
     rounds: int = 80,
     step: float = 0.1,
@@ -95,7 +96,8 @@ def fit_toxicity(
     smallest hashes; that bound also makes the list of ids safe to broadcast to the scan of the texts. Of several labels
     of one id the highest counts; null ids and labels are left out. Terms are hashed
     to BUCKETS counters; the ``terms`` of them that tell the classes apart best (chi-square) are used, among those
-    that ``least`` training rows have.
+    that ``least`` training rows have and whose chi-square is at least ``telling`` (one counter in a
+    thousand gets there by chance), so that the machine cannot explain labels by chance terms.
     """
     known = labels.select(F.col(id_column).alias("id"), F.col(label_column).cast("double").alias("label"))
     known = known.where(F.col("id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("id")))
@@ -108,7 +110,7 @@ def fit_toxicity(
     if set(counts) != {0.0, 1.0}:
         n = sum(v[0] for v in counts.values())
         return ToxicityModel(None, counts.get(1.0, (0,))[0] / n if n else 0.0)
-    steps = _features(_telling(counts, terms, least))
+    steps = _features(_telling(counts, terms, least, telling))
     machine = FMClassifier(
         featuresCol="features", labelCol="label", factorSize=factors, regParam=penalty, maxIter=rounds, stepSize=step, seed=seed, initStd=0.01, tol=1e-6
     )
