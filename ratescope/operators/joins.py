@@ -8,42 +8,47 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ratescope.functions import demand
+
 
 def attach_attributes(df: DataFrame, attributes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join; rows without attributes stay."""
     return df.join(attributes, list(keys), "left")
 
 
+def _counted(df: DataFrame, keys: Sequence[str], count: str) -> DataFrame:
+    others = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias(count), *[F.first(c).alias(c) for c in others]
+    )
+
+
 def unique_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The table with each key once; a second row of a key fails the query.
 
     The keys are grouped anyway for the join that follows, so the check costs no extra shuffle.
     """
-    others = [c for c in df.columns if c not in keys]
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in others])
-        .select(
-            *keys,
-            *[
-                F.when(F.col("_n") > 1, F.raise_error(F.lit("key is not unique")))
-                .otherwise(F.col(c))
-                .alias(c)
-                for c in others
-            ],
-        )
-    )
+    single = demand(F.col("_n") == 1, "key is not unique")
+    return _counted(df, keys, "_n").where(single).drop("_n")
 
 
 def checked_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", cardinality: str = "m:1"
 ) -> DataFrame:
-    """Join whose right side (``m:1``) or both sides (``1:1``) hold each key once."""
+    """Join whose right side (``m:1``) or both sides (``1:1``) hold each key once.
+
+    The check reads the right side's row count after the join, so it also runs where no column of
+    the right side is read; a duplicated right key fails the query if it meets a row of the left.
+    """
     if cardinality not in ("m:1", "1:1"):
         raise ValueError(cardinality)
     if cardinality == "1:1":
         left = unique_keys(left, keys)
-    return left.join(unique_keys(right, keys), list(keys), how)
+    if how.replace("_", "") in ("semi", "leftsemi", "anti", "leftanti"):
+        return left.join(unique_keys(right, keys), list(keys), how)
+    single = demand(F.coalesce("_n_right", F.lit(1)) == 1, "key is not unique")
+    joined = left.join(_counted(right, keys, "_n_right"), list(keys), how)
+    return joined.where(single).drop("_n_right")
 
 
 def missing_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -98,9 +103,7 @@ def align_tables(
     agree = F.col("_a").isNotNull() & F.col("_b").isNotNull()
     for c in compare:
         agree = agree & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
-    first = keys[0]
-    checked = F.when(agree, F.col(first)).otherwise(F.raise_error(F.lit("tables disagree")))
-    return joined.withColumn(first, checked).select(*left.columns, *extra)
+    return joined.where(demand(agree, "tables disagree")).select(*left.columns, *extra)
 
 
 def pair_deltas(

@@ -40,6 +40,7 @@ def read_delimited_strict(
         .option("encoding", encoding)
         .option("enforceSchema", False)
         .option("mode", "FAILFAST")
+        .option("columnPruning", False)  # else rows are checked only as far as they are read
         .csv(paths if isinstance(paths, str) else list(paths))
     )
     return raw.select(

@@ -111,6 +111,10 @@ def test_join_cardinality(spark):
         joins.checked_join(left, right, ["k"], cardinality="1:1").collect()
     with pytest.raises(Exception, match="not unique"):
         joins.checked_join(left, right.union(right), ["k"]).collect()
+    doubled = joins.checked_join(left, right.union(right), ["k"])
+    for unread in (doubled.select("k"), doubled.groupBy().count(), joins.checked_join(left, right.union(right).select("k"), ["k"])):
+        with pytest.raises(Exception, match="not unique"):
+            unread.collect()
 
 
 def test_alignment(spark):
@@ -121,6 +125,8 @@ def test_alignment(spark):
     for other in (b.where("id = 1"), b.withColumn("flag", ~F.col("flag"))):
         with pytest.raises(Exception, match="disagree"):
             joins.align_tables(a, other, ["id"], ["flag"]).collect()
+        with pytest.raises(Exception, match="disagree"):
+            joins.align_tables(a, other, ["id"], ["flag"]).count()
 
 
 def test_union_of_different_types_is_refused(spark):
@@ -153,6 +159,8 @@ def test_code_page_and_null_tokens(spark, text):
 def test_wrong_header_and_ragged_rows_fail(spark, text, content):
     with pytest.raises(Exception):
         sources.read_delimited_strict(spark, text(content), ["id", "nome"]).collect()
+    with pytest.raises(Exception):
+        sources.read_delimited_strict(spark, text(content), ["id", "nome"]).select("id").collect()
 
 
 def test_code_page_needs_the_session_setting(spark, text):
