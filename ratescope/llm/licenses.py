@@ -168,7 +168,7 @@ def _training_rows(spark: SparkSession, background: DataFrame, copies: int, seed
 
 
 def fit_licences(
-    texts: DataFrame, copies: int = 60, most_background: int = 4000, buckets: int = 1 << 16, penalty: float = 1e-4, seed: int = 7
+    texts: DataFrame, copies: int = 60, most_background: int = 4000, buckets: int = 1 << 13, penalty: float = 1e-4, seed: int = 7
 ) -> LicenceModel:
     """Train on varied templates and at most ``most_background`` paragraphs of the corpus (those with the smallest hashes).
 
@@ -178,7 +178,7 @@ def fit_licences(
     """
     background = settle(texts.select("text").orderBy(F.xxhash64(F.lit(seed), "text"), "text").limit(most_background))
     rows = settle(_hashed(buckets).transform(_training_rows(texts.sparkSession, background, copies, seed)).select("label", "features", "held"))
-    regression = LogisticRegression(family="multinomial", regParam=penalty, elasticNetParam=0.0, maxIter=60)
+    regression = LogisticRegression(family="multinomial", regParam=penalty, elasticNetParam=0.0, maxIter=40)
     model = regression.fit(rows.where(~F.col("held")))
     held = model.transform(rows.where("held")).select("label", vector_to_array("rawPrediction").alias("raw")).collect()
     if not held:
