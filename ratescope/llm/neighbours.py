@@ -112,8 +112,8 @@ def similar_vectors(
     quantiles of all their vectors. Vectors are compared within leaves in double precision; a leaf that will not split is compared in
     pairs of blocks. Pairs found in several trees count once.
 
-    A pair is missed if every tree parts it: tests measure the recall against brute force (over 0.99 near the
-    limit with these settings). Vectors that are null, zero, or hold null or non-finite numbers link with nothing; vectors of
+    A pair is missed if every tree parts it: tests require 0.97 of the links that brute force finds (pairs near the
+    limit included). Vectors that are null, zero, or hold null or non-finite numbers link with nothing; vectors of
     different lengths do not link. Rows with equal ids are one node; rows with null ids link with nothing. Returns id, n_links, component_id, kept.
     """
     rows = vectors.select(F.col(id_column).alias("id"), F.transform(vector_column, lambda x: x.cast("double")).alias("vector"))
