@@ -157,7 +157,7 @@ def required(value: str | Column, what: str) -> Column:
     return F.when(v.isNull(), F.raise_error(F.lit(f"{what} is NULL"))).otherwise(v)
 
 
-def demand(condition: Column, message: str) -> Column:
+def demand(condition: Column, message: str | Column) -> Column:
     """True where the condition holds; a row where it does not fails the query.
 
     Meant for a filter: the optimizer drops unread columns with the checks in them, a filter stays.
@@ -166,6 +166,11 @@ def demand(condition: Column, message: str) -> Column:
     return F.when(F.coalesce(condition, F.lit(False)), F.lit(True)).otherwise(failed)
 
 
+def all_present(names: Sequence[str]) -> Column:
+    """Filter: True where none of the columns is NULL; a row with a NULL fails the query."""
+    return reduce(lambda a, b: a & b, [demand(F.col(n).isNotNull(), f"{n} is NULL") for n in names], F.lit(True))
+
+
 def order_rank(order: Sequence, value: str | Column, what: str = "category") -> Column:
     """0-based position of the value in a fixed order; outside the order the query fails."""
     return map_strict({v: i for i, v in enumerate(order)}, value, what)

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratescope.functions import required, selection
+from ratescope.functions import all_present, selection
 from ratescope.operators.rates import cell_total, as_list, tally
 
 
@@ -16,9 +16,9 @@ def cube(df: DataFrame, dimensions: Sequence[str], flag: str = "flag") -> DataFr
 
     NULL in a dimension or in the flag fails the query.
     """
-    checked = df.select(*dimensions, required(F.col(flag), flag).alias(flag))
+    checked = df.where(all_present([*dimensions, flag]))
     return tally(checked, dimensions, flag).select(
-        *[required(F.col(d), d).alias(d) for d in dimensions],
+        *dimensions,
         cell_total().alias("total"),
         "flagged",
         "unflagged",
@@ -32,9 +32,7 @@ def cubes(
     """Several cubes from one scan. ``cube`` names the set a cell belongs to; dimensions outside
     that set are NULL."""
     every = list(dict.fromkeys(d for dims in dimension_sets.values() for d in dims))
-    checked = df.select(
-        *[required(F.col(d), d).alias(d) for d in every], required(F.col(flag), flag).alias(flag)
-    )
+    checked = df.where(all_present([*every, flag])).select(*every, flag)
     sets = [[F.col(d) for d in dims] for dims in dimension_sets.values()]
     name = F.lit(None).cast("string")
     for label, dims in dimension_sets.items():

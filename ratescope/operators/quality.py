@@ -294,10 +294,22 @@ def distinct_tokens(df: DataFrame, field: str, delimiter: str = ";") -> DataFram
 def same_content(left: DataFrame, right: DataFrame) -> DataFrame:
     """One row: schema equality and the rows found on one side only, duplicates counted.
 
-    Row order is not a property of a Spark table and is not compared.
+    Row order is not a property of a Spark table and is not compared. Tables with different column
+    names share no row.
     """
     same_schema = left.dtypes == right.dtypes
     names = left.columns
+    if sorted(names) != sorted(right.columns):
+        rows = left.agg(F.count(F.lit(1)).alias("left_rows")).withColumn(
+            "right_rows", right.agg(F.count(F.lit(1)).alias("n")).scalar()
+        )
+        return rows.select(
+            F.lit(False).alias("same_schema"),
+            "left_rows",
+            "right_rows",
+            F.col("left_rows").alias("only_left"),
+            F.col("right_rows").alias("only_right"),
+        )
     tagged = left.select(*names, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(
         right.select(*names, F.lit(0).alias("_l"), F.lit(1).alias("_r"))
     )
@@ -447,38 +459,42 @@ def check_predictions(
     period: str = "period",
     fold: str = "fold",
 ) -> DataFrame:
-    """(check, violations): probability range, fold of period, unique ids, flag and period equal to
-    the source."""
+    """(check, violations): probability range, fold of period, unique ids on both sides, ids found on one
+    side only, flags given, flag and period equal to the source."""
     wrong_fold = F.lit(False)
     if fold_of_period is not None:
         pairs = [x for p, k in fold_of_period.items() for x in (F.lit(p), F.lit(k))]
         wrong_fold = ~F.try_element_at(F.create_map(*pairs), F.col(period)).eqNullSafe(F.col(fold))
-    known = source.select(
-        key_id, F.col(flag).alias("_flag"), F.col(period).alias("_period"), F.lit(1).alias("_known")
+    known = source.groupBy(key_id).agg(
+        F.min(flag).alias("_flag"), F.min(period).alias("_period"), F.count(F.lit(1)).alias("_known")
     )
     per_id = predictions.groupBy(key_id).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(~in_unit_interval(score)).alias("bad_score"),
         F.count_if(wrong_fold).alias("bad_fold"),
+        F.count_if(F.col(flag).isNull()).alias("null_flag"),
         F.min(flag).alias("flag_min"),
         F.max(flag).alias("flag_max"),
         F.min(period).alias("period_min"),
         F.max(period).alias("period_max"),
     )
-    seen = F.col("_known").isNotNull()
+    predicted, seen = F.col("n").isNotNull(), F.col("_known").isNotNull()
     differs = ~(F.col("flag_min").eqNullSafe(F.col("_flag"))) | ~(
         F.col("flag_max").eqNullSafe(F.col("_flag"))
     )
     moved = ~(F.col("period_min").eqNullSafe(F.col("_period"))) | ~(
         F.col("period_max").eqNullSafe(F.col("_period"))
     )
-    counted = per_id.join(known, key_id, "left").agg(
+    counted = per_id.join(known, key_id, "full_outer").agg(
         F.coalesce(F.sum("bad_score"), F.lit(0)).alias("score_out_of_range"),
         F.coalesce(F.sum("bad_fold"), F.lit(0)).alias("wrong_fold"),
         F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("duplicated_ids"),
         F.count_if(~seen).alias("unknown_ids"),
-        F.count_if(seen & differs).alias("flag_differs"),
-        F.count_if(seen & moved).alias("period_differs"),
+        F.count_if(predicted & seen & differs).alias("flag_differs"),
+        F.count_if(predicted & seen & moved).alias("period_differs"),
+        F.count_if(~predicted).alias("missing_ids"),
+        F.coalesce(F.sum("null_flag"), F.lit(0)).alias("null_flag"),
+        F.coalesce(F.sum(F.when(F.col("_known") > 1, F.col("_known"))), F.lit(0)).alias("duplicated_source_ids"),
     )
     rows = F.array(
         *[

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratescope.functions import is_flagged, order_rank, percent, required
+from ratescope.functions import all_present, is_flagged, order_rank, percent
 
 def cell_total() -> Column:
     return F.col("flagged") + F.col("unflagged")
@@ -45,10 +45,6 @@ def _measures() -> list[Column]:
     ]
 
 
-def _keys(names: Sequence[str]) -> list[Column]:
-    return [required(F.col(n), n).alias(n) for n in names]
-
-
 def rate_summary(
     df: DataFrame,
     categories: str | Sequence[str],
@@ -61,9 +57,9 @@ def rate_summary(
     that order and a value outside it fails the query.
     """
     names = as_list(categories)
-    cells = tally(df, names, flag)
+    cells = tally(df.where(all_present(names)), names, flag)
     out = cells.select(
-        *_keys(names), *_measures(), percent(cell_total(), grand_total(cells)).alias("share_percent")
+        *names, *_measures(), percent(cell_total(), grand_total(cells)).alias("share_percent")
     )
     return out if order is None else sort_by_order(out, names[0], order)
 
@@ -77,8 +73,8 @@ def rate_by_period(
 ) -> DataFrame:
     """``rate_summary`` per period; ``with_share`` adds the share of that period's rows."""
     names = as_list(categories)
-    cells = tally(df, [period, *names], flag)
-    keys = [F.col(period), *_keys(names)]
+    cells = tally(df.where(all_present(names)), [period, *names], flag)
+    keys = [period, *names]
     if not with_share:
         return cells.select(*keys, *_measures())
     totals = period_totals(cells, period)
@@ -124,16 +120,22 @@ def dimension_cells(
     )
 
 
+def _own_cells(cells: DataFrame, dimension: str) -> DataFrame:
+    """The cells of one dimension; a NULL category among them, and only there, fails the query."""
+    own = F.col("dimension") == dimension
+    return cells.where(own).where(F.when(own, all_present(["category"])))
+
+
 def summary_from_cells(
     cells: DataFrame, dimension: str, order: Sequence | None = None
 ) -> DataFrame:
     """``rate_summary`` of one dimension of ``dimension_cells``."""
-    own = cells.where(F.col("dimension") == dimension)
+    own = _own_cells(cells, dimension)
     out = (
         own.groupBy("category")
         .agg(F.sum("flagged").alias("flagged"), F.sum("unflagged").alias("unflagged"))
         .select(
-            *_keys(["category"]),
+            "category",
             *_measures(),
             percent(cell_total(), grand_total(own)).alias("share_percent"),
         )
@@ -143,10 +145,10 @@ def summary_from_cells(
 
 def by_period_from_cells(cells: DataFrame, dimension: str, period: str = "period") -> DataFrame:
     """``rate_by_period`` with period shares for one dimension of ``dimension_cells``."""
-    own = cells.where(F.col("dimension") == dimension)
+    own = _own_cells(cells, dimension)
     return own.join(period_totals(own, period), period).select(
         period,
-        *_keys(["category"]),
+        "category",
         *_measures(),
         percent(cell_total(), "period_total").alias("period_share_percent"),
     )
@@ -207,7 +209,7 @@ def rate_with_stability(
     """``rate_summary`` and the spread of the per-period rate, from one scan and one shuffle of
     (period, category) cells."""
     names = as_list(categories)
-    cells = tally(df, [period, *names], flag)
+    cells = tally(df.where(all_present(names)), [period, *names], flag)
     rate = percent("flagged", cell_total())
     return (
         cells.groupBy(*names)
@@ -219,7 +221,7 @@ def rate_with_stability(
             F.max(rate).alias("maximum_rate_percent"),
         )
         .select(
-            *_keys(names),
+            *names,
             *_measures(),
             percent(cell_total(), grand_total(cells)).alias("share_percent"),
             "periods_observed",
@@ -271,7 +273,7 @@ def calendar_rate(
 
     Months, their total and the years observed all come from the same (year, month) cells.
     """
-    cells = tally(df, [period, month], flag)
+    cells = tally(df.where(all_present([month])), [period, month], flag)
     years = cells.where(cell_total() > 0).select(period)
     days = calendar_days(years, period).withColumnRenamed("month", month)
     return (
@@ -279,7 +281,7 @@ def calendar_rate(
         .agg(F.sum("flagged").alias("flagged"), F.sum("unflagged").alias("unflagged"))
         .join(days, month, "left")
         .select(
-            *_keys([month]),
+            month,
             *_measures(),
             percent(cell_total(), grand_total(cells)).alias("share_percent"),
             "calendar_days",

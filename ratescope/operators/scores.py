@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratescope.functions import count_below, outcome_label, ratio_or_zero
+from ratescope.functions import count_below, demand, in_unit_interval, outcome_label, ratio_or_zero
 from ratescope.operators.statistics import (
     ROWS_PER_RANGE,
     frequency_cells,
@@ -24,13 +24,22 @@ from ratescope.runtime import settle
 CALIBRATION_BINS = 10
 
 
+def checked_scores(df: DataFrame, flag: str = "flag", score: str = "score") -> DataFrame:
+    """``df`` itself; a NULL flag, or a score that is NULL, not finite or outside 0–1, fails the query.
+
+    Stands in front of every operator here, so bad rows neither count nor vanish at any table size.
+    """
+    good = F.col(flag).isNotNull() & in_unit_interval(score)
+    return df.where(demand(good, "flag is NULL or score is not in 0-1"))
+
+
 def score_cells(
     df: DataFrame, flag: str = "flag", score: str = "score", by: Sequence[str] = ()
 ) -> DataFrame:
     """(by…, score, pos, neg): flagged and unflagged rows per distinct score, settled."""
     # Adding 0.0 turns -0.0 into 0.0, so both are the same score.
     return settle(
-        df.groupBy(*by, (F.col(score).cast("double") + F.lit(0.0)).alias("score")).agg(
+        checked_scores(df, flag, score).groupBy(*by, (F.col(score).cast("double") + F.lit(0.0)).alias("score")).agg(
             F.count_if(F.col(flag)).alias("pos"), F.count_if(~F.col(flag)).alias("neg")
         )
     )
@@ -193,7 +202,7 @@ def threshold_table(
     """Confusion measures per named threshold over all rows (period NULL), and per period for the
     thresholds listed in ``per_period``. One grouping by period serves both."""
     yes = {n: F.col(score) >= F.lit(float(t)) for n, t in thresholds.items()}
-    counts = df.groupBy(period).agg(
+    counts = checked_scores(df, flag, score).groupBy(period).agg(
         F.count_if(F.col(flag)).alias("p"),
         F.count_if(~F.col(flag)).alias("n"),
         *[F.count_if(y & F.col(flag)).alias(f"tp_{n}") for n, y in yes.items()],
@@ -298,7 +307,8 @@ def outcome_profile(
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Rows, share and score distribution per TP, FP, FN and TN."""
-    labelled = df.select(outcome_label(flag, decision).alias("outcome"), F.col(score).alias("score"))
+    decided = demand(F.col(decision).isNotNull(), "decision is NULL")
+    labelled = checked_scores(df, flag, score).where(decided).select(outcome_label(flag, decision).alias("outcome"), F.col(score).alias("score"))
     shares = {"p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}
     cells = settle(frequency_cells(labelled, ["score"], ["outcome"])).drop("variable")
     profile = quantile_table(cells, ["outcome"], shares, rows_per_range=rows_per_range)

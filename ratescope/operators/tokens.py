@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratescope.functions import is_flagged, order_rank, percent, token_array
+from ratescope.functions import demand, is_flagged, percent, token_array
 from ratescope.operators.rates import cell_total
 
 
@@ -19,15 +19,19 @@ def explode_tokens(
     delimiter: str = ";",
     token: str = "token",
 ) -> DataFrame:
-    """One row per distinct token of each row. With ``known`` another token fails the query."""
-    out = df.select(*keep, F.explode(token_array(field, delimiter)).alias(token))
+    """One row per distinct token of each row.
+
+    With ``known``, another token and a row without a field fail the query, whatever columns are read.
+    """
     if known is None:
-        return out
-    return out.withColumn(token, _checked(known, token))
+        return df.select(*keep, F.explode(token_array(field, delimiter)).alias(token))
+    out = df.select(*keep, F.explode_outer(token_array(field, delimiter)).alias(token))
+    return out.where(_expected(known, token))
 
 
-def _checked(known: Sequence[str], token: str = "token") -> Column:
-    return F.when(order_rank(known, token, "token") >= 0, F.col(token))
+def _expected(known: Sequence[str], token: str = "token") -> Column:
+    found = F.concat(F.lit("unmapped token: "), F.coalesce(token, F.lit("NULL")))
+    return demand(F.col(token).isin(*known), found)
 
 
 def token_cells(
@@ -41,12 +45,13 @@ def token_cells(
     """(keys…, token, flagged, unflagged, starts) in one pass.
 
     ``starts`` counts the rows whose first token this is, so its sum over all tokens is the number
-    of rows and the table need not be counted separately. Rows without a field have a NULL token.
+    of rows and the table need not be counted separately. Rows without a field have a NULL token;
+    with ``known`` they fail the query, as other tokens do.
     """
     at = F.posexplode_outer(token_array(field, delimiter)).alias("_at", "token")
     exploded = df.select(*keys, is_flagged(flag).alias("_yes"), at)
     if known is not None:
-        exploded = exploded.withColumn("token", _checked(known))
+        exploded = exploded.where(_expected(known))
     return exploded.groupBy(*keys, "token").agg(
         F.count_if("_yes").alias("flagged"),
         F.count_if(~F.col("_yes")).alias("unflagged"),

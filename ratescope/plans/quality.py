@@ -375,7 +375,10 @@ UNION ALL SELECT 'wrong_fold', count(*) FILTER (WHERE fold <> period - 1995) FRO
 UNION ALL SELECT 'duplicated_ids', 0 FROM (SELECT 1)
 UNION ALL SELECT 'unknown_ids', count(*) FROM pred WHERE o_orderkey NOT IN (SELECT o_orderkey FROM src)
 UNION ALL SELECT 'flag_differs', count(*) FILTER (WHERE p.flag <> s.flag) FROM pred p JOIN src s USING (o_orderkey)
-UNION ALL SELECT 'period_differs', count(*) FILTER (WHERE p.period <> s.period) FROM pred p JOIN src s USING (o_orderkey)""",
+UNION ALL SELECT 'period_differs', count(*) FILTER (WHERE p.period <> s.period) FROM pred p JOIN src s USING (o_orderkey)
+UNION ALL SELECT 'missing_ids', count(*) FROM src WHERE o_orderkey NOT IN (SELECT o_orderkey FROM pred)
+UNION ALL SELECT 'null_flag', count(*) FILTER (WHERE flag IS NULL) FROM pred
+UNION ALL SELECT 'duplicated_source_ids', count(*) - count(DISTINCT o_orderkey) FROM src""",
 )
 def check_predictions(spark, folder):
     key = F.col("o_orderkey")

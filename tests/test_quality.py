@@ -97,7 +97,17 @@ def test_prediction_checks(spark, rows):
     got = dict(rows(dq.check_predictions(bad, source, "id", "score", {2022: 1, 2023: 2})))
     assert got == {
         "score_out_of_range": 2, "wrong_fold": 1, "duplicated_ids": 2, "unknown_ids": 1, "flag_differs": 1, "period_differs": 0,
+        "missing_ids": 1, "null_flag": 0, "duplicated_source_ids": 0,
     }
+    twice = source.union(source.where("id = 1"))
+    bad = bad.where("id = 1").withColumn("flag", F.lit(None).cast("boolean"))
+    got = dict(rows(dq.check_predictions(bad, twice, "id", "score", {2022: 1})))
+    assert (got["missing_ids"], got["null_flag"], got["duplicated_source_ids"], got["score_out_of_range"]) == (2, 1, 2, 0)
+
+
+def test_tables_with_other_columns_share_nothing(spark):
+    a, b = spark.createDataFrame([(1,), (2,)], "x int"), spark.createDataFrame([(1, 2)], "x int, y int")
+    assert tuple(dq.same_content(a, b).first()) == (False, 2, 1, 2, 1)
 
 
 # --- joins -----------------------------------------------------------------------------------

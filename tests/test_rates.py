@@ -32,6 +32,16 @@ def test_null_category_fails(spark):
     df = spark.createDataFrame([(2021, None, True)], SCHEMA)
     with pytest.raises(Exception, match="kind is NULL"):
         rates.rate_summary(df, "kind").collect()
+    made = (
+        rates.rate_summary(df, "kind").select("total"),
+        rates.rate_by_period(df, "kind").groupBy().count(),
+        rates.rate_with_stability(df, "kind").select("total"),
+        cubes.roll_up_cube(cubes.cube(df, ["period", "kind"]), "period"),
+        cubes.facet_values(cubes.cube(df, ["period", "kind"]), ["period"]),
+    )
+    for unread in made:
+        with pytest.raises(Exception, match="kind is NULL"):
+            unread.collect()
 
 
 def test_null_flag_is_unflagged(spark, rows):
@@ -164,6 +174,12 @@ def test_repeated_token_counts_once_and_shares_exceed_all(layout, rows):
 def test_unknown_token_fails(layout):
     with pytest.raises(Exception, match="unmapped token"):
         tokens.explode_tokens(layout, "layout", [], ["Reta", "Curva"]).collect()
+    with pytest.raises(Exception, match="unmapped token"):
+        tokens.explode_tokens(layout, "layout", ["period"], ["Reta", "Curva"]).select("period").collect()
+    empty = layout.withColumn("layout", F.lit(None).cast("string"))
+    for made in (tokens.explode_tokens, tokens.token_cells):
+        with pytest.raises(Exception, match="unmapped token: NULL"):
+            made(empty, "layout", ["period"], known=["Reta"]).groupBy().count().collect()
 
 
 def test_indicators_without_join(layout, rows):

@@ -271,3 +271,17 @@ def test_token_drift_counts_a_repeated_token_once(spark, rows):
     assert rows(got, "token", "development_rows", "difference_points", "presence") == [
         ("Curva", 1, -50.0, "missing"), ("Ponte", 0, 100.0, "new"), ("Reta", 2, -100.0, "missing"),
     ]
+
+
+@pytest.mark.parametrize("per_range", [3, scores.ROWS_PER_RANGE])
+@pytest.mark.parametrize("score,flag", [(None, True), (float("nan"), True), (1.5, False), (-0.1, True), (0.5, None)])
+def test_bad_scores_and_flags_fail_at_any_size(spark, score, flag, per_range):
+    pairs = [(i / 20, i % 3 == 0, True) for i in range(20)] + [(score, flag, True)]
+    df = spark.createDataFrame(pairs, "score double, flag boolean, decision boolean").withColumn("period", F.lit(1))
+    for made in (
+        lambda: scores.best_f1_threshold(df, rows_per_range=per_range),
+        lambda: scores.threshold_table(df, {"t": 0.5}).select("tp"),
+        lambda: scores.outcome_profile(df, rows_per_range=per_range).select("share"),
+    ):
+        with pytest.raises(Exception, match="score is not in 0-1"):
+            made().collect()
