@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import PipelineModel
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, SQLTransformer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from xxhash import xxh3_64_intdigest
 
-from ratescope.llm.common import text_of
+from ratescope.llm.common import sorted_distinct, text_of
 from ratescope.runtime import settle
 
 UNKNOWN = "unknown"
@@ -70,73 +73,116 @@ TEMPLATES = {
     ],
 }
 FAMILIES = [UNKNOWN, *TEMPLATES]
-WORDS = r"[^\p{L}\p{N}]+"
+WORDS = re.compile(r"[^\W_]+")
+#: Odd multipliers, one for each word of an n-gram, and one to mix.
+ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
-def paragraphs(docs: DataFrame, id_column: str, text_column: str, most_words: int, step: int) -> DataFrame:
-    """(id, row, paragraph, window, text): the non-empty lines of every text; long lines as windows that overlap."""
-    lines = docs.select(F.col(id_column).alias("id"), text_of(text_column).alias("text"), F.monotonically_increasing_id().alias("row")).select(
-        "id", "row", F.posexplode(F.split("text", r"\r?\n")).alias("paragraph", "line")
-    )
-    words = F.split(F.trim("line"), r"\s+")
-    windows = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size("words") - (most_words - step) - 1, F.lit(0)), F.lit(step)),
-        lambda at: F.array_join(F.slice(F.col("words"), at + 1, F.lit(most_words)), " "),
-    )
-    split = lines.where(F.trim("line") != "").withColumn("words", words)
-    whole = F.when(F.size("words") <= most_words, F.array("line")).otherwise(windows)
-    return split.select("id", "row", "paragraph", F.posexplode(whole).alias("window", "text"))
+LINES = re.compile(r"\r?\n")
+#: Pieces that are scored together, and a number of characters from which fewer are.
+PIECES, CHARACTERS = 4096, 1 << 20
 
 
-def _hashed(buckets: int) -> PipelineModel:
-    """Word n-grams of one to three words, in lower case, as a sparse 0/1 vector."""
-    split = RegexTokenizer(inputCol="text", outputCol="words", pattern=WORDS)
-    pairs, triples = NGram(n=2, inputCol="words", outputCol="pairs"), NGram(n=3, inputCol="words", outputCol="triples")
-    grams = SQLTransformer(statement="SELECT *, concat(words, pairs, triples) AS grams FROM __THIS__")
-    return PipelineModel([split, pairs, triples, grams, HashingTF(inputCol="grams", outputCol="features", numFeatures=buckets, binary=True)])
+def pieces(text: str, most_words: int, step: int) -> Iterator[tuple[int, int, str]]:
+    """(paragraph, window, text): the non-empty lines of a text; long lines as windows that overlap."""
+    for paragraph, line in enumerate(LINES.split(text)):
+        words = line.split()
+        if len(words) > most_words:
+            for window, at in enumerate(range(0, len(words) - (most_words - step), step)):
+                yield paragraph, window, " ".join(words[at : at + most_words])
+        elif words:
+            yield paragraph, 0, line
+
+
+def _in_groups(batches: Iterator[pa.RecordBatch], most_words: int, step: int) -> Iterator[tuple[list, list[str]]]:
+    """(id, paragraph, window) and texts of the pieces of (id, text) batches, some thousand at a time."""
+    places, texts, size = [], [], 0
+    for batch in batches:
+        for identifier, text in zip(batch.column(0), batch.column(1), strict=True):
+            for paragraph, window, piece in pieces(text.as_py() or "", most_words, step):
+                places.append((identifier, paragraph, window))
+                texts.append(piece)
+                size += len(piece)
+                if len(texts) >= PIECES or size >= CHARACTERS:
+                    yield places, texts
+                    places, texts, size = [], [], 0
+    if texts:
+        yield places, texts
+
+
+def background_paragraphs(docs: DataFrame, text_column: str, most_words: int, step: int, most_texts: int, most: int, seed: int) -> DataFrame:
+    """At most ``most`` paragraphs, those with the smallest hashes, of the ``most_texts`` different texts with the smallest hashes."""
+    texts = docs.select(text_of(text_column).alias("text")).withColumn("hash", F.xxhash64(F.lit(seed), "text"))
+    smallest = F.broadcast(settle(texts.select("hash").distinct().orderBy("hash").limit(most_texts)))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found in _in_groups(batches, most_words, step):
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["text"])
+
+    every = texts.join(smallest, "hash").select("hash", "text").mapInArrow(read, "text string").distinct()
+    return every.orderBy(F.xxhash64(F.lit(seed), "text"), "text").limit(most)
+
+
+def _words(text: str) -> list[str]:
+    return WORDS.findall(text.lower())
+
+
+def _hashed(texts: list[str], buckets: int, most: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, counter) of the word n-grams of one to ``most`` words, in lower case, each pair once and in order.
+
+    Each word that the texts have is hashed once; an n-gram's hash mixes those of its words.
+    """
+    words = [_words(t) for t in texts]
+    lengths = np.array([len(w) for w in words], dtype=np.int64)
+    codes, distinct = pd.factorize(np.array(list(chain.from_iterable(words)), dtype=object))
+    hashes = np.fromiter((xxh3_64_intdigest(w) for w in distinct), dtype=np.uint64, count=len(distinct))[codes]
+    owner = np.repeat(np.arange(len(texts), dtype=np.int64), lengths)
+    found = []
+    for width in range(1, most + 1):
+        n = max(len(hashes) - width + 1, 0)
+        total = np.full(n, width, dtype=np.uint64)
+        for k in range(width):
+            total += hashes[k : n + k] * ODD[k]
+        inside = owner[:n] == owner[width - 1 : n + width - 1]
+        mixed = (total ^ (total >> np.uint64(29))) * ODD[-1]
+        counter = ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        found.append((owner[:n] * buckets + counter)[inside])
+    once = sorted_distinct(np.concatenate(found))
+    return once // buckets, once % buckets
 
 
 def _grams(text: str) -> set[tuple[str, ...]]:
-    words = [w for w in re.split(r"[\W_]+", text.lower()) if w]
+    words = _words(text)
     return {tuple(words[k : k + 2]) for k in range(max(1, len(words) - 1))} if words else set()
 
 
-def template_agreement(texts: Column, families: Column) -> Column:
-    """The largest share of a family's template whose word pairs occur in the text; 0 without a family."""
+def agreement(text: str, templates: list[set[tuple[str, ...]]]) -> float:
+    """The largest share of a template whose word pairs occur in the text; 0 without templates."""
+    mine = _grams(text)
+    return max((len(g & mine) / len(g) for g in templates), default=0.0)
 
-    @F.pandas_udf("double")
-    def agree(text: pd.Series, family: pd.Series) -> pd.Series:
-        known = {f: [_grams(t) for t in ts] for f, ts in TEMPLATES.items()}
-        found = []
-        for t, f in zip(text, family, strict=True):
-            mine = _grams(t or "")
-            found.append(max((len(g & mine) / len(g) for g in known.get(f, [])), default=0.0))
-        return pd.Series(found, dtype="float64")
 
-    return agree(texts, families)
+def _template_grams() -> dict[str, list[set[tuple[str, ...]]]]:
+    return {family: [_grams(t) for t in texts] for family, texts in TEMPLATES.items()}
 
 
 class LicenceModel:
     """Family probabilities of paragraphs, with a temperature and a least probability from held-out rows."""
 
-    def __init__(self, stages: list, temperature: float, least: float, buckets: int):
-        self.stages, self.temperature, self.least, self.buckets = stages, temperature, least, buckets
+    def __init__(self, weights: np.ndarray, bias: np.ndarray, temperature: float, least: float):
+        self.weights, self.bias, self.temperature, self.least = weights, bias, temperature, least
 
-    def predict(self, texts: DataFrame) -> DataFrame:
-        """``texts`` with family (unknown where no family is sure) and probability."""
-        scored = PipelineModel([*_hashed(self.buckets).stages, *self.stages]).transform(texts)
-        temperature, least = self.temperature, self.least
+    def classify(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Family numbers (0, unknown, where no family is sure) and the probabilities of the likeliest families."""
+        shares = _shares(_raw(texts, self.weights, self.bias), self.temperature)
+        best, top = shares.argmax(axis=1), shares.max(axis=1, initial=0.0)
+        return np.where(top >= self.least, best, 0), top
 
-        @F.pandas_udf("family string, probability double")
-        def decide(raw: pd.Series) -> pd.DataFrame:
-            shares = _shares(np.stack(raw), temperature) if len(raw) else np.empty((0, len(FAMILIES)))
-            best = shares.argmax(axis=1)
-            top = shares.max(axis=1, initial=0.0)
-            named = np.where((best > 0) & (top >= least), np.array(FAMILIES, dtype=object)[best], UNKNOWN)
-            return pd.DataFrame({"family": named, "probability": np.where(best > 0, top, 0.0)})
 
-        decided = scored.select(*texts.columns, decide(vector_to_array("rawPrediction")).alias("decided"))
-        return decided.select(*texts.columns, "decided.family", "decided.probability")
+def _raw(texts: list[str], weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """One number per text and family: the bias and the weights of the counters that the text has."""
+    owner, counter = _hashed(texts, weights.shape[1])
+    return np.stack([np.bincount(owner, weights=w[counter], minlength=len(texts)) for w in weights], axis=1) + bias
 
 
 def _shares(raw: np.ndarray, temperature: float) -> np.ndarray:
@@ -162,34 +208,55 @@ def _training_rows(spark: SparkSession, background: DataFrame, copies: int, seed
     before = F.when((draw % 2 == 0) & F.col("lead").isNotNull(), F.slice("lead", F.lit(1), (draw % 31).cast("int"))).otherwise(alone)
     after = F.when((draw % 3 == 0) & F.col("tail").isNotNull(), F.slice("tail", F.lit(1), (draw % 29).cast("int"))).otherwise(alone)
     notices = varied.select("label", F.array_join(F.concat(before, thinned, after), " ").alias("text"), (draw % 5 == 0).alias("held"))
-    agreement = F.greatest(*[template_agreement(F.col("text"), F.lit(f)) for f in TEMPLATES])
-    other = background.where(agreement < 0.5).select(F.lit(0.0).alias("label"), "text", (F.pmod(F.xxhash64("text"), F.lit(5)) == 0).alias("held"))
+
+    @F.pandas_udf("double")
+    def agrees(text: pd.Series) -> pd.Series:
+        every = list(chain.from_iterable(_template_grams().values()))
+        return text.map(lambda t: agreement(t, every)).astype("float64")
+
+    other = background.where(agrees("text") < 0.5).select(F.lit(0.0).alias("label"), "text", (F.pmod(F.xxhash64("text"), F.lit(5)) == 0).alias("held"))
     return notices.union(other)
 
 
 def fit_licences(
-    texts: DataFrame, copies: int = 60, most_background: int = 4000, buckets: int = 1 << 13, penalty: float = 1e-4, seed: int = 7
+    docs: DataFrame,
+    text_column: str = "text",
+    most_words: int = 60,
+    step: int = 40,
+    copies: int = 60,
+    most_texts: int = 2000,
+    most_background: int = 4000,
+    buckets: int = 1 << 13,
+    penalty: float = 1e-4,
+    seed: int = 7,
 ) -> LicenceModel:
-    """Train on varied templates and at most ``most_background`` paragraphs of the corpus (those with the smallest hashes).
+    """Train on varied templates and on a bounded sample of the corpus (see ``background_paragraphs``).
 
-    The model is a multinomial logistic regression over hashed word n-grams. On the held-out fifth a
-    temperature is chosen by likelihood, and the least probability is the highest that a family got
-    on a paragraph that is no notice, but at least 0.5 and at most 0.95.
+    The sample has at most ``most_background`` paragraphs of ``most_texts`` texts. The model is a multinomial logistic regression over
+    hashed word n-grams. On the held-out fifth a temperature is chosen by likelihood, and the least probability is the
+    highest that a family got on a paragraph that is no notice, but at least 0.5 and at most 0.95.
     """
-    background = settle(texts.select("text").orderBy(F.xxhash64(F.lit(seed), "text"), "text").limit(most_background))
-    rows = settle(_hashed(buckets).transform(_training_rows(texts.sparkSession, background, copies, seed)).select("label", "features", "held"))
+    background = settle(background_paragraphs(docs, text_column, most_words, step, most_texts, most_background, seed))
+
+    @F.udf(VectorUDT())
+    def features(text: str) -> SparseVector:
+        counters = _hashed([text], buckets)[1]
+        return SparseVector(buckets, counters, np.ones(len(counters)))
+
+    rows = settle(_training_rows(docs.sparkSession, background, copies, seed).select("label", "text", features("text").alias("features"), "held"))
     regression = LogisticRegression(family="multinomial", regParam=penalty, elasticNetParam=0.0, maxIter=40)
     model = regression.fit(rows.where(~F.col("held")))
-    held = model.transform(rows.where("held")).select("label", vector_to_array("rawPrediction").alias("raw")).collect()
+    weights, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    held = rows.where("held").select("label", "text").collect()
     if not held:
-        return LicenceModel([model], 1.0, 0.5, buckets)
-    raw, label = np.array([r["raw"] for r in held]), np.array([int(r["label"]) for r in held])
+        return LicenceModel(weights, bias, 1.0, 0.5)
+    raw, label = _raw([r["text"] for r in held], weights, bias), np.array([int(r["label"]) for r in held])
     tried = [0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0]
     loss = [-np.log(np.maximum(_shares(raw, t)[np.arange(len(label)), label], 1e-12)).mean() for t in tried]
     temperature = tried[int(np.argmin(loss))]
     false = _shares(raw, temperature)[label == 0, 1:]
     least = float(np.clip(false.max() if false.size else 0.5, 0.5, 0.95))
-    return LicenceModel([model], temperature, least, buckets)
+    return LicenceModel(weights, bias, temperature, least)
 
 
 def scan_licences(
@@ -207,8 +274,37 @@ def scan_licences(
     at least the share ``agree`` of the template's word pairs occurs. Null and empty texts have no paragraphs; a
     notice that occurs in several rows is found in each. No row is found twice but by overlapping windows.
     """
-    texts = paragraphs(docs, id_column, text_column, most_words, step)
-    model = fit_licences(texts, **settings)
-    found = model.predict(texts).where(F.col("family") != UNKNOWN)
-    confirmed = found.withColumn("agreement", template_agreement(F.col("text"), F.col("family"))).where(F.col("agreement") >= agree)
-    return confirmed.select(F.col("id").alias(id_column), "paragraph", "window", "family", "probability", "agreement", "text")
+    model = fit_licences(docs, text_column, most_words, step, **settings)
+    identifier = docs.schema[id_column]
+    schema = T.StructType([
+        T.StructField(id_column, identifier.dataType),
+        *[T.StructField(name, T.IntegerType()) for name in ("paragraph", "window")],
+        T.StructField("family", T.StringType()),
+        *[T.StructField(name, T.DoubleType()) for name in ("probability", "agreement")],
+        T.StructField("text", T.StringType()),
+    ])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        templates = _template_grams()
+        for places, texts in _in_groups(batches, most_words, step):
+            families, probabilities = model.classify(texts)
+            found = []
+            for k in np.flatnonzero(families):
+                family = FAMILIES[families[k]]
+                share = agreement(texts[k], templates[family])
+                if share >= agree:
+                    found.append((k, family, float(probabilities[k]), share))
+            if found:
+                kept = [places[k] for k, *_ in found]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([i.as_py() for i, _, _ in kept], kept[0][0].type),
+                        *[pa.array([p[c] for p in kept], pa.int32()) for c in (1, 2)],
+                        pa.array([f for _, f, _, _ in found], pa.string()),
+                        *[pa.array([row[c] for row in found], pa.float64()) for c in (2, 3)],
+                        pa.array([texts[k] for k, *_ in found], pa.string()),
+                    ],
+                    names=schema.names,
+                )
+
+    return docs.select(id_column, text_column).mapInArrow(scan, schema)
