@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratescope.llm.common import spread_join, with_row_numbers
+from ratescope.llm.common import sorted_distinct, spread_join, with_row_numbers
 from ratescope.llm.components import components
 from ratescope.runtime import settle
 
@@ -43,7 +43,7 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     total = np.full(n - span + 1, span, dtype=np.uint64)
     for k in range(span):
         total += hashes[k : n - span + 1 + k] * (ODD[k % 5] + np.uint64(2 * (k // 5)))
-    return np.unique(_mixed(total))
+    return sorted_distinct(_mixed(total))
 
 
 def set_name(shingles: np.ndarray) -> int:
