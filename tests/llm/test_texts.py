@@ -184,6 +184,15 @@ def test_licences(spark):
     assert got == {(3, "mit"), (4, "apache-2.0"), (5, "gpl")}
 
 
+def test_licences_odd_rows(spark):
+    notice = "Released under the MIT License."
+    rows = [(None, None, "x", 1), ("a", "", "y", 2), ("a", notice, "z", 3), ("a", notice, "z", 3)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, family string, paragraph int")
+    got = [(r["doc_id"], r["paragraph"], r["family"], r["text"]) for r in licenses.scan_licences(docs, copies=10).collect()]
+    assert got == [("a", 0, "mit", notice)] * 2
+    assert licenses.scan_licences(docs.limit(0), copies=10).count() == 0
+
+
 def test_pages(spark):
     page = (
         "<html><head><title>T</title><style>p{}</style></head><body><header><a href=/>Home</a> Site, news.</header>"
