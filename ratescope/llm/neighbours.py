@@ -14,21 +14,31 @@ from ratescope.llm.common import spread_join
 from ratescope.llm.components import components
 from ratescope.runtime import settle
 
+#: Vectors by which a node is judged dense.
+PROBE = 128
+
 
 def _direction(tree: int, node: int, size: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, tree, node, size]).standard_normal(size)
 
 
-def grow_tree(sample: np.ndarray, tree: int, spill: float, leaf: int, seed: int) -> dict[int, tuple[float, float]]:
+def near_share(vectors: np.ndarray, least: float) -> float:
+    """The share of the pairs of different rows whose cosine is ``least`` or more."""
+    n = len(vectors)
+    return (np.count_nonzero(vectors @ vectors.T >= least) - n) / max(1, n * (n - 1))
+
+
+def grow_tree(sample: np.ndarray, tree: int, spill: float, leaf: int, seed: int, least: float, dense: float) -> dict[int, tuple[float, float]]:
     """Node number -> (low, high) of a tree over a sample; node k has the children 2 k and 2 k + 1.
 
     A node projects its vectors on a random direction. Those up to ``high`` go left and those from ``low``
-    go right; between lies the ``spill`` share of them around the median, which goes both ways.
+    go right; between lies the ``spill`` share of them around the median, which goes both ways. A node
+    is a leaf if it has ``leaf`` vectors or fewer, or if the share ``dense`` of the pairs of its first vectors is near.
     """
     nodes, work = {}, [(1, np.arange(len(sample)))]
     while work:
         node, rows = work.pop()
-        if len(rows) <= leaf or node >= 1 << 40:
+        if len(rows) <= leaf or node >= 1 << 40 or near_share(sample[rows[:PROBE]], least) >= dense:
             continue
         along = sample[rows] @ _direction(tree, node, sample.shape[1], seed)
         low, high = np.quantile(along, [0.5 - spill / 2, 0.5 + spill / 2])
@@ -60,25 +70,36 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<f8").reshape(-1, size)
 
 
-def _split_further(placed: DataFrame, most: int, spill: float, seed: int, rounds: int) -> DataFrame:
-    """Split leaves of more than ``most`` vectors again, at quantiles of all their vectors."""
+def _split_further(placed: DataFrame, most: int, spill: float, seed: int, rounds: int, least: float, dense: float) -> DataFrame:
+    """Split leaves of more than ``most`` vectors again, at quantiles of all their vectors.
+
+    A leaf is final, and its tree number negative, if the share ``dense`` of the pairs of about ``PROBE`` of its vectors is near.
+    """
+    keys = ["size", "tree", "leaf"]
+    columns = ["size", "tree", "leaf", "name", "vector"]
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [
+                float(np.frombuffer(v.as_buffer(), dtype="<f8") @ _direction(t, n % (1 << 62), s, seed))
+                for s, t, n, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(4), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*batch.schema.names, "along"])
+
+    @F.pandas_udf("double")
+    def share(probes: pd.Series) -> pd.Series:
+        return probes.map(lambda p: near_share(np.frombuffer(b"".join(p), dtype="<f8").reshape(len(p), -1), least)).astype("float64")
+
     for _ in range(rounds):
-        sizes = placed.groupBy("size", "tree", "leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+        sizes = placed.where("tree >= 0").groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
         large = settle(sizes)
         if large.isEmpty():
             break
-
-        def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                values = [
-                    float(np.frombuffer(v.as_buffer(), dtype="<f8") @ _direction(t, n % (1 << 62), s, seed))
-                    for s, t, n, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(4), strict=True)
-                ]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*batch.schema.names, "along"])
-
-        keys = ["size", "tree", "leaf"]
-        columns = ["size", "tree", "leaf", "name", "vector"]
-        opened = placed.join(large.select(*keys), keys).select(*columns)
+        probed = placed.join(large, keys).where(F.pmod(F.xxhash64("name", F.lit(seed)), F.col("n")) < PROBE)
+        shares = probed.groupBy(*keys).agg(F.collect_list("vector").alias("probes")).select(*keys, (share("probes") >= dense).alias("final"))
+        large = settle(large.join(shares, keys, "left").select(*keys, F.coalesce("final", F.lit(False)).alias("final")))
+        final = placed.join(large.where("final"), keys).withColumn("tree", -2 - F.col("tree")).select(*columns)
+        opened = placed.join(large.where("not final"), keys).select(*columns)
         opened = settle(opened.mapInArrow(project, "size int, tree int, leaf long, name long, vector binary, along double"))
         cuts = opened.groupBy(*keys).agg(F.percentile_approx("along", [0.5 - spill / 2, 0.5 + spill / 2], 1000).alias("cut"))
         cut = opened.join(cuts, keys)
@@ -86,7 +107,7 @@ def _split_further(placed: DataFrame, most: int, spill: float, seed: int, rounds
         right = F.when(F.col("along") >= F.col("cut")[0], F.lit(1))
         split = cut.withColumn("side", F.explode(F.array_compact(F.array(left, right))))
         split = split.withColumn("leaf", F.xxhash64("leaf", "side")).select(*columns)
-        placed = settle(placed.join(large.select(*keys), keys, "left_anti").select(*columns).union(split))
+        placed = settle(placed.join(large.select(*keys), keys, "left_anti").select(*columns).union(final).union(split))
     return placed
 
 
@@ -102,15 +123,18 @@ def similar_vectors(
     sample_rows: int = 8192,
     rounds: int = 40,
     seed: int = 7,
+    dense: float = 0.1,
 ) -> DataFrame:
     """Vectors linked by a cosine of at least ``least``: number of links and smallest id reachable.
 
     Equal vectors are one class, known from an aggregate, so a vector that fills a third of all rows
     is a single row from then on. Each tree splits the classes by random directions at the median,
-    with the ``spill`` share around it on both sides; its upper nodes are fitted on at most
-    ``sample_rows`` vectors (those with the smallest hashes), and leaves with over ``most_leaf`` vectors are split on at
-    quantiles of all their vectors. Vectors are compared within leaves in double precision; a leaf that will not split is compared in
-    pairs of blocks. Pairs found in several trees count once.
+    with the ``spill`` share around it on both sides, while a node has over ``most_leaf`` vectors; its upper nodes are fitted on at most
+    ``sample_rows`` vectors (those with the smallest hashes; ``leaf`` of them or more to a node), and leaves with over ``most_leaf`` vectors are split on at
+    quantiles of all their vectors. A node where the share ``dense`` of the pairs is near is not split, so groups in which
+    all vectors link stay whole, and at least about that share of its comparisons gives links. Vectors are compared within leaves in double precision,
+    large leaves in pairs of blocks. Pairs found in several trees count once. One leaf holds all vectors of a length, and is exact, if
+    they are ``most_leaf`` or fewer or dense as a whole. Links are rows, so their number is the square of a group's size.
 
     A pair is missed if every tree parts it: tests require 0.97 of the links that brute force finds (pairs near the
     limit included). Vectors that are null, zero, or hold null or non-finite numbers link with nothing; vectors of
@@ -133,12 +157,16 @@ def similar_vectors(
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], sizes, pa.array(made, pa.binary())], names=["hash", "name", "n", "size", "vector"])
 
     classes = settle(classes.select("hash", "name", "n", "vector").mapInArrow(unit, "hash long, name long, n long, size int, vector binary"))
-    sizes = [r["size"] for r in classes.groupBy("size").count().orderBy(F.desc("count"), "size").limit(64).collect()]
+    sizes = {r["size"]: r["count"] for r in classes.groupBy("size").count().orderBy(F.desc("count"), "size").limit(64).collect()}
     forest = {}
-    for size in sizes:
+    for size, n in sizes.items():
         taken = classes.where(F.col("size") == size).orderBy(F.xxhash64("name", F.lit(seed)), "name").limit(sample_rows).select("vector").collect()
         sample = np.frombuffer(b"".join(r["vector"] for r in taken), dtype="<f8").reshape(-1, size)
-        forest[size] = [grow_tree(sample, tree, spill, leaf, seed) for tree in range(trees)]
+        if n <= most_leaf or near_share(sample[:PROBE], least) >= dense:
+            forest[size] = {-1: {}}
+            continue
+        fewest = max(leaf, most_leaf * len(sample) // n)
+        forest[size] = {tree: grow_tree(sample, tree, spill, fewest, seed, least, dense) for tree in range(trees)}
     shared = vectors.sparkSession.sparkContext.broadcast(forest)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,8 +176,7 @@ def similar_vectors(
                 at = np.flatnonzero(every == size)
                 part = batch.take(pa.array(at))
                 matrix = _matrix(part.column(2), int(size))
-                for tree in range(trees):
-                    nodes = shared.value[int(size)][tree] if int(size) in shared.value else {}
+                for tree, nodes in shared.value.get(int(size), dict.fromkeys(range(trees), {})).items():
                     found = _leaves(matrix, tree, nodes, seed)
                     rows = np.concatenate([r for _, r in found])
                     leaves = np.concatenate([np.full(len(r), n, dtype=np.int64) for n, r in found])
@@ -161,7 +188,7 @@ def similar_vectors(
                     )
 
     placed = settle(classes.select("size", "name", "vector").mapInArrow(place, "size int, tree int, leaf long, name long, vector binary"))
-    placed = _split_further(placed, most_leaf, spill, seed, rounds)
+    placed = _split_further(placed, most_leaf, spill, seed, rounds, least, dense)
     counted = placed.groupBy("size", "tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / most_leaf).cast("int").alias("blocks"))
     blocked = placed.join(counted, ["size", "tree", "leaf"]).withColumn("mine", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
     blocked = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

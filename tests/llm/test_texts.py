@@ -243,3 +243,20 @@ def test_similar_vectors(spark, settings):
     for k in range(len(x)):
         links[got[k]["component_id"]] += 1
     assert neighbours.similar_vectors(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("settings", [{}, {"sample_rows": 200, "most_leaf": 200}])
+def test_similar_vectors_in_dense_groups(spark, settings):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((3000, 32))
+    groups = [(0, 1000, 0.95), (1000, 1300, 0.95), (1300, 1600, 0.99)]
+    for start, end, cosine in groups:
+        noise = rng.standard_normal((end - start, 32)) * np.sqrt((1 - cosine) / cosine / 32)
+        x[start:end] = x[start] / np.linalg.norm(x[start]) + noise
+    frame = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in neighbours.similar_vectors(frame, **settings).collect()}
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (y @ y.T >= 0.9) & ~np.eye(len(y), dtype=bool)
+    for start, end, _ in groups:
+        assert sum(got[k]["n_links"] for k in range(start, end)) >= 0.9 * near[start:end].sum() > 0
+    assert all(got[k]["n_links"] <= near[k].sum() for k in range(len(x)))
