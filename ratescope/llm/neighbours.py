@@ -73,7 +73,8 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
 def _split_further(placed: DataFrame, most: int, spill: float, seed: int, rounds: int, least: float, dense: float) -> DataFrame:
     """Split leaves of more than ``most`` vectors again, at quantiles of all their vectors.
 
-    A leaf is final, and its tree number negative, if the share ``dense`` of the pairs of about ``PROBE`` of its vectors is near.
+    A leaf is final, and its tree number negative, if the share ``dense`` of the pairs of about ``PROBE`` of its vectors is near
+    or if one side would keep all of its vectors.
     """
     keys = ["size", "tree", "leaf"]
     columns = ["size", "tree", "leaf", "name", "vector"]
@@ -101,11 +102,13 @@ def _split_further(placed: DataFrame, most: int, spill: float, seed: int, rounds
         final = placed.join(large.where("final"), keys).withColumn("tree", -2 - F.col("tree")).select(*columns)
         opened = placed.join(large.where("not final"), keys).select(*columns)
         opened = settle(opened.mapInArrow(project, "size int, tree int, leaf long, name long, vector binary, along double"))
-        cuts = opened.groupBy(*keys).agg(F.percentile_approx("along", [0.5 - spill / 2, 0.5 + spill / 2], 1000).alias("cut"))
-        cut = opened.join(cuts, keys)
+        quantiles = F.percentile_approx("along", [0.5 - spill / 2, 0.5 + spill / 2], 1000).alias("cut")
+        cuts = opened.groupBy(*keys).agg(quantiles, F.min("along").alias("least"), F.max("along").alias("most"))
+        cut = opened.join(cuts.withColumn("whole", (F.col("most") <= F.col("cut")[1]) | (F.col("least") >= F.col("cut")[0])), keys)
+        final = final.union(cut.where("whole").withColumn("tree", -2 - F.col("tree")).select(*columns))
         left = F.when(F.col("along") <= F.col("cut")[1], F.lit(0))
         right = F.when(F.col("along") >= F.col("cut")[0], F.lit(1))
-        split = cut.withColumn("side", F.explode(F.array_compact(F.array(left, right))))
+        split = cut.where("not whole").withColumn("side", F.explode(F.array_compact(F.array(left, right))))
         split = split.withColumn("leaf", F.xxhash64("leaf", "side")).select(*columns)
         placed = settle(placed.join(large.select(*keys), keys, "left_anti").select(*columns).union(final).union(split))
     return placed
@@ -127,7 +130,7 @@ def similar_vectors(
 ) -> DataFrame:
     """Vectors linked by a cosine of at least ``least``: number of links and smallest id reachable.
 
-    Equal vectors are one class, known from an aggregate, so a vector that fills a third of all rows
+    Vectors of equal direction (to 12 decimals) are one class, known from an aggregate, so a vector that fills a third of all rows
     is a single row from then on. Each tree splits the classes by random directions at the median,
     with the ``spill`` share around it on both sides, while a node has over ``most_leaf`` vectors; its upper nodes are fitted on at most
     ``sample_rows`` vectors (those with the smallest hashes; ``leaf`` of them or more to a node), and leaves with over ``most_leaf`` vectors are split on at
@@ -152,11 +155,18 @@ def similar_vectors(
             made = []
             for v in batch.column(3):
                 x = np.array(v.as_py(), dtype="<f8")
-                made.append((x / np.linalg.norm(x)).tobytes())
-            sizes = pa.array([len(b) // 8 for b in made], pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], sizes, pa.array(made, pa.binary())], names=["hash", "name", "n", "size", "vector"])
-
-    classes = settle(classes.select("hash", "name", "n", "vector").mapInArrow(unit, "hash long, name long, n long, size int, vector binary"))
+                made.append(x / np.linalg.norm(x))
+            sizes = pa.array([len(x) for x in made], pa.int32())
+            # a sum with 0.0 makes -0.0 positive
+            ways = pa.array([(np.round(x, 12) + 0.0).tobytes() for x in made], pa.binary())
+            units = pa.array([x.tobytes() for x in made], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], sizes, ways, units], names=["hash", "name", "n", "size", "way", "vector"])
+
+    made = "hash long, name long, n long, size int, way binary, vector binary"
+    distinct = settle(classes.select("hash", "name", "n", "vector").mapInArrow(unit, made))
+    lead = F.min(F.struct("name", "vector"))
+    classes = distinct.groupBy("size", "way").agg(lead.alias("lead"), F.sum("n").alias("n"))
+    classes = settle(classes.select("size", "way", F.col("lead.name").alias("name"), F.col("lead.vector").alias("vector"), "n"))
     sizes = {r["size"]: r["count"] for r in classes.groupBy("size").count().orderBy(F.desc("count"), "size").limit(64).collect()}
     forest = {}
     for size, n in sizes.items():
@@ -211,10 +221,11 @@ def similar_vectors(
     both = links.union(links.select("b", "a"))
     partners = both.join(classes.select(F.col("name").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("others"))
     facts = (
-        classes.select("hash", "name", "n")
+        distinct.select("hash", "size", "way", F.col("name").alias("member"))
+        .join(classes.select("size", "way", "name", "n"), ["size", "way"])
         .join(partners, F.col("name") == F.col("a"), "left")
         .join(roots, F.col("name") == F.col("node"), "left")
-        .select("hash", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "name").alias("component_id"), "name")
+        .select("hash", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "name").alias("component_id"), F.col("member").alias("name"))
     )
     # hashes of different vectors may agree, so the vector is part of the key
     members = rows.where("valid").groupBy("hash", "vector").agg(F.min("id").alias("name"))

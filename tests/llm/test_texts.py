@@ -260,3 +260,19 @@ def test_similar_vectors_in_dense_groups(spark, settings):
     for start, end, _ in groups:
         assert sum(got[k]["n_links"] for k in range(start, end)) >= 0.9 * near[start:end].sum() > 0
     assert all(got[k]["n_links"] <= near[k].sum() for k in range(len(x)))
+
+
+def test_similar_vectors_of_equal_direction(spark):
+    rows = [(k, [float(k + 1), 0.0]) for k in range(300)] + [(300 + k, [0.0, 3.0 * (k + 1), 0.0, 1.0 * (k + 1)]) for k in range(300)]
+    frame = spark.createDataFrame([*rows, (900, [-1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in neighbours.similar_vectors(frame, sample_rows=40, leaf=8, most_leaf=60, rounds=3).collect()}
+    assert all(got[k]["n_links"] == 299 and got[k]["component_id"] == k // 300 * 300 for k in range(600))
+    assert got[900]["n_links"] == 0 and got[900]["kept"]
+
+
+def test_leaf_that_does_not_split_is_final(spark):
+    vector = np.array([1.0, 0.0]).tobytes()
+    rows = [(2, 0, 1, k, vector) for k in range(100)]
+    placed = spark.createDataFrame(rows, "size int, tree int, leaf long, name long, vector binary")
+    split = neighbours._split_further(placed, 60, 0.15, 7, 4, 0.9, 2.0)
+    assert split.count() == 100 and split.where("tree = -2").count() == 100
