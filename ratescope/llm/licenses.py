@@ -83,24 +83,45 @@ LINES = re.compile(r"\r?\n")
 PIECES, CHARACTERS = 4096, 1 << 20
 
 
-def pieces(text: str, most_words: int, step: int) -> Iterator[tuple[int, int, str]]:
-    """(paragraph, window, text): the non-empty lines of a text; long lines as windows that overlap."""
-    for paragraph, line in enumerate(LINES.split(text)):
-        words = line.split()
-        if len(words) > most_words:
-            for window, at in enumerate(range(0, len(words) - (most_words - step), step)):
-                yield paragraph, window, " ".join(words[at : at + most_words])
-        elif words:
-            yield paragraph, 0, line
+def _starts(words: int, most_words: int, step: int) -> range:
+    """Where the windows of so many words start: at 0 only, if one window holds them."""
+    return range(0, max(1, words - (most_words - step)), step) if words > most_words else range(1)
+
+
+def pieces(text: str, most_words: int, step: int) -> Iterator[tuple[int, int, int, int, str]]:
+    """(paragraph, window, first line, last line, text): the lines of a text, and the paragraphs that they wrap.
+
+    Lines that hold words are pieces of their own, long ones as windows that overlap. Lines without a line that holds no word between
+    them are a paragraph; windows over its joined words follow, those that cover more than one line. A piece's
+    paragraph is the number of its first line, and a paragraph's windows are numbered after those of its first line.
+    """
+    block: list[tuple[int, list[str]]] = []
+    for number, line in enumerate(chain(LINES.split(text), [""])):
+        if WORDS.search(line):
+            words = line.split()
+            block.append((number, words))
+            for window, at in enumerate(_starts(len(words), most_words, step)):
+                yield number, window, number, number, " ".join(words[at : at + most_words]) if len(words) > most_words else line
+            continue
+        if len(block) > 1:
+            words = list(chain.from_iterable(w for _, w in block))
+            lines = list(chain.from_iterable([k] * len(w) for k, w in block))
+            before = len(_starts(len(block[0][1]), most_words, step))
+            for window, at in enumerate(_starts(len(words), most_words, step)):
+                first, last = lines[at], lines[min(at + most_words, len(words)) - 1]
+                if first < last:
+                    yield block[0][0], before + window, first, last, " ".join(words[at : at + most_words])
+        block = []
 
 
 def _in_groups(batches: Iterator[pa.RecordBatch], most_words: int, step: int) -> Iterator[tuple[list, list[str]]]:
-    """(id, paragraph, window) and texts of the pieces of (id, text) batches, some thousand at a time."""
-    places, texts, size = [], [], 0
+    """(id, paragraph, window, row, first line, last line) and texts of the pieces of (id, text) batches, some thousand at a time."""
+    places, texts, size, row = [], [], 0, 0
     for batch in batches:
         for identifier, text in zip(batch.column(0), batch.column(1), strict=True):
-            for paragraph, window, piece in pieces(text.as_py() or "", most_words, step):
-                places.append((identifier, paragraph, window))
+            row += 1
+            for paragraph, window, first, last, piece in pieces(text.as_py() or "", most_words, step):
+                places.append((identifier, paragraph, window, row, first, last))
                 texts.append(piece)
                 size += len(piece)
                 if len(texts) >= PIECES or size >= CHARACTERS:
@@ -111,13 +132,25 @@ def _in_groups(batches: Iterator[pa.RecordBatch], most_words: int, step: int) ->
 
 
 def background_paragraphs(docs: DataFrame, text_column: str, most_words: int, step: int, most_texts: int, most: int, seed: int) -> DataFrame:
-    """At most ``most`` paragraphs, those with the smallest hashes, of the ``most_texts`` different texts with the smallest hashes."""
+    """At most ``most`` paragraphs, those with the smallest hashes, of the ``most_texts`` different texts with the smallest hashes.
+
+    Lines over which a notice wraps are left out, as they would teach that its parts are no notice.
+    """
     texts = docs.select(text_of(text_column).alias("text")).withColumn("hash", F.xxhash64(F.lit(seed), "text"))
     smallest = F.broadcast(settle(texts.select("hash").distinct().orderBy("hash").limit(most_texts)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found in _in_groups(batches, most_words, step):
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["text"])
+        templates = list(chain.from_iterable(_template_grams().values()))
+        pairs, fewest = set().union(*templates), min(len(g) for g in templates) / 2
+        for batch in batches:
+            for text in batch.column(1):
+                every = list(pieces(text.as_py(), most_words, step))
+                notice = set()
+                for _, _, first, last, piece in every:
+                    if first < last and len(pairs & _grams(piece)) >= fewest and agreement(piece, templates) >= 0.5:
+                        notice.update(range(first, last + 1))
+                found = [p for _, _, first, last, p in every if notice.isdisjoint(range(first, last + 1))]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["text"])
 
     every = texts.join(smallest, "hash").select("hash", "text").mapInArrow(read, "text string").distinct()
     return every.orderBy(F.xxhash64(F.lit(seed), "text"), "text").limit(most)
@@ -272,7 +305,8 @@ def scan_licences(
 ) -> DataFrame:
     """Licence notices of all texts: (id, paragraph, window, family, probability, agreement, text).
 
-    Every line is classified, long ones in overlapping windows. A prediction is kept if a template of its family agrees:
+    Every line is classified, long ones in overlapping windows, and so are the windows of paragraphs that wrap over
+    several lines (see ``pieces``); where a line is found, windows that cover it are not found as the same family again. A prediction is kept if a template of its family agrees:
     at least the share ``agree`` of the template's word pairs occurs. Null and empty texts have no paragraphs; a
     notice that occurs in several rows is found in each. No row is found twice but by overlapping windows.
     """
@@ -288,19 +322,28 @@ def scan_licences(
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = _template_grams()
+        current, lines = 0, set()  # the row that is read, and (line, family) of its lines that are found
         for places, texts in _in_groups(batches, most_words, step):
             families, probabilities = model.classify(texts)
             found = []
             for k in np.flatnonzero(families):
                 family = FAMILIES[families[k]]
                 share = agreement(texts[k], templates[family])
-                if share >= agree:
-                    found.append((k, family, float(probabilities[k]), share))
+                if share < agree:
+                    continue
+                _, _, _, row, first, last = places[k]
+                if row != current:
+                    current, lines = row, set()
+                if first == last:
+                    lines.add((first, family))
+                elif any((line, family) in lines for line in range(first, last + 1)):
+                    continue
+                found.append((k, family, float(probabilities[k]), share))
             if found:
                 kept = [places[k] for k, *_ in found]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([i.as_py() for i, _, _ in kept], kept[0][0].type),
+                        pa.array([i.as_py() for i, *_ in kept], kept[0][0].type),
                         *[pa.array([p[c] for p in kept], pa.int32()) for c in (1, 2)],
                         pa.array([f for _, f, _, _ in found], pa.string()),
                         *[pa.array([row[c] for row in found], pa.float64()) for c in (2, 3)],

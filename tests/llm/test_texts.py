@@ -276,3 +276,31 @@ def test_leaf_that_does_not_split_is_final(spark):
     placed = spark.createDataFrame(rows, "size int, tree int, leaf long, name long, vector binary")
     split = neighbours._split_further(placed, 60, 0.15, 7, 4, 0.9, 2.0)
     assert split.count() == 100 and split.where("tree = -2").count() == 100
+
+
+MIT_TEXT = """MIT License
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software."""
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above notice."""
+GPL_TEXT = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""
+
+
+def test_wrapped_licences(spark):
+    rng = random.Random(12)
+    filler = lambda n: " ".join("".join(rng.choice(LETTERS) for _ in range(5)) for _ in range(n))
+    rows = [(k, "\n".join(filler(12) for _ in range(8))) for k in range(150)]
+    rows += [(200, MIT_TEXT), (201, BSD_TEXT), (202, GPL_TEXT), (203, f"{filler(70)}\n{filler(9)}\n{MIT_TEXT}\n\n{filler(12)}")]
+    rows += [(204, f"{filler(9)}\nReleased under the MIT License.\n{filler(9)}")]
+    got = licenses.scan_licences(spark.createDataFrame(rows, "doc_id long, text string"), copies=30).collect()
+    assert {(r["doc_id"], r["family"]) for r in got} == {(200, "mit"), (201, "bsd"), (202, "gpl"), (203, "mit"), (204, "mit")}
+    assert [(r["paragraph"], r["window"]) for r in got if r["doc_id"] == 204] == [(1, 0)]
+    assert len({(r["doc_id"], r["paragraph"], r["window"]) for r in got}) == len(got)
