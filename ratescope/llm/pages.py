@@ -26,6 +26,10 @@ ASIDE_WORDS = re.compile(
     re.IGNORECASE,
 )
 MAIN = set("article main".split())
+#: A header by its class word is part of the article inside one, or where it says so.
+HEADER_WORD = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-]|\d)", re.IGNORECASE)
+ARTICLE_HEADER = re.compile(r"(?:^|\s)(?:post|entry|article|story|content)[_-]+header(?:$|\s)", re.IGNORECASE)
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: A start tag that ends an open element of the same kind, and where that search stops.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 CLOSES |= {t: {"p"} for t in "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split()}
@@ -35,12 +39,17 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
 
 
 class Blocks(HTMLParser):
-    """Blocks of a page in order: (path of block tags from the root, text, letters inside links)."""
+    """Blocks of a page in order: (path of block tags from the root, numbers of its marks, text, letters inside links).
+
+    A mark is an open element that is an article (``main``), page furniture by its tag (``aside``), or perhaps furniture: a form or an
+    element with a class word that says so (``perhaps``).
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, str, bool, bool]] = []  # tag, step of the path, hidden, aside
-        self.blocks: list[tuple[tuple[str, ...], bool, str, int]] = []
+        self.open: list[tuple[str, str, bool, int | None]] = []  # tag, step of the path, hidden, number of the mark
+        self.marks: list[str] = []
+        self.blocks: list[tuple[tuple[str, ...], tuple[int, ...], str, int]] = []
         self.parts: list[str] = []
         self.linked = 0
 
@@ -48,7 +57,7 @@ class Blocks(HTMLParser):
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
             path = tuple(step for tag, step, _, _ in self.open if tag not in INLINE)
-            self.blocks.append((path, any(o[3] for o in self.open), text, self.linked))
+            self.blocks.append((path, tuple(o[3] for o in self.open if o[3] is not None), text, self.linked))
         self.parts, self.linked = [], 0
 
     def _pop(self, at: int) -> None:
@@ -77,9 +86,20 @@ class Blocks(HTMLParser):
         shown = dict(attrs)
         hidden = tag in HIDDEN or "hidden" in shown or shown.get("aria-hidden") == "true"
         # the header of an article is part of it, the header of the page is not
-        page_header = tag == "header" and not any(o[0] in MAIN for o in self.open)
-        aside = tag in ASIDE or page_header or (tag not in MAIN and tag not in ("html", "body") and bool(ASIDE_WORDS.search(named)))
-        self.open.append((tag, f"{tag}.{named}" if named else tag, hidden, aside))
+        inside = any(o[0] in MAIN for o in self.open)
+        mark = None
+        if tag in MAIN:
+            mark = "main"
+        elif tag != "form" and tag in ASIDE or (tag == "header" and not inside):
+            mark = "aside"
+        elif tag == "form":
+            mark = "perhaps"
+        elif tag not in ("html", "body"):
+            words = HEADER_WORD.sub(" ", named) if inside or ARTICLE_HEADER.search(named) else named
+            mark = "perhaps" if ASIDE_WORDS.search(words) else None
+        if mark:
+            self.marks.append(mark)
+        self.open.append((tag, f"{tag}.{named}" if named else tag, hidden, len(self.marks) - 1 if mark else None))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -102,31 +122,65 @@ class Blocks(HTMLParser):
             self.linked += len(data.strip())
 
 
-def blocks_of(html: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
+def blocks_of(html: str) -> Blocks:
     parser = Blocks()
     parser.feed(html)
     parser.close()
     parser.flush()
-    return parser.blocks
+    return parser
+
 
+def furniture(page: Blocks, text: np.ndarray) -> np.ndarray:
+    """Whether each block is page furniture.
 
-def content_blocks(blocks: list[tuple[tuple[str, ...], bool, str, int]], threshold: float) -> list[str]:
+    Furniture by tag is furniture with all below it. An element that is perhaps furniture is not if it holds most of the page's
+    text; nor does it count for the articles in it, unless articles outside of all such elements hold as much text.
+    """
+    kinds = page.marks
+    tagged = np.array([any(kinds[m] == "aside" for m in b[1]) for b in page.blocks], dtype=bool)
+    held = np.zeros(len(kinds))
+    for block, size, out in zip(page.blocks, text, tagged, strict=True):
+        if not out:
+            held[list(block[1])] += size
+    total = text[~tagged].sum()
+    perhaps = [kind == "perhaps" and 2 * held[m] <= total for m, kind in enumerate(kinds)]
+
+    def around(block: tuple) -> tuple[bool, bool, bool]:
+        """Whether a block is in an article, whether in something that is perhaps furniture inside it, and outside it."""
+        last = max((m for m in block[1] if kinds[m] == "main"), default=None)
+        if last is None:
+            return False, any(perhaps[m] for m in block[1]), False
+        return True, any(perhaps[m] for m in block[1] if m > last), any(perhaps[m] for m in block[1] if m < last)
+
+    found = [around(b) for b in page.blocks]
+    article, within, outside = (np.array([f[k] for f in found], dtype=bool) for k in range(3))
+    body = article & ~within & ~tagged
+    counts = text[body & ~outside].sum() >= text[body & outside].sum()
+    return tagged | within | (outside & counts)
+
+
+def content_blocks(page: Blocks, threshold: float) -> list[str]:
     """The blocks whose path is content.
 
     Each path from root to block is a group: text outside links per block and punctuation per block are its
-    two ratios. Both are smoothed along the page over the blocks next to each one (not across the border between page
-    furniture and the rest), and fused by their product. A path is content if its mean
-    fused ratio reaches ``threshold`` times the page's mean, weighted by text. Paths in or below page furniture (navigation, footers,
-    adverts and the like, by tag or by class) have no ratio. Where a page says which part is the
-    article, the paths below it are content if any is.
+    two ratios. Both are smoothed along the page over the blocks next to each one, and fused by their product and, but for headings, the share of
+    the path's text that is outside links. A path is content if its mean
+    fused ratio reaches ``threshold`` times the mean of all, weighted by text. Page furniture (navigation, footers,
+    adverts and the like, see ``furniture``) has no ratio. Where a page says which part is the article and that has text, the
+    blocks outside it have none either.
     """
-    if not blocks:
+    if not page.blocks:
         return []
-    paths = {path: k for k, path in enumerate(dict.fromkeys(b[0] for b in blocks))}
-    of = np.array([paths[b[0]] for b in blocks])
-    live = np.array([not b[1] for b in blocks])
-    text = np.array([max(0, len(b[2]) - b[3]) for b in blocks], dtype=float)
-    marks = np.array([len(PUNCTUATION.findall(b[2])) for b in blocks], dtype=float)
+    text = np.array([max(0, len(b[2]) - b[3]) for b in page.blocks], dtype=float)
+    live = ~furniture(page, text)
+    main = live & np.array([any(page.marks[m] == "main" for m in b[1]) for b in page.blocks], dtype=bool)
+    if text[main].sum():
+        live = main
+    # the same path may be furniture in one place only
+    names = [(b[0], bool(on)) for b, on in zip(page.blocks, live, strict=True)]
+    paths = {path: k for k, path in enumerate(dict.fromkeys(names))}
+    of = np.array([paths[name] for name in names])
+    marks = np.array([len(PUNCTUATION.findall(b[2])) for b in page.blocks], dtype=float)
     n = np.bincount(of)
 
     def smoothed(values: np.ndarray) -> np.ndarray:
@@ -136,19 +190,17 @@ def content_blocks(blocks: list[tuple[tuple[str, ...], bool, str, int]], thresho
         weights = weight[:-2] + 2 * weight[1:-1] + weight[2:]
         return np.where(live, sums / np.maximum(weights, 1), 0.0)
 
-    fused = smoothed(text) * (1 + smoothed(marks))
-    by_path = np.bincount(of, fused) / n
     total = (text * live).sum()
     if not total:
         return []
+    lengths = np.bincount(of, [len(b[2]) for b in page.blocks])
+    heading = np.array([path[-1].split(".")[0] in HEADINGS if path else False for path, _ in paths], dtype=bool)
+    unlinked = np.where(heading, 1.0, np.bincount(of, text) / lengths)
+    fused = smoothed(text) * (1 + smoothed(marks))
+    by_path = np.bincount(of, fused) / n * unlinked
     mean = (by_path[of] * text * live).sum() / total
     good = (by_path >= threshold * mean) & (by_path > 0)
-    main = np.array([any(step.split(".")[0] in MAIN for step in path) for path in paths])
-    furniture = np.zeros(len(n), dtype=bool)
-    furniture[of[~live]] = True
-    if (good & main).any():
-        good = main & ~furniture
-    return [b[2] for k, b in zip(of, blocks, strict=True) if good[k] and not b[1]]
+    return [b[2] for k, b, on in zip(of, page.blocks, live, strict=True) if on and good[k]]
 
 
 def main_text(html: str | None, threshold: float = 0.05) -> str:

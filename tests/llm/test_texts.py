@@ -304,3 +304,15 @@ def test_wrapped_licences(spark):
     assert {(r["doc_id"], r["family"]) for r in got} == {(200, "mit"), (201, "bsd"), (202, "gpl"), (203, "mit"), (204, "mit")}
     assert [(r["paragraph"], r["window"]) for r in got if r["doc_id"] == 204] == [(1, 0)]
     assert len({(r["doc_id"], r["paragraph"], r["window"]) for r in got}) == len(got)
+
+
+PROSE = "Long text, of words; more of it. " * 12
+
+
+def test_ratios_decide_inside_articles():
+    links = "<div><ul>" + "".join(f"<li><a href={k}>Another story number {k}</a></li>" for k in range(3)) + "</ul></div>"
+    article = f"<article><h1><a href=x>Title</a></h1><p>{PROSE}</p>{links}<p>{PROSE}</p></article>"
+    want = f"Title\n\n{PROSE.strip()}\n\n{PROSE.strip()}"
+    assert pages.main_text(f"<body>{article}<p>Outside, it is.</p></body>") == want
+    without = f"<body><div><h1>Title</h1><p>{PROSE}</p>{links}<p>{PROSE}</p></div></body>"
+    assert pages.main_text(without) == want
