@@ -316,3 +316,15 @@ def test_ratios_decide_inside_articles():
     assert pages.main_text(f"<body>{article}<p>Outside, it is.</p></body>") == want
     without = f"<body><div><h1>Title</h1><p>{PROSE}</p>{links}<p>{PROSE}</p></div></body>"
     assert pages.main_text(without) == want
+
+
+@pytest.mark.parametrize("wrapper", ["div class='site has-sidebar'", "form id=aspnetForm", "div class=search-widget"])
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_wrappers_do_not_lose_the_article(wrapper, inner):
+    page = f"<body><{wrapper}><div class=sidebar>Buy, now.</div><{inner}><div class=post-header><h1>Title</h1></div><p>{PROSE}</p><div class=ad>Buy, now.</div></{inner}></{wrapper.split()[0]}></body>"
+    assert pages.main_text(page) == f"Title\n\n{PROSE.strip()}"
+
+
+def test_related_articles_are_furniture():
+    page = f"<body><article><p>{PROSE}</p></article><div class=related><article><p>A teaser, short.</p></article></div></body>"
+    assert pages.main_text(page) == PROSE.strip()
