@@ -22,6 +22,10 @@ KINDS = ("email", "ip", "card", "phone")
 IP_PARTS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
 #: A word that could be an identifier: it has four digits or more, or an @.
 CANDIDATE = r"(?<![^\s])(?:(?=\S*@)|(?=(?:[^\s0-9]*+[0-9]){4}))\S++"
+#: Groups of digits joined by blanks, dots, hyphens and brackets: the base formats without their checks. At least one of each is joined.
+GROUPED = r"(?<![^\s])[(+]?+[0-9]++(?:(?:\x20?\(|\)[\x20.-]?+|[\x20.-])[0-9]++)++"
+#: The digits of a run of groups, together.
+FEWEST, MOST = 7, 19
 SPAN = "array<struct<start:int,end:int,text:string,before:string>>"
 
 
@@ -42,7 +46,7 @@ def _luhn(digits: Column) -> Column:
 
 
 def located(text: Column, pattern: str) -> Column:
-    """The matches of ``pattern`` with their places in code points, and up to 60 characters before each.
+    """The matches of ``pattern`` with their places in code points, and up to 60 characters of the text before each.
 
     The text between matches is what splitting by the pattern leaves; lengths add up to places.
     """
@@ -53,10 +57,12 @@ def located(text: Column, pattern: str) -> Column:
     def step(state: Column, part: Column) -> Column:
         start = state["at"] + F.length(part["gap"])
         end = start + F.length(part["match"])
-        span = F.struct(start.alias("start"), end.alias("end"), part["match"].alias("text"), F.right(part["gap"], F.lit(60)).alias("before"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+        before = F.right(F.concat(state["tail"], part["gap"]), F.lit(60))
+        span = F.struct(start.alias("start"), end.alias("end"), part["match"].alias("text"), before.alias("before"))
+        tail = F.right(F.concat(before, part["match"]), F.lit(60))
+        return F.struct(end.alias("at"), tail.alias("tail"), F.concat(state["out"], F.array(span)).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(SPAN).alias("out"))
     return F.when(F.size(found) > 0, F.aggregate(parts, start, step, lambda s: s["out"])).otherwise(F.array().cast(SPAN))
 
 
@@ -121,7 +127,8 @@ def personal_data(
 ) -> DataFrame:
     """Personal data of every row: spans of the four fixed formats and those that context reveals.
 
-    The spans of the formats are seeds. The two words before a span are a lexical pattern; words with four digits or an
+    The spans of the formats are seeds. The two words before a span are a lexical pattern; runs of digit groups
+    (``FEWEST`` to ``MOST`` digits, joined by blanks, dots, hyphens or brackets) and, outside of them, words with four digits or an
     @ which no format covers are candidates with patterns of their own. Patterns and instances (span
     texts) make a graph that is scored for some rounds over the whole corpus (see ``_graph_scores``);
     a candidate that scores ``sure`` in one of the sure patterns is a span of the pattern's kind. So
@@ -135,17 +142,24 @@ def personal_data(
     spans = [base_spans(text, kind).alias(kind) for kind in KINDS]
     some = text.rlike(r"@|[0-9](?:[^\s0-9]*+[0-9]){3}")
     candidates = F.when(some, located(text, CANDIDATE)).otherwise(F.array().cast(SPAN)).alias("candidates")
-    found = settle(read.select("id", "row", *spans, candidates))
+    some_groups = text.rlike(r"[0-9][\x20().-]{1,2}[0-9]")
+    runs = F.filter(located(text, GROUPED), lambda c: F.length(_digits(c["text"])).between(FEWEST, MOST))
+    groups = F.when(some_groups, runs).otherwise(F.array().cast(SPAN)).alias("groups")
+    found = settle(read.select("id", "row", *spans, candidates, groups))
 
     seeds = reduce(
         DataFrame.union,
         [found.select(F.explode(kind).alias("s")).select(_context(F.col("s.before")).alias("context"), F.col("s.text").alias("instance"), F.lit(kind).alias("kind")) for kind in KINDS],
     )
     every = F.concat(*KINDS)
-    free = F.filter("candidates", lambda c: ~F.exists(every, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
+
+    def free(spans: Column | str, taken: Column | str) -> Column:
+        return F.filter(spans, lambda c: ~F.exists(taken, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
+
     loose = settle(
-        found.where(F.size("candidates") > 0)
-        .select("row", F.explode(free).alias("c"))
+        found.where((F.size("candidates") > 0) | (F.size("groups") > 0))
+        .withColumn("groups", free("groups", every))
+        .select("row", F.explode(F.concat("groups", free(free("candidates", every), "groups"))).alias("c"))
         .select("row", "c.start", "c.end", _context(F.col("c.before")).alias("context"), F.col("c.text").alias("instance"))
         .where("context is not null")
     )

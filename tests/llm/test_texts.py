@@ -328,3 +328,22 @@ def test_wrappers_do_not_lose_the_article(wrapper, inner):
 def test_related_articles_are_furniture():
     page = f"<body><article><p>{PROSE}</p></article><div class=related><article><p>A teaser, short.</p></article></div></body>"
     assert pages.main_text(page) == PROSE.strip()
+
+
+def test_context_reveals_grouped_identifiers(spark):
+    rng = random.Random(13)
+
+    def card(good):
+        body = f"4{rng.randint(10**13, 10**14 - 1):014d}"
+        last = next(d for d in range(10) if passes("card", f"{body}{d}") == good)
+        return " ".join(f"{body}{last}"[k : k + 4] for k in range(0, 16, 4))
+
+    rows = [(k, f"Please call me at +1 555 {rng.randint(1000000, 9999999)} today") for k in range(40)]
+    rows += [(50 + k, f"my card number {card(True)} expires") for k in range(40)]
+    rows += [(100 + k, f"Please call me at (555) 010-{rng.randint(1000, 9999)} today") for k in range(5)]
+    rows += [(200 + k, f"my card number {card(False)} expires") for k in range(5)]
+    rows += [(300, "Please call me at 555.010.9999, today"), (301, "of 1999 2000 and of 12 3 was good"), (302, "Please call me at " + "1 " * 20000)]
+    got = {r["doc_id"]: r for r in personal.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[100 + k]["spans"] for k in range(5)] == ["phone:18:32"] * 5
+    assert [got[200 + k]["spans"] for k in range(5)] == ["card:15:34"] * 5
+    assert got[300]["spans"] == "phone:18:30" and got[301]["spans"] == "" and got[302]["n_found"] == 0
