@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ratescope.llm.common import spread_join
 from ratescope.llm.components import components
@@ -66,42 +68,44 @@ def _leaves(vectors: np.ndarray, tree: int, nodes: dict, seed: int) -> list[tupl
     return out
 
 
-def _matrix(column: pa.Array, size: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<f8").reshape(-1, size)
+def _matrix(found: list[bytes], kind: str) -> np.ndarray:
+    """Unit vectors in double precision from the bytes of vectors of one length, numbers of ``kind``."""
+    x = np.frombuffer(b"".join(found), dtype=kind).reshape(len(found), -1).astype("<f8")
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _split_further(placed: DataFrame, most: int, spill: float, seed: int, rounds: int, least: float, dense: float) -> DataFrame:
+def _split_further(placed: DataFrame, vectors: DataFrame, kind: str, most: int, spill: float, seed: int, rounds: int, least: float, dense: float) -> DataFrame:
     """Split leaves of more than ``most`` vectors again, at quantiles of all their vectors.
 
     A leaf is final, and its tree number negative, if the share ``dense`` of the pairs of about ``PROBE`` of its vectors is near
     or if one side would keep all of its vectors.
     """
     keys = ["size", "tree", "leaf"]
-    columns = ["size", "tree", "leaf", "name", "vector"]
+    columns = ["size", "tree", "leaf", "row"]
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [
-                float(np.frombuffer(v.as_buffer(), dtype="<f8") @ _direction(t, n % (1 << 62), s, seed))
-                for s, t, n, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(4), strict=True)
+                float(_matrix([v], kind)[0] @ _direction(t, n % (1 << 62), s, seed))
+                for s, t, n, v in zip(*[batch.column(c).to_pylist() for c in (0, 1, 2, 4)], strict=True)
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*batch.schema.names, "along"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(values, pa.float64())], names=[*columns, "along"])
 
     @F.pandas_udf("double")
     def share(probes: pd.Series) -> pd.Series:
-        return probes.map(lambda p: near_share(np.frombuffer(b"".join(p), dtype="<f8").reshape(len(p), -1), least)).astype("float64")
+        return probes.map(lambda p: near_share(_matrix(list(p), kind), least)).astype("float64")
 
     for _ in range(rounds):
         sizes = placed.where("tree >= 0").groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
         large = settle(sizes)
         if large.isEmpty():
             break
-        probed = placed.join(large, keys).where(F.pmod(F.xxhash64("name", F.lit(seed)), F.col("n")) < PROBE)
+        probed = placed.join(large, keys).where(F.pmod(F.xxhash64("row", F.lit(seed)), F.col("n")) < PROBE).join(vectors, "row")
         shares = probed.groupBy(*keys).agg(F.collect_list("vector").alias("probes")).select(*keys, (share("probes") >= dense).alias("final"))
         large = settle(large.join(shares, keys, "left").select(*keys, F.coalesce("final", F.lit(False)).alias("final")))
         final = placed.join(large.where("final"), keys).withColumn("tree", -2 - F.col("tree")).select(*columns)
-        opened = placed.join(large.where("not final"), keys).select(*columns)
-        opened = settle(opened.mapInArrow(project, "size int, tree int, leaf long, name long, vector binary, along double"))
+        opened = placed.join(large.where("not final"), keys).join(vectors, "row").select(*columns, "vector")
+        opened = settle(opened.mapInArrow(project, "size int, tree int, leaf long, row long, along double"))
         quantiles = F.percentile_approx("along", [0.5 - spill / 2, 0.5 + spill / 2], 1000).alias("cut")
         cuts = opened.groupBy(*keys).agg(quantiles, F.min("along").alias("least"), F.max("along").alias("most"))
         cut = opened.join(cuts.withColumn("whole", (F.col("most") <= F.col("cut")[1]) | (F.col("least") >= F.col("cut")[0])), keys)
@@ -150,28 +154,29 @@ def similar_vectors(
     rows = settle(rows.select("id", valid.alias("valid"), F.when(valid, F.xxhash64("vector")).alias("hash"), F.when(valid, F.col("vector")).alias("vector"), F.spark_partition_id().alias("part")))
     classes = rows.where("valid").groupBy("hash", "vector").agg(F.min("id").alias("name"), F.count(F.lit(1)).alias("n"))
 
+    kind = "<f4" if isinstance(vectors.schema[vector_column].dataType.elementType, T.FloatType) else "<f8"
+
     def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
             for v in batch.column(3):
-                x = np.array(v.as_py(), dtype="<f8")
-                made.append(x / np.linalg.norm(x))
-            sizes = pa.array([len(x) for x in made], pa.int32())
+                made.append(np.array(v.as_py(), dtype=kind).tobytes())
+            units = [_matrix([b], kind)[0] for b in made]
+            sizes = pa.array([len(x) for x in units], pa.int32())
             # a sum with 0.0 makes -0.0 positive
-            ways = pa.array([(np.round(x, 12) + 0.0).tobytes() for x in made], pa.binary())
-            units = pa.array([x.tobytes() for x in made], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], sizes, ways, units], names=["hash", "name", "n", "size", "way", "vector"])
+            ways = pa.array([hashlib.sha256((np.round(x, 12) + 0.0).tobytes()).digest() for x in units], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], sizes, ways, pa.array(made, pa.binary())], names=["hash", "name", "n", "size", "way", "vector"])
 
     made = "hash long, name long, n long, size int, way binary, vector binary"
     distinct = settle(classes.select("hash", "name", "n", "vector").mapInArrow(unit, made))
     lead = F.min(F.struct("name", "vector"))
     classes = distinct.groupBy("size", "way").agg(lead.alias("lead"), F.sum("n").alias("n"))
-    classes = settle(classes.select("size", "way", F.col("lead.name").alias("name"), F.col("lead.vector").alias("vector"), "n"))
+    classes = settle(classes.select("size", "way", F.col("lead.name").alias("name"), F.col("lead.vector").alias("vector"), "n", F.monotonically_increasing_id().alias("row")))
     sizes = {r["size"]: r["count"] for r in classes.groupBy("size").count().orderBy(F.desc("count"), "size").limit(64).collect()}
     forest = {}
     for size, n in sizes.items():
         taken = classes.where(F.col("size") == size).orderBy(F.xxhash64("name", F.lit(seed)), "name").limit(sample_rows).select("vector").collect()
-        sample = np.frombuffer(b"".join(r["vector"] for r in taken), dtype="<f8").reshape(-1, size)
+        sample = _matrix([r["vector"] for r in taken], kind)
         if n <= most_leaf or near_share(sample[:PROBE], least) >= dense:
             forest[size] = {-1: {}}
             continue
@@ -185,7 +190,7 @@ def similar_vectors(
             for size in np.unique(every):
                 at = np.flatnonzero(every == size)
                 part = batch.take(pa.array(at))
-                matrix = _matrix(part.column(2), int(size))
+                matrix = _matrix(part.column(2).to_pylist(), kind)
                 for tree, nodes in shared.value.get(int(size), dict.fromkeys(range(trees), {})).items():
                     found = _leaves(matrix, tree, nodes, seed)
                     rows = np.concatenate([r for _, r in found])
@@ -193,20 +198,22 @@ def similar_vectors(
                     take = pa.array(rows)
                     same = pa.array(np.full(len(rows), size, dtype=np.int32))
                     yield pa.RecordBatch.from_arrays(
-                        [same, pa.array(np.full(len(rows), tree, dtype=np.int32)), pa.array(leaves), part.column(1).take(take), part.column(2).take(take)],
-                        names=["size", "tree", "leaf", "name", "vector"],
+                        [same, pa.array(np.full(len(rows), tree, dtype=np.int32)), pa.array(leaves), part.column(1).take(take)],
+                        names=["size", "tree", "leaf", "row"],
                     )
 
-    placed = settle(classes.select("size", "name", "vector").mapInArrow(place, "size int, tree int, leaf long, name long, vector binary"))
-    placed = _split_further(placed, most_leaf, spill, seed, rounds, least, dense)
+    # the leaves hold row numbers, since a vector is in several leaves of every tree; vectors are joined where they are compared
+    by_row = classes.select("row", "vector")
+    placed = settle(classes.select("size", "row", "vector").mapInArrow(place, "size int, tree int, leaf long, row long"))
+    placed = _split_further(placed, by_row, kind, most_leaf, spill, seed, rounds, least, dense)
     counted = placed.groupBy("size", "tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / most_leaf).cast("int").alias("blocks"))
-    blocked = placed.join(counted, ["size", "tree", "leaf"]).withColumn("mine", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
+    blocked = placed.join(counted, ["size", "tree", "leaf"]).withColumn("mine", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
     blocked = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     blocked = blocked.withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("name")
-        x = np.frombuffer(b"".join(frame["vector"]), dtype="<f8").reshape(len(frame), -1)
+        frame = frame.drop_duplicates("row")
+        x = _matrix(list(frame["vector"]), kind)
         names, mine = frame["name"].to_numpy(), frame["mine"].to_numpy()
         left, right = np.flatnonzero(mine == frame["low"].to_numpy()), np.flatnonzero(mine == frame["high"].to_numpy())
         cosine = x[left] @ x[right].T
@@ -215,7 +222,8 @@ def similar_vectors(
         once = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
         return pd.DataFrame(once, columns=["a", "b"])
 
-    pairs = blocked.select("size", "tree", "leaf", "low", "high", "mine", "name", "vector").groupBy("size", "tree", "leaf", "low", "high")
+    blocked = blocked.join(classes.select("row", "name", "vector"), "row")
+    pairs = blocked.select("size", "tree", "leaf", "low", "high", "mine", "row", "name", "vector").groupBy("size", "tree", "leaf", "low", "high")
     links = settle(pairs.applyInPandas(compare, "a long, b long").distinct())
     roots = components(links, "a", "b")
     both = links.union(links.select("b", "a"))

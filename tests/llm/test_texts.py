@@ -272,9 +272,9 @@ def test_similar_vectors_of_equal_direction(spark):
 
 def test_leaf_that_does_not_split_is_final(spark):
     vector = np.array([1.0, 0.0]).tobytes()
-    rows = [(2, 0, 1, k, vector) for k in range(100)]
-    placed = spark.createDataFrame(rows, "size int, tree int, leaf long, name long, vector binary")
-    split = neighbours._split_further(placed, 60, 0.15, 7, 4, 0.9, 2.0)
+    placed = spark.createDataFrame([(2, 0, 1, k) for k in range(100)], "size int, tree int, leaf long, row long")
+    by_row = spark.createDataFrame([(k, vector) for k in range(100)], "row long, vector binary")
+    split = neighbours._split_further(placed, by_row, "<f8", 60, 0.15, 7, 4, 0.9, 2.0)
     assert split.count() == 100 and split.where("tree = -2").count() == 100
 
 
