@@ -52,7 +52,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("pack", pack_sequences),
 ]
 
-#: A trained score, a join by shingles and a packing plan are not SQL; tests compare with brute force.
+#: A trained score, a join by shingles and a packing plan are not SQL. Tests compare the operators with brute force, not the rows of ``run``.
 ORACLE_SQL: str | None = None
 
 
