@@ -22,9 +22,10 @@ FOLD_SQL = "f AS (" + " UNION ALL ".join(
 
 @query("expanding_folds", f"WITH {OCC}, {FOLD_SQL} SELECT * FROM f WHERE period IN (SELECT period FROM occ)")
 def expanding_folds(spark, folder):
+    """Folds that follow from the periods of the table."""
     periods = occurrences(spark, folder).where(F.col("period") < FINAL).select("period").distinct()
-    table = splits.fold_periods(spark, FOLDS)
-    return table.join(periods, "period", "left_semi").select("fold", "side", "period")
+    folds = splits.expanding_folds([r["period"] for r in periods.collect()])
+    return splits.fold_periods(spark, folds).select("fold", "side", "period")
 
 
 @query(

@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ratescope.operators import explain, features, models, scores, splits
+from ratescope.plans import splits as plan_splits
 from ratescope.runtime import scratch_path
 
 RECIPE = features.Recipe(("uf",), ("km",), ("night",))
@@ -201,3 +202,12 @@ def test_rankings_add_up(spark):
     assert first["share"] + second["share"] == pytest.approx(1.0)
     by = {(r["predictor"], r["outcome"]): r for r in explain.contribution_by_outcome(long, names).collect()}
     assert by["a", "TP"]["mean_abs"] == pytest.approx(0.6) and by["b", "FP"]["rows"] == 1
+
+
+def test_expanding_folds_follow_the_periods_found(spark, tmp_path):
+    source = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").where("year(l_shipdate) in (1995, 1996)")
+    kind = source.schema["l_shipdate"].dataType
+    earlier = F.when(F.year("l_shipdate") == 1995, F.add_months("l_shipdate", -12)).otherwise(F.col("l_shipdate").cast("date"))
+    source.withColumn("l_shipdate", earlier.cast(kind)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = {tuple(r) for r in plan_splits.expanding_folds(spark, str(tmp_path)).collect()}
+    assert found == {(1, "train", 1994), (1, "validation", 1996)}
