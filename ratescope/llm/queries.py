@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ratescope.llm import exact, infill, licenses, merkle, mixing, neighbours, packing, pages, personal, shards, shingles, toxicity
+from ratescope.llm import exact, infill, kneser_ney, licenses, merkle, mixing, neighbours, packing, pages, personal, shards, shingles, toxicity
 from ratescope.llm.common import table
 
 QUERIES = {}
@@ -129,6 +129,12 @@ SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = roo
 """
 
 
+@query
+def op12_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of every document; see ``kneser_ney.learn_and_score`` for odd rows."""
+    return kneser_ney.corpus_scores(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text cut for fill-in-the-middle and rebuilt; see ``infill.fill_in_middle`` for odd rows."""
