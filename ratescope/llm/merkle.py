@@ -61,25 +61,29 @@ def in_order(nodes: DataFrame, group: str, order: list[str]) -> DataFrame:
     )
 
 
-def _subtrees(level: DataFrame, group: str, stride: int) -> DataFrame:
+def _subtrees(level: DataFrame, group: str, stride: int, riders: list[str] = ()) -> DataFrame:
     """A row per aligned subtree of a stored level: its digests in order, and the ``rise`` levels to its top.
 
     ``level`` has group, place, digest and nodes. A group with few nodes ends below the next stored level.
+    The ``riders`` are further columns of the nodes, kept in the same order as an array of structs.
     """
     rise = sum(((F.first("nodes") > (1 << k)).cast("int") for k in range(stride)), F.lit(0))
-    held = F.transform(F.array_sort(F.collect_list(F.struct("place", "digest"))), lambda x: x["digest"])
-    return level.groupBy(group, F.shiftright("place", stride).alias("place")).agg(
-        held.alias("held"), F.first("nodes").alias("nodes"), rise.alias("rise")
+    members = F.array_sort(F.collect_list(F.struct("place", "digest", *[r for r in riders if r != "digest"])))
+    return (
+        level.groupBy(group, F.shiftright("place", stride).alias("place"))
+        .agg(members.alias("members"), F.first("nodes").alias("nodes"), rise.alias("rise"))
+        .withColumns({"held": F.col("members.digest"), "riders": F.transform("members", lambda x: F.struct(x["place"], *[x[r] for r in riders]))})
+        .drop("members")
     )
 
 
 def stored_levels(nodes: DataFrame, group: str, stride: int = STRIDE) -> list[DataFrame]:
     """The stored levels of all groups' trees, leaves first; the last has one node per group.
 
-    ``nodes`` has group, digest, place and nodes. Each level is a table in the shared folder, a
+    ``nodes`` has group, digest, place and nodes, and is settled. Each level is a table in the shared folder, a
     sixteenth (2**-stride) as long as the one below it.
     """
-    level = settle(nodes.select(group, "place", "digest", "nodes"))
+    level = nodes
     levels = [level]
     while (level.agg(F.max("nodes")).first()[0] or 0) > 1:
         parent = _subtrees(level, group, stride)
@@ -107,24 +111,35 @@ def _steps(stride: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size("held") - 1), every)
 
 
-def sibling_paths(levels: list[DataFrame], group: str, stride: int = STRIDE) -> DataFrame:
-    """(group, place, path, subroot) per leaf: the siblings on the way up to the group's subroot.
+def sibling_paths(levels: list[DataFrame], tops: DataFrame, group: str, riders: list[str] = (), stride: int = STRIDE) -> DataFrame:
+    """Per leaf the siblings on its way up, as column path, with the ``riders`` of the leaves' level.
 
     From the top down: a subtree's nodes get their siblings inside the subtree, followed by the path of
-    its top, which the level above has made. Each join is one row per subtree.
+    its top, which the level above has made. ``tops`` starts it with group, place 0 and path (empty, or
+    what lies above the groups' tops); its other columns go down to all leaves. Joins are one row per subtree,
+    and the leaves' paths, the bulk of the result, are made after the last of them.
     """
-    paths = levels[-1].select(group, "place", F.array().cast("array<string>").alias("path"), F.col("digest").alias("subroot"))
+    paths = tops
     for level in reversed(levels[:-1]):
-        trees = _subtrees(level, group, stride)
+        last = level is levels[0]
+        trees = _subtrees(level, group, stride, riders if last else ())
         for k in range(stride):  # columns one after another, so no level is computed again for the next
             below = F.col("held") if k == 0 else F.col(f"inside_{k - 1}")
             trees = trees.withColumn(f"inside_{k}", below if k == 0 else F.when(F.col("rise") >= k, _parents(below)).otherwise(below))
-        top = paths.select(F.col(group).alias("group_t"), F.col("place").alias("place_t"), F.col("path").alias("path_t"), "subroot")
+        handed = [c for c in paths.columns if c not in (group, "place", "path")]
+        top = paths.select(F.col(group).alias("group_t"), F.col("place").alias("place_t"), F.col("path").alias("path_t"), *handed)
         both = trees.join(top, F.col(group).eqNullSafe(F.col("group_t")) & (F.col("place") == F.col("place_t")))
-        paths = both.select(group, F.col("place").alias("tree_"), "path_t", "subroot", F.posexplode(_steps(stride)).alias("at_", "inner_")).select(
-            group, (F.shiftleft("tree_", stride) + F.col("at_")).alias("place"), F.concat("inner_", "path_t").alias("path"), "subroot"
+        each = both.select(group, "path_t", *handed, F.explode(F.arrays_zip(_steps(stride).alias("steps"), "riders")).alias("each"))
+        paths = each.select(
+            group,
+            F.col("each.riders.place").alias("place"),
+            F.concat("each.steps", "path_t").alias("path"),
+            *handed,
+            *([F.col(f"each.riders.{r}").alias(r) for r in riders] if last else []),
         )
-        paths = settle(paths) if level is not levels[0] else paths
+        paths = paths if last else settle(paths)
+    if len(levels) == 1:  # every leaf is the top of its group
+        paths = paths.join(levels[0].select(F.col(group).alias("group_t"), *riders), F.col(group).eqNullSafe(F.col("group_t"))).drop("group_t")
     return paths
 
 
@@ -154,22 +169,23 @@ def merkle_manifest(
     rows = settle(docs.select(F.col(order).alias("order_"), F.col(group).alias("group_"), digest, *[c.alias(f"x_{n}") for n, c in extra.items()]))
     placed = settle(in_order(rows, "group_", ["order_", "digest"]))
     levels = stored_levels(placed, "group_", stride)
-    paths = sibling_paths(levels, "group_", stride)
     # the groups' subroots are the leaves of one more tree
-    tops = in_order(levels[-1].select(F.lit(0).alias("all_"), F.col("group_").alias("of_"), "digest"), "all_", ["of_"])
-    tops = settle(tops)
-    upper = sibling_paths(stored_levels(tops, "all_", stride), "all_", stride)
-    over = tops.join(upper.withColumnRenamed("path", "over_").withColumnRenamed("subroot", "root"), ["all_", "place"]).select("of_", "over_", "root")
-    same = F.col("group_").eqNullSafe(F.col("group_p")) & (F.col("place") == F.col("place_p"))
-    found = placed.join(paths.withColumnRenamed("group_", "group_p").withColumnRenamed("place", "place_p"), same)
-    return found.join(over, F.col("group_").eqNullSafe(F.col("of_"))).select(
+    nothing = F.array().cast("array<string>").alias("path")
+    subroots = levels[-1].select(F.lit(0).alias("all_"), F.col("group_").alias("of_"), "digest")
+    subroots = settle(in_order(subroots, "all_", ["of_"]))
+    upper = stored_levels(subroots, "all_", stride)
+    root = upper[-1].select("all_", "place", nothing, F.col("digest").alias("root"))
+    tops = sibling_paths(upper, root, "all_", ["of_", "digest"], stride)
+    tops = settle(tops.select(F.col("of_").alias("group_"), F.lit(0).cast("long").alias("place"), "path", F.col("digest").alias("subroot"), "root"))
+    names = [f"x_{n}" for n in extra]
+    return sibling_paths(levels, tops, "group_", ["order_", "digest", *names], stride).select(
         F.col("order_").alias(order),
         F.col("group_").alias(group),
         *[F.col(f"x_{n}").alias(n) for n in extra],
         F.col("digest").alias("leaf"),
         "subroot",
         "root",
-        F.concat("path", "over_").alias("proof"),
+        F.col("path").alias("proof"),
     )
 
 
