@@ -3,24 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratescope.functions import (
-    category_label,
-    is_finite,
-    percent,
-    ratio_or_zero,
-)
+from ratescope.functions import category_label, percent, ratio_or_zero
 from ratescope.operators.joins import union_relaxed
 from ratescope.operators.quality import calendar_coverage, time_coverage
-from ratescope.operators.statistics import (
-    DECILES,
-    QUARTILES_AND_TAIL,
-    ROWS_PER_RANGE,
-    quantile_table,
-)
+from ratescope.operators.quantiles import ACCURACY, borders_passed, exact_quantiles, long_numbers
+from ratescope.operators.statistics import DECILES, QUARTILES_AND_TAIL, ROWS_PER_RANGE
 from ratescope.operators.tokens import token_cells
 from ratescope.runtime import settle
 
@@ -40,6 +32,12 @@ def side_rows(counts: DataFrame, variables: int) -> Column:
     ).scalar()
 
 
+def both_sides(rows: Column) -> Column:
+    """Fails where one side has no rows."""
+    there = (F.coalesce(rows["development"], F.lit(0)) > 0) & (F.coalesce(rows["comparison"], F.lit(0)) > 0)
+    return F.when(there, F.lit(True)).otherwise(F.raise_error(F.lit("one side of the comparison is empty")).cast("boolean"))
+
+
 def long_values(df: DataFrame, variables: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """(keep…, variable, value) with every variable as text."""
     pairs = F.array(
@@ -86,7 +84,7 @@ def categorical_drift(
     d, c = F.col("development"), F.col("comparison")
     counts = _value_counts(df, variables, period, dev, cmp)
     rows = side_rows(counts, len(variables))
-    cells = counts.select(
+    cells = counts.where(both_sides(rows)).select(
         "variable",
         "value",
         d,
@@ -157,6 +155,12 @@ def new_categories(
 # --- numeric ---------------------------------------------------------------------------------
 
 
+def with_side(df: DataFrame, development: Sequence[int], comparison: Sequence[int], period: str) -> DataFrame:
+    """The rows of both sides, marked as ``side``."""
+    dev, cmp = _sides(period, development, comparison)
+    return df.where(dev | cmp).withColumn("side", F.when(dev, "development").otherwise("comparison"))
+
+
 def side_cells(
     df: DataFrame,
     columns: Sequence[str],
@@ -164,22 +168,9 @@ def side_cells(
     comparison: Sequence[int],
     period: str,
 ) -> DataFrame:
-    """(side, variable, value, n) of the finite values of both sides, settled."""
-    dev, cmp = _sides(period, development, comparison)
-    side = F.when(dev, "development").when(cmp, "comparison")
-    pairs = F.array(
-        *[
-            F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value"))
-            for c in columns
-        ]
-    )
-    return settle(
-        df.where(dev | cmp)
-        .select(side.alias("side"), F.inline(pairs))
-        .where(is_finite("value"))
-        .groupBy("side", "variable", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    """(side, variable, value, n) of the finite values of both sides."""
+    numbers = long_numbers(with_side(df, development, comparison, period), columns, ["side"])
+    return numbers.groupBy("side", "variable", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def apply_bins(
@@ -188,15 +179,11 @@ def apply_bins(
     """Rows per bin; bin = number of edges at or below the value, so extremes fall in end bins.
 
     ``cells`` has (by…, variable, value, n), ``edges`` one array of up to ``most_edges`` numbers per
-    variable. The comparisons are written out, which keeps them in generated code.
+    variable.
     """
-    below = [
-        F.when(F.get("edges", F.lit(i)) <= F.col("value"), 1).otherwise(0)
-        for i in range(most_edges)
-    ]
     return (
         cells.join(edges.select("variable", "edges"), "variable")
-        .withColumn("bin", sum(below, F.lit(0)))
+        .withColumn("bin", borders_passed("edges", most_edges))
         .groupBy(*by, "variable", "bin")
         .agg(F.sum("n").alias("rows"))
     )
@@ -211,17 +198,31 @@ def numeric_drift(
     period: str = "period",
     shares: Sequence[float] = DECILES,
     rows_per_range: int = ROWS_PER_RANGE,
+    accuracy: int = ACCURACY,
 ) -> DataFrame:
     """Statistics of both sides and a distance: over development deciles for continuous columns,
-    over exact values for discrete ones. Value counts and statistics are settled on the way."""
-    cells = side_cells(df, [*continuous, *discrete], development, comparison, period)
+    over exact values for discrete ones.
+
+    Quantiles come from brackets, and one more scan counts the rows per bin and per discrete value, so no
+    continuous value is shuffled but those inside a bracket, at most ``rows_per_range`` each. It is an error
+    when no variable has a value on one of the sides.
+    """
+    sided = with_side(df, development, comparison, period)
     quantiles = {f"_q{i}": p for i, p in enumerate(shares)}
     # One row per side and variable; it feeds the edges, the bins and the result.
     stats = settle(
-        quantile_table(
-            cells, ["side", "variable"], QUARTILES_AND_TAIL | quantiles, rows_per_range=rows_per_range
+        exact_quantiles(
+            sided,
+            [*continuous, *discrete],
+            ["side"],
+            QUARTILES_AND_TAIL | quantiles,
+            accuracy=accuracy,
+            most_inside=rows_per_range,
         )
     )
+    found = {r["side"] for r in stats.select("side").distinct().collect()}
+    if missing := {"development", "comparison"} - found:
+        raise ValueError(f"one side of the comparison is empty: {', '.join(sorted(missing))}")
     names = ["n", "minimum", *QUARTILES_AND_TAIL, "mean", "maximum"]
     wide = stats.groupBy("variable").agg(
         *[
@@ -234,10 +235,14 @@ def numeric_drift(
     edges = stats.where(of_development).select(
         "variable", F.array_distinct(F.array(*quantiles)).alias("edges")
     )
-    binned = apply_bins(cells, edges, ["side"], len(shares)).withColumnRenamed("rows", "n")
-    exact = cells.where(F.col("variable").isin(*discrete))
-    groups = binned.select("side", "variable", F.col("bin").cast("double").alias("value"), "n")
-    distance = _side_distance(groups.unionByName(exact))
+    parts = []
+    if continuous:
+        numbers = long_numbers(sided, continuous, ["side"]).withColumn("n", F.lit(1))
+        binned = apply_bins(numbers, edges, ["side"], len(shares))
+        parts.append(binned.select("side", "variable", F.col("bin").cast("double").alias("value"), F.col("rows").alias("n")))
+    if discrete:
+        parts.append(side_cells(df, discrete, development, comparison, period))
+    distance = _side_distance(reduce(DataFrame.unionByName, parts))
     return (
         distance.join(edges, "variable", "left")
         .join(wide, "variable")

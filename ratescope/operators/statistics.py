@@ -2,7 +2,8 @@
 
 A window without partitions moves every distinct value into one task. Here the distinct values are
 cut into ranges first, each a window of its own, and the small table of range totals supplies what
-lies before it. Quantiles go further: only the ranges that hold a wanted position are sorted.
+lies before it. Quantiles of cells go further: only the ranges that hold a wanted position are sorted.
+Quantiles of columns need no cells at all, see ``quantiles``.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratescope.functions import is_finite
+from ratescope.operators.quantiles import ACCURACY, exact_quantiles
 from ratescope.runtime import settle
 
 #: Distinct values one window may hold before the values are cut into ranges.
@@ -239,11 +241,16 @@ def numeric_summary_linear(
     columns: Sequence[str],
     by: Sequence[str] = (),
     rows_per_range: int = ROWS_PER_RANGE,
+    exact: bool = True,
+    accuracy: int = ACCURACY,
 ) -> DataFrame:
-    """Size, minimum, quantiles by linear interpolation, mean and maximum per numeric column."""
-    cells = settle(frequency_cells(df, columns, by))
-    return quantile_table(
-        cells, [*by, "variable"], QUARTILES_AND_TAIL, rows_per_range=rows_per_range
+    """Size, minimum, quantiles by linear interpolation, mean and maximum per numeric column.
+
+    ``rows_per_range`` is the number of rows that one bracket may hold; ``exact=False`` takes the quantiles from
+    one sketch.
+    """
+    return exact_quantiles(
+        df, columns, by, QUARTILES_AND_TAIL, exact=exact, accuracy=accuracy, most_inside=rows_per_range
     )
 
 
@@ -251,13 +258,14 @@ def numeric_summary_nearest(
     df: DataFrame,
     columns: Sequence[str],
     rows_per_range: int = ROWS_PER_RANGE,
+    exact: bool = True,
+    accuracy: int = ACCURACY,
 ) -> DataFrame:
     """As above with quantiles taken from the data (the median stays interpolated), and the rows
     above the 99th percentile."""
     picked = [name for name in QUARTILES_AND_TAIL if name != "median"]
-    cells = settle(frequency_cells(df, columns))
-    return quantile_table(
-        cells, ["variable"], QUARTILES_AND_TAIL, picked, "p99", rows_per_range
+    return exact_quantiles(
+        df, columns, (), QUARTILES_AND_TAIL, picked, "p99", exact, accuracy, rows_per_range
     ).drop("n")
 
 
@@ -266,9 +274,12 @@ def quantile_edges(
     columns: Sequence[str],
     shares: Sequence[float] = DECILES,
     rows_per_range: int = ROWS_PER_RANGE,
+    exact: bool = True,
+    accuracy: int = ACCURACY,
 ) -> DataFrame:
     """Distinct inner bin borders per column as a sorted array; the outer bins are open."""
     names = {f"_q{i}": p for i, p in enumerate(shares)}
-    cells = settle(frequency_cells(df, columns))
-    table = quantile_table(cells, ["variable"], names, rows_per_range=rows_per_range)
+    table = exact_quantiles(
+        df, columns, (), names, exact=exact, accuracy=accuracy, most_inside=rows_per_range
+    )
     return table.select("variable", F.array_distinct(F.array(*names)).alias("edges"))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ratescope.operators import drift, runs, scores, statistics
+from ratescope.operators import drift, quantiles, runs, scores, statistics
 from ratescope.runtime import settle
 
 HOT = 60  # distinct values per range in these tests, so that several ranges are used
@@ -285,3 +285,84 @@ def test_bad_scores_and_flags_fail_at_any_size(spark, score, flag, per_range):
     ):
         with pytest.raises(Exception, match="score is not in 0-1"):
             made().collect()
+
+
+# --- quantiles by brackets -------------------------------------------------------------------
+
+SHARES = {"lowest": 0.0, "p1": 0.01, "median": 0.5, "p90": 0.9, "highest": 1.0}
+
+
+def values_of(kind, n, seed=5):
+    rng = np.random.default_rng(seed)
+    return {
+        "continuous": rng.normal(size=n),
+        "hot value": np.where(rng.random(n) < 0.5, 0.0, rng.normal(size=n)),
+        "few values": rng.integers(0, 4, n).astype(float),
+        "far apart": np.sign(rng.normal(size=n)) * 10.0 ** rng.integers(-300, 300, n),
+        "two steps": np.repeat([1.0, 2.0], [n // 2, n - n // 2]),
+    }[kind]
+
+
+@pytest.mark.parametrize(
+    "kind,accuracy,most_inside,grid",
+    [("far apart", 10_000, 200_000, 256), ("continuous", 20, 5, 8), ("hot value", 20, 5, 8), ("few values", 50, 40, 4), ("two steps", 20, 5, 8)],
+)
+def test_bracketed_quantiles_equal_numpy(spark, kind, accuracy, most_inside, grid):
+    values = values_of(kind, 1501)
+    rows = [("a" if i % 3 else None, float(v), None if i % 2 else float(v)) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "g string, x double, half double").repartition(4)
+    for by in ([], ["g"]):
+        found = quantiles.exact_quantiles(df, ["x", "half"], by, SHARES, ["p90"], "p90", accuracy=accuracy, most_inside=most_inside, grid=grid)
+        got = found.collect()
+        assert len(got) == 2 * (2 if by else 1)
+        for r in got:
+            at = 1 if r["variable"] == "x" else 2
+            mine = np.sort([row[at] for row in rows if row[at] is not None and (not by or row[0] == r["g"])])
+            for name, share in SHARES.items():
+                want = mine[math.floor((len(mine) - 1) * share + 0.5)] if name == "p90" else np.percentile(mine, share * 100)
+                assert r[name] == pytest.approx(want, rel=1e-12)
+            assert (r["n"], r["minimum"], r["maximum"]) == (len(mine), mine[0], mine[-1])
+            assert r["rows_above_p90"] == (mine > r["p90"]).sum()
+
+
+def test_a_sketch_that_misses_is_mended(spark, monkeypatch):
+    values = np.random.default_rng(3).normal(size=700)
+    df = spark.createDataFrame([(float(v),) for v in values], "x double")
+
+    def wrong(*_):
+        return spark.createDataFrame([("x", 700, [9.0] * 5, [10.0] * 5, 1)], "variable string, rows long, lows array<double>, highs array<double>, inside long")
+
+    monkeypatch.setattr(quantiles, "_first_brackets", wrong)
+    r = quantiles.exact_quantiles(df, ["x"], shares=SHARES).first()
+    assert r["median"] == pytest.approx(np.median(values)) and r["p90"] == pytest.approx(np.percentile(values, 90))
+
+
+def test_no_value_outside_the_brackets_is_kept(spark):
+    n = 40_000
+    df = spark.range(n).select((F.col("id") * 1.0).alias("x"))
+    positions = quantiles.Positions({"median": 0.5, "p99": 0.99}, [])
+    brackets = quantiles._first_brackets(df, ["x"], [], positions, 1000)
+    cells = quantiles._cells(df, ["x"], [], brackets, 2)
+    single = cells.where("least = most").count()
+    assert 4 <= single <= 4 * n * 4 / 1000 and cells.agg(F.sum("n")).first()[0] == n
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "partial_min" in plan
+
+
+def test_inexact_quantiles_are_within_the_sketch_error(spark):
+    df = spark.range(50_000).select((F.col("id") * 1.0).alias("x"))
+    r = statistics.numeric_summary_linear(df, ["x"], exact=False, accuracy=100).first()
+    assert (r["n"], r["minimum"], r["maximum"]) == (50_000, 0.0, 49_999.0)
+    for name, share in statistics.QUARTILES_AND_TAIL.items():
+        assert abs(r[name] - share * 50_000) <= 501
+    nothing = statistics.numeric_summary_linear(df.where("x < 0"), ["x"])
+    assert nothing.count() == 0
+
+
+@pytest.mark.parametrize("sides", [([2021], [2030]), ([2030], [2025])])
+def test_an_empty_side_is_an_error(spark, sides):
+    df = spark.createDataFrame([(2021, 1.0, "a"), (2025, 2.0, "b")], "period int, x double, kind string")
+    with pytest.raises(ValueError, match="one side of the comparison is empty"):
+        drift.numeric_drift(df, ["x"], [], *sides)
+    with pytest.raises(Exception, match="one side of the comparison is empty"):
+        drift.categorical_drift(df, ["kind"], *sides).collect()
