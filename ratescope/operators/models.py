@@ -6,12 +6,13 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratescope.functions import at_least
+from ratescope.operators import boosting
 from ratescope.operators.features import Recipe, recipe_stages
 from ratescope.operators.splits import Fold
 
@@ -99,21 +100,16 @@ def fit_boosted(
     seed: int = 42,
     estimator=None,
 ) -> PipelineModel:
-    """Gradient boosted trees; ``estimator`` replaces Spark's own by another Spark ML estimator."""
+    """Gradient boosted trees with second-order leaf weights (see ``boosting``).
+
+    ``estimator`` replaces them by a Spark ML estimator, such as ``GBTClassifier``.
+    """
     if estimator is None:
-        estimator = GBTClassifier(
-            maxIter=rounds,
-            stepSize=rate,
-            maxDepth=depth,
-            subsamplingRate=rows_share,
-            featureSubsetStrategy=str(columns_share),
-            maxBins=256,
-            maxMemoryInMB=1024,
-            seed=seed,
-        )
-    return _fit(
-        train, recipe, flag, estimator.copy().setFeaturesCol(recipe.output).setLabelCol(LABEL)
-    )
+        settings = boosting.Settings(rounds, rate, depth, rows_share, columns_share, seed=seed)
+        estimator = boosting.SecondOrder(recipe.output, LABEL, settings)
+    else:
+        estimator = estimator.copy().setFeaturesCol(recipe.output).setLabelCol(LABEL)
+    return _fit(train, recipe, flag, estimator)
 
 
 def forest_statistics(model: PipelineModel) -> dict[str, float]:
