@@ -1,8 +1,8 @@
 """Additive feature contributions of boosted trees and their rankings.
 
 The contribution of a feature is its path-dependent Shapley value on the margin scale. Rows are
-independent, so batches are handled in ``mapInPandas``; only the model's paths, bounded by the
-model's size, travel to the tasks. Rankings are plain aggregations over the long form.
+independent, so batches are handled in ``mapInPandas``; only the paths of a bounded group of trees travel
+to the tasks at a time. Rankings add the rows' contributions up as vectors.
 """
 
 from __future__ import annotations
@@ -11,23 +11,22 @@ import sys
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from math import factorial
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ratescope.functions import outcome_label, stable_logistic
 from ratescope.operators.ranking import numbered
-from ratescope.runtime import scratch_path
+from ratescope.runtime import scratch_path, settle
 
-MAXIMUM_NODES = 5_000_000
-#: Up to this many distinct features a path's values are tabulated for every pass/fail pattern.
-TABULATED_FEATURES = 10
+#: Nodes of the trees that are sent to the tasks together; a larger model takes several passes over the rows.
+GROUP_NODES = 200_000
 
 
 @dataclass(frozen=True)
@@ -59,24 +58,32 @@ def tree_nodes(spark: SparkSession, model: PipelineModel) -> DataFrame:
     )
 
 
-def tree_paths(spark: SparkSession, model: PipelineModel) -> list[Path]:
-    """All root-to-leaf paths. The margin of boosted trees is twice their weighted sum."""
-    nodes = tree_nodes(spark, model)
-    if nodes.count() > MAXIMUM_NODES:
-        raise ValueError("model too large to send to every task")
+def tree_groups(nodes: DataFrame, most: int) -> list[tuple[int, int]]:
+    """Ranges of trees (first, last) with at most ``most`` nodes each; a larger tree is a group of its own."""
+    groups, held = [], 0
+    for row in nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).orderBy("tree").collect():
+        if groups and held + row["n"] <= most:
+            groups[-1], held = (groups[-1][0], row["tree"]), held + row["n"]
+        else:
+            groups.append((row["tree"], row["tree"]))
+            held = row["n"]
+    return groups
+
+
+def tree_paths(nodes: DataFrame, weights: Sequence[float], first: int, last: int) -> list[Path]:
+    """All root-to-leaf paths of some trees. The margin of boosted trees is twice their weighted sum."""
     trees = defaultdict(dict)
-    for row in nodes.collect():
+    for row in nodes.where(F.col("tree").between(first, last)).collect():
         trees[row["tree"]][row["id"]] = row
     paths = []
-    for tree, weight in enumerate(model.stages[-1].treeWeights):
-        table = trees[tree]
+    for tree, table in sorted(trees.items()):
         open_nodes = [(table[0], {})]
         while open_nodes:
             node, steps = open_nodes.pop()
             if node["left"] < 0:
                 paths.append(
                     Path(
-                        2.0 * weight * node["prediction"],
+                        2.0 * weights[tree] * node["prediction"],
                         tuple(steps),
                         tuple(tuple(tests) for tests, _ in steps.values()),
                         tuple(share for _, share in steps.values()),
@@ -87,7 +94,7 @@ def tree_paths(spark: SparkSession, model: PipelineModel) -> list[Path]:
                 child = table[node[side]]
                 tests, share = steps.get(node["feature"], ((), 1.0))
                 test = (goes_left, node["categories"], tuple(node["split_values"]))
-                passed = share * child["rows"] / node["rows"]
+                passed = share * (child["rows"] / node["rows"] if node["rows"] else 0.5)
                 open_nodes.append((child, {**steps, node["feature"]: ((*tests, test), passed)}))
     return paths
 
@@ -95,23 +102,22 @@ def tree_paths(spark: SparkSession, model: PipelineModel) -> list[Path]:
 def path_values(path: Path, passes: np.ndarray) -> np.ndarray:
     """Shapley values of one path for each pass/fail pattern (patterns × features).
 
-    A subset S of the other features weighs |S|!·(d−|S|−1)!/d!; a feature in S contributes its
-    outcome (0 or 1), one outside S its share. Subsets are summed by size through the coefficients
-    of the product of (share + outcome·x).
+    A subset S of the d − 1 other features weighs |S|!·(d−|S|−1)!/d!, which is the integral of t^|S|·(1−t)^(d−1−|S|)
+    from 0 to 1. A feature in S contributes its outcome (0 or 1), one outside S its share, so the weighted sum over all subsets
+    is the integral of the product of (share·(1−t) + outcome·t). That polynomial has degree d − 1, and the Gauss-Legendre rule with
+    d/2 points integrates it without error. Products without one feature come from running products from both ends.
+    All terms are positive: d² steps, no division, and no loss of digits on long paths.
     """
-    d = len(path.features)
-    weights = np.array([factorial(k) * factorial(d - k - 1) / factorial(d) for k in range(d)])
-    out = np.empty((len(passes), d))
-    for i in range(d):
-        sizes = np.zeros((len(passes), d))
-        sizes[:, 0] = 1.0
-        for j in range(d):
-            if j != i:
-                shifted = np.zeros_like(sizes)
-                shifted[:, 1:] = sizes[:, :-1] * passes[:, [j]]
-                sizes = sizes * path.shares[j] + shifted
-        out[:, i] = path.value * (sizes @ weights) * (passes[:, i] - path.shares[i])
-    return out
+    d, shares = len(path.features), np.array(path.shares)
+    points, weights = np.polynomial.legendre.leggauss((d + 1) // 2)
+    sums = np.zeros((len(passes), d))
+    for t, weight in zip((points + 1) / 2, weights / 2, strict=True):
+        factors = shares * (1 - t) + passes * t
+        before, after = np.ones_like(factors), np.ones_like(factors)
+        before[:, 1:] = np.cumprod(factors[:, :-1], axis=1)
+        after[:, :-1] = np.cumprod(factors[:, :0:-1], axis=1)[:, ::-1]
+        sums += weight * before * after
+    return path.value * sums * (passes - shares)
 
 
 def _passes(test: tuple, x: np.ndarray) -> np.ndarray:
@@ -120,61 +126,59 @@ def _passes(test: tuple, x: np.ndarray) -> np.ndarray:
     return left if goes_left else ~left
 
 
-def _all_patterns(d: int) -> np.ndarray:
-    return (np.arange(2**d)[:, None] >> np.arange(d)) & 1
-
-
-def batch_contributions(
-    paths: Sequence[Path], tables: Sequence[np.ndarray | None], x: np.ndarray
-) -> np.ndarray:
-    """Contributions of a batch (rows × features)."""
+def batch_contributions(paths: Sequence[Path], x: np.ndarray) -> np.ndarray:
+    """Contributions of a batch (rows × features); each pattern of passed tests that occurs is worked out once."""
     out = np.zeros(x.shape)
-    for path, table in zip(paths, tables, strict=True):
-        code = np.zeros(len(x), dtype=np.int64)
-        for bit, (feature, tests) in enumerate(zip(path.features, path.tests, strict=True)):
-            ok = np.logical_and.reduce([_passes(t, x[:, feature]) for t in tests])
-            code |= ok.astype(np.int64) << bit
-        if table is None:
-            seen, code = np.unique(code, return_inverse=True)
-            table = path_values(path, (seen[:, None] >> np.arange(len(path.features))) & 1)
-        out[:, list(path.features)] += table[code]
+    for path in paths:
+        passes = np.stack(
+            [np.logical_and.reduce([_passes(t, x[:, f]) for t in tests]) for f, tests in zip(path.features, path.tests, strict=True)],
+            axis=1,
+        )
+        packed = np.ascontiguousarray(np.packbits(passes, axis=1))
+        _, first, code = np.unique(packed.view(f"V{packed.shape[1]}").ravel(), return_index=True, return_inverse=True)
+        out[:, list(path.features)] += path_values(path, passes[first].astype(float))[code]
     return out
 
 
 def tree_contributions(
-    model: PipelineModel, df: DataFrame, keep: Sequence[str], features: str = "features"
+    model: PipelineModel,
+    df: DataFrame,
+    keep: Sequence[str],
+    features: str = "features",
+    group_nodes: int = GROUP_NODES,
 ) -> DataFrame:
     """Kept columns, ``contributions`` (one number per feature), ``bias`` and the model's ``score``.
 
-    bias + Σ contributions is the margin; ``contribution_errors`` checks it against the score.
+    bias + Σ contributions is the margin; ``contribution_errors`` checks it against the score. Trees are taken in
+    groups of about ``group_nodes`` nodes; between groups the sums so far are written, so neither the driver nor a
+    task holds more of a model than one group.
     """
-    paths = tree_paths(df.sparkSession, model)
-    bias = float(sum(p.value * np.prod(p.shares) for p in paths))
-    paths = [p for p in paths if p.features]
-
-    scored = model.transform(df).select(
+    spark = df.sparkSession
+    nodes, weights = tree_nodes(spark, model), model.stages[-1].treeWeights
+    explained = model.transform(df).select(
         *keep,
-        vector_to_array(F.col(features)).alias("_x"),
         vector_to_array("probability")[1].alias("score"),
+        vector_to_array(F.col(features)).alias("_x"),
+        F.transform(vector_to_array(F.col(features)), lambda _: F.lit(0.0)).alias("contributions"),
     )
-
-    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = [
-            path_values(p, _all_patterns(len(p.features)))
-            if len(p.features) <= TABULATED_FEATURES
-            else None
-            for p in paths
-        ]
+    schema, bias = explained.schema, 0.0
+    groups = tree_groups(nodes, group_nodes)
+    for number, (first, last) in enumerate(groups):
+        paths = tree_paths(nodes, weights, first, last)
+        bias += float(sum(p.value * np.prod(p.shares) for p in paths))
+        explained = explained.mapInPandas(_adding([p for p in paths if p.features]), schema)
+        explained = settle(explained) if number < len(groups) - 1 else explained
+    return explained.select(*keep, "score", "contributions", F.lit(bias).alias("bias"))
+
+
+def _adding(paths: Sequence[Path]):
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                x = np.stack(batch.pop("_x").to_numpy())
-                yield batch.assign(contributions=list(batch_contributions(paths, tables, x)))
+                x, sums = np.stack(batch["_x"].to_numpy()), np.stack(batch["contributions"].to_numpy())
+                yield batch.assign(contributions=list(sums + batch_contributions(paths, x)))
 
-    kept = [f for f in scored.schema.fields if f.name != "_x"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return scored.mapInPandas(explain, f"{schema}, contributions array<double>").withColumn(
-        "bias", F.lit(bias)
-    )
+    return add
 
 
 def contribution_errors(explained: DataFrame) -> DataFrame:
@@ -195,26 +199,41 @@ def long_contributions(explained: DataFrame, keep: Sequence[str]) -> DataFrame:
     )
 
 
-def feature_ranking(long: DataFrame, features: DataFrame) -> DataFrame:
-    """Mean absolute and mean signed contribution per transformed feature, ranked."""
-    means = long.groupBy("index").agg(
-        F.avg(F.abs("contribution")).alias("mean_abs"), F.avg("contribution").alias("mean_signed")
+def contribution_means(explained: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by…, index, n, a, s): rows, mean absolute and mean signed contribution per feature.
+
+    Explained rows are added up as vectors, one per task and group, and only their sums become one row per feature. Rows in
+    long form (``long_contributions``) are grouped instead.
+    """
+    if "contributions" not in explained.columns:
+        return explained.groupBy(*by, "index").agg(
+            F.count(F.lit(1)).alias("n"), F.avg(F.abs("contribution")).alias("a"), F.avg("contribution").alias("s")
+        )
+    summed = Summarizer.metrics("count", "mean", "normL1").summary(array_to_vector("contributions")).alias("_s")
+    # grouping by a constant gives no row, and no sum of nothing, where there are no rows
+    sums = explained.groupBy(*(by or [F.lit(0).alias("_all")])).agg(summed)
+    both = F.arrays_zip(vector_to_array("_s.mean").alias("mean"), vector_to_array("_s.normL1").alias("total"))
+    return sums.select(*by, F.col("_s.count").alias("n"), F.posexplode(both).alias("index", "_m")).select(
+        *by, "index", "n", (F.col("_m.total") / F.col("n")).alias("a"), F.col("_m.mean").alias("s")
     )
+
+
+def feature_ranking(explained: DataFrame, features: DataFrame) -> DataFrame:
+    """Mean absolute and mean signed contribution per transformed feature, ranked."""
+    means = contribution_means(explained).select("index", F.col("a").alias("mean_abs"), F.col("s").alias("mean_signed"))
     return numbered(means.join(features, "index"), "mean_abs", "feature").select(
         "rank", "feature", "predictor", "predictor_group", "level", "mean_abs", "mean_signed"
     )
 
 
-def contribution_ranking(long: DataFrame, features: DataFrame) -> DataFrame:
+def contribution_ranking(explained: DataFrame, features: DataFrame) -> DataFrame:
     """Per predictor: the sums over its features of the two means, share of the total, rank.
 
     A mean of sums is the sum of means, so rows never have to be put together again.
     """
-    means = long.groupBy("index").agg(
-        F.avg(F.abs("contribution")).alias("a"), F.avg("contribution").alias("s")
-    )
     per_predictor = (
-        means.join(features, "index")
+        contribution_means(explained)
+        .join(features, "index")
         .groupBy("predictor", "predictor_group")
         .agg(
             F.count(F.lit(1)).alias("features"),
@@ -230,18 +249,10 @@ def contribution_ranking(long: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def contribution_by_outcome(
-    long: DataFrame, features: DataFrame, flag: str = "flag", decision: str = "decision"
+    explained: DataFrame, features: DataFrame, flag: str = "flag", decision: str = "decision"
 ) -> DataFrame:
     """The same means per predictor within TP, FP, FN and TN."""
-    means = (
-        long.withColumn("outcome", outcome_label(flag, decision))
-        .groupBy("outcome", "index")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.avg(F.abs("contribution")).alias("a"),
-            F.avg("contribution").alias("s"),
-        )
-    )
+    means = contribution_means(explained.withColumn("outcome", outcome_label(flag, decision)), ["outcome"])
     return (
         means.join(features, "index")
         .groupBy("predictor", "outcome")

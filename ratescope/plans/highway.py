@@ -647,14 +647,13 @@ def evaluate_final(
         decided = settle(explain.tree_contributions(model, rows, ["id", FLAG])).withColumn(
             "decision", fx.at_least("score", threshold)
         )
-        long = explain.long_contributions(decided, [FLAG, "decision"])
-        ranking_table = explain.contribution_ranking(long, named)
+        ranking_table = explain.contribution_ranking(decided, named)
         out |= {
             "contribution_errors": explain.contribution_errors(decided),
-            "features": explain.feature_ranking(long, named),
+            "features": explain.feature_ranking(decided, named),
             "predictors": ranking_table,
             "top_predictors": explain.top_features(ranking_table),
-            "by_outcome": explain.contribution_by_outcome(long, named, FLAG),
+            "by_outcome": explain.contribution_by_outcome(decided, named, FLAG),
         }
     return out
 

@@ -166,5 +166,5 @@ def model_top_predictor(spark, folder):
     """The flag depends on quantity, so quantity must lead the contributions."""
     model, table = explained(spark, folder)
     names = features.feature_map(model.transform(rows(spark, folder)), RECIPE)
-    ranking = explain.contribution_ranking(explain.long_contributions(table, []), names)
+    ranking = explain.contribution_ranking(table, names)
     return explain.top_features(ranking, 1).select("predictor", "rank")

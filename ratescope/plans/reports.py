@@ -97,8 +97,8 @@ SELECT CAST(row_number() OVER (ORDER BY mean_abs DESC, feature) AS INTEGER) AS r
   predictor_group, level, mean_abs, mean_signed FROM a JOIN fm USING (index)""",
 )
 def feature_ranking(spark, folder):
-    long = explain.long_contributions(_explained(spark, folder), [])
-    return _round(explain.feature_ranking(long, _feature_map(spark)))
+    explained = _explained(spark, folder)
+    return _round(explain.feature_ranking(explained, _feature_map(spark)))
 
 
 PER_PREDICTOR = """a AS (SELECT index, avg(abs(c)) AS a, avg(c) AS s FROM long GROUP BY 1),
@@ -109,8 +109,8 @@ ranked AS (SELECT CAST(row_number() OVER (ORDER BY x DESC, predictor) AS INTEGER
 
 @query("contribution_ranking", f"WITH {LONG}, {PER_PREDICTOR} SELECT * FROM ranked")
 def contribution_ranking(spark, folder):
-    long = explain.long_contributions(_explained(spark, folder), [])
-    out = explain.contribution_ranking(long, _feature_map(spark))
+    explained = _explained(spark, folder)
+    out = explain.contribution_ranking(explained, _feature_map(spark))
     return _round(out).withColumn("share", F.round("share", 9))
 
 
@@ -127,5 +127,5 @@ SELECT predictor, outcome, max(n) AS rows, round(sum(a), 9) AS mean_abs, round(s
 FROM a JOIN fm USING (index) GROUP BY ALL""",
 )
 def contribution_by_outcome(spark, folder):
-    long = explain.long_contributions(_explained(spark, folder), ["flag", "decision"])
-    return _round(explain.contribution_by_outcome(long, _feature_map(spark)))
+    explained = _explained(spark, folder)
+    return _round(explain.contribution_by_outcome(explained, _feature_map(spark)))

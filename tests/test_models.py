@@ -156,12 +156,11 @@ def expected_value(table, node, x, known):
     )
 
 
-@pytest.mark.parametrize("tabulated", [10, 0])
-def test_contributions_are_shapley_values(spark, df, monkeypatch, tabulated):
-    monkeypatch.setattr(explain, "TABULATED_FEATURES", tabulated)
+@pytest.mark.parametrize("group_nodes", [10**6, 1])
+def test_contributions_are_shapley_values(spark, df, group_nodes):
     model = FITS["boosted"](df.where("period < 2023"), RECIPE, "flag")
     sample = df.where("period = 2023").limit(6)
-    table = explain.tree_contributions(model, sample, ["id"])
+    table = explain.tree_contributions(model, sample, ["id"], group_nodes=group_nodes)
     assert explain.contribution_errors(table).first()["maximum_error"] < 1e-9
     trees = {}
     for r in explain.tree_nodes(spark, model).collect():
@@ -186,6 +185,51 @@ def test_contributions_are_shapley_values(spark, df, monkeypatch, tabulated):
             assert r["contributions"][i] == pytest.approx(value, abs=1e-9)
 
 
+@pytest.mark.parametrize("d", [1, 2, 7, 20, 80])
+def test_long_paths_equal_all_subsets(d):
+    """One path against every subset of its features (to 20), and against the sum that all values must have."""
+    rng = np.random.default_rng(d)
+    shares = rng.random(d).round(2)
+    shares[rng.random(d) < 0.2] = 1.0
+    if d == 7:
+        shares[3] = 0.0
+    path = explain.Path(1.7, tuple(range(d)), ((),) * d, tuple(shares))
+    passes = (rng.random((4, d)) < 0.6).astype(float)
+    passes[0] = 1.0
+    got = explain.path_values(path, passes)
+    total = 1.7 * (passes.prod(axis=1) - shares.prod())
+    assert got.sum(axis=1) == pytest.approx(total, abs=1e-9)
+    if d > 20:
+        return
+    for row, outcome in zip(got, passes, strict=True):
+        for i in range(d):
+            products, sizes = np.ones(1), np.zeros(1, dtype=int)
+            for j in range(d):
+                if j != i:
+                    products = np.concatenate([products * shares[j], products * outcome[j]])
+                    sizes = np.concatenate([sizes, sizes + 1])
+            weights = np.array([1 / (d * math.comb(d - 1, k)) for k in range(d)])
+            want = 1.7 * (outcome[i] - shares[i]) * (weights[sizes] * products).sum()
+            assert row[i] == pytest.approx(want, abs=1e-9)
+
+
+def test_trees_are_grouped_by_nodes(spark):
+    nodes = spark.createDataFrame([(t, k) for t, n in enumerate((3, 4, 9, 1, 1)) for k in range(n)], "tree int, id int")
+    assert explain.tree_groups(nodes, 7) == [(0, 1), (2, 2), (3, 4)]
+    assert explain.tree_groups(nodes, 100) == [(0, 4)]
+
+
+def test_vectors_and_long_rows_have_the_same_means(spark, rows):
+    explained = spark.createDataFrame([([0.5, -0.1], 1), ([-0.3, 0.3], 1), ([0.0, 2.0], 2)], "contributions array<double>, g int")
+    a = explain.contribution_means(explained, ["g"]).collect()
+    b = explain.contribution_means(explain.long_contributions(explained, ["g"]), ["g"]).collect()
+    both = [sorted((r["g"], r["index"], r["n"], round(r["a"], 12), round(r["s"], 12)) for r in x) for x in (a, b)]
+    assert both[0] == both[1] and len(both[0]) == 4
+    plan = explain.contribution_means(explained, ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("aggregate_metrics")
+    assert explain.contribution_means(explained.where("g > 5")).count() == 0
+
+
 def test_rankings_add_up(spark):
     explained = spark.createDataFrame(
         [([0.5, -0.1, 0.2], True, True), ([-0.3, 0.3, 0.0], False, True)],
@@ -195,12 +239,11 @@ def test_rankings_add_up(spark):
         [(0, "a=1", "a", "categorical", "1"), (1, "a=2", "a", "categorical", "2"), (2, "b", "b", "binary", "")],
         "index int, feature string, predictor string, predictor_group string, level string",
     )
-    long = explain.long_contributions(explained, ["flag", "decision"])
-    first, second = explain.contribution_ranking(long, names).orderBy("rank").collect()
+    first, second = explain.contribution_ranking(explained, names).orderBy("rank").collect()
     assert (first["predictor"], first["features"], second["predictor"]) == ("a", 2, "b")
     assert first["mean_abs"] == pytest.approx(0.6) and first["mean_signed"] == pytest.approx(0.2)
     assert first["share"] + second["share"] == pytest.approx(1.0)
-    by = {(r["predictor"], r["outcome"]): r for r in explain.contribution_by_outcome(long, names).collect()}
+    by = {(r["predictor"], r["outcome"]): r for r in explain.contribution_by_outcome(explained, names).collect()}
     assert by["a", "TP"]["mean_abs"] == pytest.approx(0.6) and by["b", "FP"]["rows"] == 1
 
 
