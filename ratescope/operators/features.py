@@ -231,14 +231,28 @@ def check_matrix(df: DataFrame, recipe: Recipe) -> DataFrame:
 # --- categories unseen in training -----------------------------------------------------------
 
 
+def combination_counts(df: DataFrame, features: Sequence[str], period: str = "period") -> DataFrame:
+    """(period, features…, n): rows per combination of values, settled.
+
+    Everything that folds ask about categories follows from it, so the table itself is read once for all of them.
+    """
+    return settle(df.groupBy(period, *features).agg(F.count(F.lit(1)).alias("n")))
+
+
 def fold_cells(
-    df: DataFrame, features: Sequence[str], folds: Sequence[Fold], period: str = "period"
+    df: DataFrame,
+    features: Sequence[str],
+    folds: Sequence[Fold],
+    period: str = "period",
+    weight: str | None = None,
 ) -> DataFrame:
-    """(fold, feature, value, train, validation) from one grouping of the table."""
+    """(fold, feature, value, train, validation) from one grouping of the table, or of its combinations,
+    whose ``weight`` column says how many rows they stand for."""
+    rows = F.sum(weight) if weight else F.count(F.lit(1))
     counts = (
-        long_values(df, features, [period])
+        long_values(df, features, [period, *([weight] if weight else [])])
         .groupBy("variable", category_label("value").alias("value"), period)
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(rows.alias("n"))
     )
 
     def side(name):
@@ -280,24 +294,32 @@ def rows_with_any_unknown(
     features: Sequence[str],
     folds: Sequence[Fold],
     period: str = "period",
+    weight: str | None = None,
 ) -> DataFrame:
     """Per fold: validation rows with at least one unseen category, each row counted once.
 
-    A left join per feature marks the rows. Spark broadcasts the list of unseen categories when its
-    measured size allows it, and otherwise splits hot values itself (adaptive skew join).
+    The different combinations of values are looked up, not the rows: each as one entry per feature, in one join with
+    the list of unseen categories. ``df`` may be the combinations already, with their ``weight``.
     """
-    unseen = unknown_values(cells)
+    unseen = unknown_values(cells).select("fold", "feature", F.col("value").alias("label"))
+    combinations = df if weight else df.groupBy(period, *features).agg(F.count(F.lit(1)).alias("n"))
     validated = fold_periods(df.sparkSession, folds, period).where("side = 'validation'")
-    marked = df.join(validated.select("fold", period), period).select("fold", *features)
-    hit = F.lit(False)
-    for i, name in enumerate(features):
-        values = unseen.where(F.col("feature") == name).select(
-            F.col("fold").alias(f"_f{i}"), F.col("value").alias(f"_v{i}")
-        )
-        same = (F.col("fold") == F.col(f"_f{i}")) & (category_label(name) == F.col(f"_v{i}"))
-        marked = marked.join(values, same, "left")
-        hit = hit | F.col(f"_v{i}").isNotNull()
-    return marked.groupBy("fold").agg(F.count_if(hit).alias("rows_with_any_unknown"))
+    marked = combinations.join(validated.select("fold", period), period)
+    pairs = [F.struct(F.lit(c).alias("feature"), category_label(c).alias("label")) for c in features]
+    hits = (
+        marked.select("fold", F.struct(*features).alias("_combination"), F.col(weight or "n").alias("n"), F.inline(F.array(*pairs)))
+        .join(unseen, ["fold", "feature", "label"], "left_semi")
+        .select("fold", "_combination", "n")
+        .distinct()
+        .groupBy("fold")
+        .agg(F.sum("n").alias("_hit"))
+    )
+    return (
+        marked.select("fold")
+        .distinct()
+        .join(hits, "fold", "left")
+        .select("fold", F.coalesce("_hit", F.lit(0)).cast("long").alias("rows_with_any_unknown"))
+    )
 
 
 def fold_preprocessing_summary(
@@ -305,9 +327,10 @@ def fold_preprocessing_summary(
 ) -> DataFrame:
     """One row per fold: sizes, output width by group, and unseen-category counts.
 
-    The fold cells are settled, because every feature's join reads them.
+    All of it follows from the counts of the value combinations, so the table is read once.
     """
-    cells = settle(fold_cells(df, recipe.categorical, folds, period))
+    counts = combination_counts(df, recipe.categorical, period)
+    cells = settle(fold_cells(counts, recipe.categorical, folds, period, "n"))
     per_fold = unknown_audit(cells).groupBy("fold").agg(
         F.sum("train_categories").alias("categorical_outputs"),
         F.sum("rows_with_unknown").alias("unknown_occurrences"),
@@ -317,15 +340,15 @@ def fold_preprocessing_summary(
         return F.sum(F.when(F.col("side") == name, F.col("n"))).alias(f"{name}_rows")
 
     sizes = (
-        df.groupBy(period)
-        .agg(F.count(F.lit(1)).alias("n"))
+        counts.groupBy(period)
+        .agg(F.sum("n").alias("n"))
         .join(fold_periods(df.sparkSession, folds, period), period)
         .groupBy("fold")
         .agg(rows("train"), rows("validation"))
     )
     return (
         sizes.join(per_fold, "fold")
-        .join(rows_with_any_unknown(df, cells, recipe.categorical, folds, period), "fold")
+        .join(rows_with_any_unknown(counts, cells, recipe.categorical, folds, period, "n"), "fold")
         .select(
             "fold",
             "train_rows",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -32,6 +32,31 @@ def unique_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return _counted(df, keys, "_n").where(single).drop("_n")
 
 
+def lookup(
+    df: DataFrame, key: str, mapping: Mapping | DataFrame, name: str, what: str = "value", default=None
+) -> DataFrame:
+    """``df`` with the mapped value of ``key`` as column ``name``; for mappings of any length.
+
+    A key outside the mapping gets ``default``, or, without one, fails the query, whichever columns are read. A NULL key
+    stays NULL. ``mapping`` is a dictionary, or a table of (key, value) with unique keys; a repeated key is an
+    error. The mapping is a table that is joined, so a plan does not grow with it and Spark sends it to
+    every task only if it is small. An empty dictionary needs a table to have types.
+    """
+    if isinstance(mapping, Mapping):
+        mapping = df.sparkSession.createDataFrame(list(mapping.items()), ["_key", "_value"])
+    table = mapping.toDF("_key", "_value").groupBy("_key").agg(F.first("_value").alias("_value"), F.count(F.lit(1)).alias("_n"))
+    table = table.where(demand(F.col("_n") == 1, "key is not unique")).select("_key", "_value", F.lit(True).alias("_found"))
+    joined = df.join(table, F.col(key) == F.col("_key"), "left")
+    value = F.col("_value")
+    if default is None:
+        message = F.concat(F.lit(f"unmapped {what}: "), F.col(key).cast("string"))
+        joined = joined.where(demand(F.col("_found").isNotNull() | F.col(key).isNull(), message))
+    else:
+        value = F.when(F.col("_found").isNull(), F.lit(default)).otherwise(value)
+    kept = [c for c in df.columns if c != name]
+    return joined.select(*kept, value.alias(name))
+
+
 def checked_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", cardinality: str = "m:1"
 ) -> DataFrame:

@@ -13,7 +13,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratescope.functions import all_present, is_flagged, order_rank, percent
+from ratescope.functions import MAX_LITERAL_MAP, all_present, is_flagged, order_rank, percent
+from ratescope.operators.joins import lookup
+
 
 def cell_total() -> Column:
     return F.col("flagged") + F.col("unflagged")
@@ -90,8 +92,11 @@ def period_totals(cells: DataFrame, period: str = "period") -> DataFrame:
 def sort_by_order(
     df: DataFrame, category: str, order: Sequence, first: Sequence[str] = ()
 ) -> DataFrame:
-    """Rows in a fixed category order, optionally below leading sort columns."""
-    return df.orderBy(*first, order_rank(order, category, category))
+    """Rows in a fixed category order of any length, optionally below leading sort columns."""
+    if len(order) <= MAX_LITERAL_MAP:
+        return df.orderBy(*first, order_rank(order, category, category))
+    place = {value: number for number, value in enumerate(order)}
+    return lookup(df, category, place, "_place", category).orderBy(*first, "_place").drop("_place")
 
 
 # --- many dimensions at once -----------------------------------------------------------------

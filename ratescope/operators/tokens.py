@@ -44,18 +44,23 @@ def token_cells(
 ) -> DataFrame:
     """(keys…, token, flagged, unflagged, starts) in one pass.
 
-    ``starts`` counts the rows whose first token this is, so its sum over all tokens is the number
-    of rows and the table need not be counted separately. Rows without a field have a NULL token;
-    with ``known`` they fail the query, as other tokens do.
+    Rows are counted per text of the field first, and only the different texts are taken apart, so the rows are
+    not multiplied by their tokens. ``starts`` counts the rows whose first token this is, so its sum over all
+    tokens is the number of rows and the table need not be counted separately. Rows without a field have a NULL
+    token; with ``known`` they fail the query, as other tokens do.
     """
-    at = F.posexplode_outer(token_array(field, delimiter)).alias("_at", "token")
-    exploded = df.select(*keys, is_flagged(flag).alias("_yes"), at)
+    texts = (
+        df.select(*keys, is_flagged(flag).alias("_yes"), F.col(field).alias("_text"))
+        .groupBy(*keys, "_text")
+        .agg(F.count_if("_yes").alias("flagged"), F.count_if(~F.col("_yes")).alias("unflagged"))
+    )
+    at = F.posexplode_outer(token_array("_text", delimiter)).alias("_at", "token")
+    exploded = texts.select(*keys, "flagged", "unflagged", at)
     if known is not None:
         exploded = exploded.where(_expected(known))
+    starts = F.when(F.coalesce("_at", F.lit(0)) == 0, cell_total()).otherwise(0)
     return exploded.groupBy(*keys, "token").agg(
-        F.count_if("_yes").alias("flagged"),
-        F.count_if(~F.col("_yes")).alias("unflagged"),
-        F.count_if(F.coalesce("_at", F.lit(0)) == 0).alias("starts"),
+        F.sum("flagged").alias("flagged"), F.sum("unflagged").alias("unflagged"), F.sum(starts).alias("starts")
     )
 
 

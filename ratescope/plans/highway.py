@@ -603,7 +603,12 @@ def compare_models(
         "stability": runs.metric_stability(compared),
         "fold_deltas": runs.fold_deltas(compared),
         "comparable": runs.comparable_runs(compared, ["rows", "positive_rate"]),
-        "best": runs.select_best(board),
+        "best": runs.select_best(
+            board,
+            metrics=compared,
+            stability=runs.metric_stability(compared),
+            deltas=runs.pairwise_deltas(board, pairs, [f.fold for f in folds]),
+        ),
     }
 
 
@@ -615,28 +620,28 @@ def evaluate_final(
     threshold = chosen.first()["threshold"]
     model = models.refit_all_development(table, development, RECIPE, fit, path, FLAG, PERIOD)
     held = settle(models.score_holdout(path, table, final, threshold, ["id"], FLAG, PERIOD))
-    measures = ["average_precision", "roc_auc", "brier_score"]
 
     def metrics(predictions: DataFrame) -> DataFrame:
         curve = scores.score_curve(scores.score_cells(predictions, FLAG))
         return scores.probability_metrics(curve)
 
-    pooled = runs.long_metrics(metrics(out_of_fold), measures).withColumn(
-        "reference", F.lit("pooled_out_of_fold")
+    by_fold = scores.fold_metrics(out_of_fold, FLAG, by=["fold"]).withColumn("run", F.lit("chosen"))
+    thresholds = scores.threshold_table(
+        out_of_fold, {"selected": threshold, "reference": 0.5}, FLAG, "score", ["selected"], PERIOD
     )
+    frozen = scores.threshold_table(held, {"frozen": threshold}, FLAG, "score", (), PERIOD)
     final_metrics = metrics(held)
     out = {
         "threshold": chosen,
-        "thresholds": scores.threshold_table(
-            out_of_fold, {"selected": threshold, "reference": 0.5}, FLAG, "score", ["selected"], PERIOD
-        ),
+        "thresholds": thresholds,
         "final_metrics": final_metrics,
-        "final_threshold": scores.threshold_table(
-            held, {"frozen": threshold}, FLAG, "score", (), PERIOD
-        ),
+        "final_threshold": frozen,
         "calibration": scores.calibration_table(held, FLAG),
-        "development_vs_final": runs.development_vs_final(
-            pooled, runs.long_metrics(final_metrics, measures)
+        "development_vs_final": runs.development_comparison(
+            runs.run_summary(by_fold),
+            thresholds.where(F.col(PERIOD).isNull() & (F.col("threshold_role") == "selected")),
+            final_metrics,
+            frozen,
         ),
         "outcomes": scores.outcome_profile(held, FLAG),
         "predictions": held,

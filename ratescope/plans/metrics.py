@@ -288,6 +288,52 @@ def select_best(spark, folder):
     return _round(runs.select_best(board), "ap_mean")
 
 
+PUBLISHED = """p AS (SELECT run, count(*) AS folds, avg(average_precision) AS ap_mean, avg(roc_auc) AS mean_roc_auc,
+  avg(brier_score) AS mean_brier_score FROM m WHERE run <> 'coarse' OR fold > 1 GROUP BY run)"""
+
+
+@query(
+    "summary_agreement",
+    f"""WITH {ALL_RUNS}, {SUMMARY}, {PUBLISHED} """
+    + " UNION ALL ".join(
+        f"SELECT run, '{c}' AS measure, round(p.{c}, 9) AS published, round(s.{c}, 9) AS derived, abs(p.{c} - s.{c}) <= 1e-12 AS agrees FROM p JOIN s USING (run)"
+        for c in ("folds", "ap_mean", "mean_roc_auc", "mean_brier_score")
+    ),
+)
+def summary_agreement(spark, folder):
+    """Published summaries, one of which leaves out a fold, against the fold rows."""
+    metrics = run_metrics(spark, folder)
+    partly = runs.run_summary(metrics.where("run <> 'coarse' OR fold > 1"))
+    published = partly.select("run", "folds", "ap_mean", "mean_roc_auc", "mean_brier_score")
+    return _round(runs.summary_agreement(published, metrics), "published", "derived")
+
+
+@query(
+    "development_comparison",
+    f"""WITH {ALL_RUNS}, {SUMMARY}, o AS (SELECT {_confusion_sql('score >= CAST(0.41 AS DOUBLE)')} FROM oof),
+f AS (SELECT {_confusion_sql('score >= CAST(0.41 AS DOUBLE)')} FROM sc WHERE period = 2001),
+final AS (SELECT average_precision, roc_auc, brier_score FROM m WHERE run = 'plain' AND fold = 1),
+chosen AS (SELECT * FROM s WHERE run = 'plain'),
+j AS (SELECT 'average_precision' AS metric, 'fold_mean' AS reference, ap_mean AS development_value, average_precision AS final_value FROM chosen, final
+  UNION ALL SELECT 'average_precision', 'last_fold', ap_last_fold, average_precision FROM chosen, final
+  UNION ALL SELECT 'roc_auc', 'fold_mean', mean_roc_auc, roc_auc FROM chosen, final
+  UNION ALL SELECT 'brier_score', 'fold_mean', mean_brier_score, brier_score FROM chosen, final
+  UNION ALL SELECT 'precision', 'pooled_out_of_fold', o.precision, f.precision FROM o, f
+  UNION ALL SELECT 'recall', 'pooled_out_of_fold', o.recall, f.recall FROM o, f
+  UNION ALL SELECT 'f1', 'pooled_out_of_fold', o.f1, f.f1 FROM o, f)
+SELECT metric, reference, round(development_value, 6) AS development_value, round(final_value, 6) AS final_value,
+  round(final_value - development_value, 6) AS delta FROM j""",
+)
+def development_comparison(spark, folder):
+    """The plain run against the final period at a frozen threshold; its first fold's measures stand for the final ones."""
+    metrics = run_metrics(spark, folder)
+    summary = runs.run_summary(metrics).where("run = 'plain'")
+    decisions = scores.threshold_table(oof(spark, folder), {"frozen": 0.41})
+    final = scores.threshold_table(score_table(spark, folder).where("period = 2001"), {"frozen": 0.41})
+    out = runs.development_comparison(summary, decisions, metrics.where("run = 'plain' AND fold = 1"), final)
+    return out.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("development_value", "final_value", "delta")})
+
+
 @query(
     "development_vs_final",
     f"""WITH {SC}, dev AS (SELECT 'pooled' AS x, * FROM sc WHERE period <= 2000), fin AS (SELECT * FROM sc WHERE period = 2001),

@@ -172,7 +172,7 @@ def test_modelling(spark, df):
     assert sum(r["rows"] for r in out["outcomes"].collect()) == final_rows
     assert out["contribution_errors"].first()["maximum_error"] < 1e-6
     assert sum(r["share"] for r in out["predictors"].collect()) == pytest.approx(1.0)
-    assert out["development_vs_final"].count() == 3
+    assert out["development_vs_final"].count() == 7
     folder = scratch_path(spark, "tables")
     hw.write_tables({"metrics": out["final_metrics"], "calibration": out["calibration"]}, folder)
     assert spark.read.option("header", True).csv(f"{folder}/calibration").count() == out["calibration"].count()
