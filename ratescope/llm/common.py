@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +31,21 @@ def sorted_distinct(values: np.ndarray) -> np.ndarray:
     return ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])] if len(ordered) else ordered
 
 
+def in_pieces(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows with about ``most_bytes`` of text in a column; a longer text is alone.
+
+    What a worker makes from a piece is then bounded by bytes, not by the number of rows in a batch.
+    """
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        row = 0
+        while row < len(ends):
+            before = int(ends[row - 1]) if row else 0
+            upto = max(row + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
+            yield batch.slice(row, upto - row)
+            row = upto
+
+
 def unused_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratescope.llm.common import ranks_within, text_of
+from ratescope.llm.common import in_pieces, ranks_within, text_of
 from ratescope.runtime import settle
 
 
@@ -26,12 +26,13 @@ class WordTokens(dict):
 
     For tokenizers that drop white space and never merge across it, the ids of a text are those of
     its words. So a distinct word is tokenized once and a text is put together by look-ups. A comma or
-    full stop after a letter is a token of its own and looked up apart. Of a word of Latin letters alone
+    full stop after a letter is a token of its own and looked up apart, unless the letter's lower case ends in a mark (as
+    that of the dotted capital I does), which would join the stop. Of a word of Latin letters alone
     (to U+00FF) the tokenizer's preparation changes the case only, so it is looked up in lower case and its
     merges are asked for directly. At ``most_words`` words the table starts anew.
     """
 
-    def __init__(self, vocabulary: str, most_words: int = 500_000):
+    def __init__(self, vocabulary: str, most_words: int = 50_000):
         super().__init__()
         from tokenizers import Tokenizer
 
@@ -40,7 +41,7 @@ class WordTokens(dict):
         self.most_words = most_words
 
     def __missing__(self, word: str) -> bytes:
-        if word[-1:] in (",", ".") and word[-2:-1].isalpha():
+        if word[-1:] in (",", ".") and word[-2:-1].isalpha() and word[-2].lower()[-1].isalpha():
             ids = self[word[:-1]] + self[word[-1]]
         elif word.isalpha() and max(word) <= "\xff":
             small = word.lower()
@@ -84,7 +85,7 @@ def token_pieces(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = word_tokens(vocabulary)
-        for batch in batches:
+        for batch in in_pieces(batches, 2):
             places, pieces, starts, lengths, sums = [], [], [], [], []
             for place, text in enumerate(batch.column(2)):
                 ids = tokens.ids(text.as_py()) + end

@@ -12,6 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from ratescope.llm import exact, mixing, packing, shards
+from ratescope.llm.common import in_pieces
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, run int, size long, best string, id long"
 LONG = "wörd, Word. " * 9000
@@ -142,6 +143,28 @@ def test_word_tokens_are_the_tokenizers():
         assert tokens.ids(text) == np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), text
 
 
+def test_random_words_have_the_tokenizers_ids():
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    tokens = packing.WordTokens(VOCABULARY)
+    rng = np.random.default_rng(17)
+    letters = [*"abcIiEstzĞİıŞßéÀÿªº", "ﬁ", "Ω", "ſ", "Ǆ", "ŉ", "\u0307", "\u0301", "日", "я", "𝐀", *".,.,-'’!?0123 \t\n"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(letters, int(rng.integers(1, 9))))
+        assert tokens.ids(text) == np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), repr(text)
+    for text in ("İ.", "TÜRKİYE TARİHİ. son", "İ,"):
+        assert tokens.ids(text) == np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), text
+
+
+@pytest.mark.parametrize("most", [1, 7, 1000])
+def test_pieces_are_all_rows_in_order(most):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(["", None, "abc", "x" * 50, "", "é", "y"])], names=["k", "t"])
+    pieces = list(in_pieces(iter([batch, batch.slice(0, 0), batch.slice(2, 3)]), 1, most))
+    assert [k for p in pieces for k in p.column(0).to_pylist()] == [*range(7), 2, 3, 4]
+    assert all(p.num_rows == 1 or sum(len((t or "").encode()) for t in p.column(1).to_pylist()) <= most for p in pieces)
+
+
 @pytest.mark.parametrize("capacity", [64, 4096])
 def test_pack(docs, none, capacity):
     tokenizer = Tokenizer.from_file(VOCABULARY)
