@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratescope.llm.common import sorted_distinct, spread_join, with_row_numbers
+from ratescope.llm.common import in_pieces, sorted_distinct, spread_join, with_row_numbers
 from ratescope.llm.components import components
 from ratescope.runtime import settle
 
@@ -54,6 +54,8 @@ def set_name(shingles: np.ndarray) -> int:
 
 #: Rows of the counting table that travel together.
 CHUNK = 4096
+#: Names of sets that a task remembers, so as not to send a set twice.
+MOST_SEEN = 200_000
 
 
 def bitmap_of(shingles: np.ndarray) -> np.ndarray:
@@ -86,7 +88,7 @@ def _sets_and_counts(docs: DataFrame, width: int, bits: int) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, kind = np.zeros(1 << bits, dtype=np.int64), id_type
-        for batch in batches:
+        for batch in in_pieces(batches, 2):
             kind = batch.schema.field(0).type
             sets = [shingle_set(t.as_py(), width) for t in batch.column(2)]
             n = len(sets)
@@ -155,7 +157,7 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, width: int, bits: int, percen
     order of all shingles, they then share one of the first b - ceil(percent / 100 * b) + 1 of the larger
     and of the first a - ceil(2 percent / (100 + percent) * a) + 1 of the smaller set (``short``). The
     order is by counter, so shingles of passages that many texts share come last. A set is sent once per
-    task. ``salts`` deals very frequent shingles over several tasks.
+    task, or again when the task has met MOST_SEEN others. ``salts`` deals very frequent shingles over several tasks.
     """
     schema = T.StructType([T.StructField(n, t) for n, t in (("shingle", T.LongType()), ("salt", T.IntegerType()), ("salts", T.IntegerType()), ("set", T.LongType()), ("size", T.IntegerType()), ("short", T.BooleanType()))])
     usual = int(counts.mean())
@@ -163,8 +165,10 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, width: int, bits: int, percen
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = rank.value, set()
-        for batch in batches:
+        for batch in in_pieces(batches, 0):
             found, names, sizes, shorts = [], [], [], []
+            if len(seen) > MOST_SEEN:
+                seen.clear()
             for text in batch.column(0):
                 s = shingle_set(text.as_py(), width)
                 n = len(s)
@@ -204,7 +208,7 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, width: int, bits: int, percen
 
 def _set_arrays(docs: DataFrame, width: int) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches, 0):
             sets = [shingle_set(t.as_py(), width) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([set_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set", "shingles"]
