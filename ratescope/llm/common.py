@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ from ratescope.runtime import settle
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: The session's limit for Arrow batches; 64 MB by Spark's own default.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +47,21 @@ def in_pieces(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int =
             upto = max(row + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
             yield batch.slice(row, upto - row)
             row = upto
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on after its task, beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def small_batches(spark: SparkSession, most_bytes: int = 8 << 20) -> None:
+    """Let Arrow batches on the way to Python hold at most so many bytes (a longer row is alone), unless the session has a limit of its own."""
+    if spark.conf.get(BATCH_BYTES) == "67108864b":
+        spark.conf.set(BATCH_BYTES, str(most_bytes))
 
 
 def unused_name(df: DataFrame, name: str) -> str:

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratescope.llm.common import in_pieces, ranks_within, text_of
+from ratescope.llm.common import in_pieces, ranks_within, small_batches, text_of
 from ratescope.runtime import settle
 
 
@@ -21,46 +24,56 @@ PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in PRINTED)}
 
 
+#: Letters, digits and marks up to U+024F but the dotted capital I: lower case goes letter by letter there, and nothing composes.
+SIMPLE = re.compile("[!-\u012f\u0131-\u024f]+")
+#: What the tokenizer takes for the pieces of a word.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+
 class WordTokens(dict):
     """Words and their token ids, as little-endian unsigned 32-bit numbers; filled as words are met.
 
     For tokenizers that drop white space and never merge across it, the ids of a text are those of
-    its words. So a distinct word is tokenized once and a text is put together by look-ups. A comma or
-    full stop after a letter is a token of its own and looked up apart, unless the letter's lower case ends in a mark (as
-    that of the dotted capital I does), which would join the stop. Of a word of Latin letters alone
-    (to U+00FF) the tokenizer's preparation changes the case only, so it is looked up in lower case and its
-    merges are asked for directly. At ``most_words`` words the table starts anew.
+    its words. So a word is tokenized once and a text is put together by look-ups. Of simple words
+    (see ``SIMPLE``) the tokenizer's preparation changes the case only, so their pieces' merges are asked for
+    directly, half the work. With ``most_words`` / 2 words the table starts anew; the one before stays at hand
+    until then, so words that come often are not forgotten.
     """
 
-    def __init__(self, vocabulary: str, most_words: int = 500_000):
+    def __init__(self, vocabulary: str, most_words: int = 320_000):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.merges = self.tokenizer.model
+        self.older: dict[str, bytes] = {}
         self.most_words = most_words
 
     def __missing__(self, word: str) -> bytes:
-        if word[-1:] in (",", ".") and word[-2:-1].isalpha() and word[-2].lower()[-1].isalpha():
-            ids = self[word[:-1]] + self[word[-1]]
-        elif word.isalpha() and max(word) <= "\xff":
-            small = word.lower()
-            if small == word:
-                letters = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
-                ids = np.array([t.id for t in self.merges.tokenize(letters)], dtype="<u4").tobytes()
-            else:
-                ids = self[small]
-        else:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self) >= self.most_words:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self._encode(word)
+        if 2 * len(self) >= self.most_words:
+            self.older = self.copy()
             self.clear()
         self[word] = ids
         return ids
 
+    def _encode(self, word: str) -> bytes:
+        if not SIMPLE.fullmatch(word) or "<|" in word:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        small, ids = word.lower(), []
+        for piece in [small] if small.isalpha() else PIECES.findall(small):
+            letters = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(BYTE_LETTERS)
+            ids += [t.id for t in self.merges.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def ids(self, text: str) -> bytes:
         # split() also splits at these four, which the tokenizers take for symbols
-        plain = not any(c in text for c in "\x1c\x1d\x1e\x1f")
-        return b"".join(map(self.__getitem__, text.split() if plain else text.split(" ")))
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return b"".join(map(self._encode, text.split(" ")))
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 _TOKENS: dict[str, WordTokens] = {}
@@ -77,6 +90,7 @@ def token_pieces(
     docs: DataFrame, vocabulary: str, capacity: int, end_id: int, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """(id, row, piece, start, length, ids_crc32): each text's ids and ``end_id``, cut where they exceed ``capacity``."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_column).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_column).alias("text"))
     source = source.select("id", "row", text_of("text").alias("text"))
     fields = [("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType())]

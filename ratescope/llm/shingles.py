@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratescope.llm.common import in_pieces, sorted_distinct, spread_join, with_row_numbers
+from ratescope.llm.common import give_back, in_pieces, small_batches, sorted_distinct, spread_join, with_row_numbers
 from ratescope.llm.components import components
 from ratescope.runtime import settle
 
@@ -290,6 +290,7 @@ def _linked(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
                 x, y = (np.frombuffer(v.as_buffer(), dtype="<u8") for v in (x, y))
                 good.append(_shared(x, y) >= _needed(len(x), len(y), percent))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+        give_back()
 
     a = arrays.select(F.col("set").alias("a"), F.col("shingles").alias("x"))
     b = arrays.select(F.col("set").alias("b"), F.col("shingles").alias("y"))
@@ -331,6 +332,7 @@ def jaccard_components(
     Null and empty texts have no shingles and link with nothing: their component is their own id.
     A null id is smallest only if its whole component has no other. Repeated rows are copies.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     first = settle(_sets_and_counts(source, width, bits))
     rows = first.where(F.col("n_shingles").isNotNull()).select("id", "part", "n_shingles", "set")
