@@ -46,6 +46,18 @@ TEMPLATES = {
         "You should have received a copy of the GNU General Public License along with this program.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
+    "lgpl": [
+        "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+    ],
+    "agpl": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ],
     "mpl-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "If a copy of the MPL was not distributed with this file, You can obtain one at mozilla.org/MPL/2.0.",
@@ -251,6 +263,18 @@ def _training_rows(spark: SparkSession, background: DataFrame, copies: int, seed
     return notices.union(other)
 
 
+def _telling(rows: DataFrame, terms: int) -> list[int]:
+    """The counters by which the families differ most (chi-square over the rows of each), in order; at least one."""
+    classes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("of_label"))
+    cells = rows.select("label", F.explode("counters").alias("counter")).groupBy("counter", "label").agg(F.count(F.lit(1)).alias("n"))
+    total = rows.count()
+    hit, rest = F.sum("n"), total - F.sum("n")
+    spread = F.sum(F.col("n") * F.col("n") / F.col("of_label")) * total / hit - hit
+    chi = F.when(rest > 0, spread * total / rest).otherwise(0.0)
+    best = cells.join(classes, "label").groupBy("counter").agg(chi.alias("chi")).orderBy(F.desc("chi"), "counter").limit(terms)
+    return sorted(r["counter"] for r in best.collect()) or [0]
+
+
 def fit_licences(
     docs: DataFrame,
     text_column: str = "text",
@@ -260,26 +284,39 @@ def fit_licences(
     most_texts: int = 2000,
     most_background: int = 4000,
     buckets: int = 1 << 15,
+    terms: int = 4096,
+    fit_tasks: int = 8,
     penalty: float = 1e-4,
     seed: int = 7,
 ) -> LicenceModel:
     """Train on varied templates and on a bounded sample of the corpus (see ``background_paragraphs``).
 
     The sample has at most ``most_background`` paragraphs of ``most_texts`` texts. The model is a multinomial logistic regression over
-    hashed word n-grams. On the held-out fifth a temperature is chosen by likelihood, and the least
+    the ``terms`` hashed word n-grams that tell the families apart best, so that what a task sends to the driver in each
+    step is small; ``fit_tasks`` tasks hold the bounded training rows. On the held-out fifth a temperature is chosen by likelihood, and the least
     probability of a family is the lowest of those from 0.5 to 0.95 that are right most often, background being unknown.
     """
     background = settle(background_paragraphs(docs, text_column, most_words, step, most_texts, most_background, seed))
 
+    @F.udf("array<int>")
+    def counted(text: str) -> list[int]:
+        return _hashed([text], buckets)[1].tolist()
+
+    varied = _training_rows(docs.sparkSession, background, copies, seed).select("label", "text", counted("text").alias("counters"), "held")
+    rows = settle(varied.coalesce(fit_tasks))
+    train = rows.where(~F.col("held"))
+    chosen = _telling(train, terms)
+    places = {counter: k for k, counter in enumerate(chosen)}
+
     @F.udf(VectorUDT())
-    def features(text: str) -> SparseVector:
-        counters = _hashed([text], buckets)[1]
-        return SparseVector(buckets, counters, np.ones(len(counters)))
+    def features(counters: list[int]) -> SparseVector:
+        mine = [places[c] for c in counters if c in places]
+        return SparseVector(len(places), mine, np.ones(len(mine)))
 
-    rows = settle(_training_rows(docs.sparkSession, background, copies, seed).select("label", "text", features("text").alias("features"), "held"))
     regression = LogisticRegression(family="multinomial", regParam=penalty, elasticNetParam=0.0, maxIter=40)
-    model = regression.fit(rows.where(~F.col("held")))
-    weights, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    model = regression.fit(settle(train.select("label", features("counters").alias("features")).coalesce(fit_tasks)))
+    weights, bias = np.zeros((len(model.interceptVector), buckets)), model.interceptVector.toArray()
+    weights[:, chosen] = model.coefficientMatrix.toArray()
     held = rows.where("held").select("label", "text").collect()
     if not held:
         return LicenceModel(weights, bias, 1.0, 0.5)
@@ -307,7 +344,8 @@ def scan_licences(
 
     Every line is classified, long ones in overlapping windows, and so are the windows of paragraphs that wrap over
     several lines (see ``pieces``); where a line is found, windows that cover it are not found as the same family again. A prediction is kept if a template of its family agrees:
-    at least the share ``agree`` of the template's word pairs occurs. Null and empty texts have no paragraphs; a
+    at least the share ``agree`` of the template's word pairs occurs; where a template of another
+    family agrees better, as the Lesser licence's with a notice of its own, that family is reported. Null and empty texts have no paragraphs; a
     notice that occurs in several rows is found in each. No row is found twice but by overlapping windows.
     """
     model = fit_licences(docs, text_column, most_words, step, **settings)
@@ -328,7 +366,9 @@ def scan_licences(
             found = []
             for k in np.flatnonzero(families):
                 family = FAMILIES[families[k]]
-                share = agreement(texts[k], templates[family])
+                shares = {name: agreement(texts[k], grams) for name, grams in templates.items()}
+                family = max(shares, key=lambda name: (shares[name], name == family))
+                share = shares[family]
                 if share < agree:
                     continue
                 _, _, _, row, first, last = places[k]

@@ -184,6 +184,15 @@ def test_licences(spark):
     assert got == {(3, "mit"), (4, "apache-2.0"), (5, "gpl")}
 
 
+def test_related_licences(spark):
+    notice = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation."
+    names = ["General Public License", "Lesser General Public License", "Affero General Public License"]
+    rows = [(k, filler(k)) for k in range(60)] + [(100 + k, f"{filler(k)}\n{notice.format(name)}\n{filler(k + 1)}") for k, name in enumerate(names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["family"]) for r in licenses.scan_licences(docs, copies=30).collect()}
+    assert got == {(100, "gpl"), (101, "lgpl"), (102, "agpl")}
+
+
 def test_licences_odd_rows(spark):
     notice = "Released under the MIT License."
     rows = [(None, None, "x", 1), ("a", "", "y", 2), ("a", notice, "z", 3), ("a", notice, "z", 3)]
