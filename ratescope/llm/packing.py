@@ -36,11 +36,12 @@ class WordTokens(dict):
     For tokenizers that drop white space and never merge across it, the ids of a text are those of
     its words. So a word is tokenized once and a text is put together by look-ups. Of simple words
     (see ``SIMPLE``) the tokenizer's preparation changes the case only, so their pieces' merges are asked for
-    directly, half the work. With ``most_words`` / 2 words the table starts anew; the one before stays at hand
+    directly, half the work, and once for all cases of their letters. A comma or full stop after a letter is a token of
+    its own and looked up apart, unless the letter's lower case ends in a mark, which would join the stop. With ``most_words`` / 2 words the table starts anew; the one before stays at hand
     until then, so words that come often are not forgotten.
     """
 
-    def __init__(self, vocabulary: str, most_words: int = 320_000):
+    def __init__(self, vocabulary: str, most_words: int = 600_000):
         super().__init__()
         from tokenizers import Tokenizer
 
@@ -52,7 +53,12 @@ class WordTokens(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            ids = self._encode(word)
+            if word[-1:] in (",", ".") and word[-2:-1].isalpha() and word[-2].lower()[-1].isalpha():
+                ids = self[word[:-1]] + self[word[-1]]
+            elif SIMPLE.fullmatch(word) and word != (small := word.lower()) and "<|" not in word:
+                ids = self[small]
+            else:
+                ids = self._encode(word)
         if 2 * len(self) >= self.most_words:
             self.older = self.copy()
             self.clear()
