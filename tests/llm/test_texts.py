@@ -187,6 +187,7 @@ def test_licences(spark):
 def test_related_licences(spark):
     notice = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation."
     names = ["General Public License", "Lesser General Public License", "Affero General Public License"]
+    filler = lambda k: f"Notes of day {k} on rivers, bridges and the {k * 7 % 13} markets of the old town."
     rows = [(k, filler(k)) for k in range(60)] + [(100 + k, f"{filler(k)}\n{notice.format(name)}\n{filler(k + 1)}") for k, name in enumerate(names)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r["doc_id"], r["family"]) for r in licenses.scan_licences(docs, copies=30).collect()}
