@@ -49,6 +49,7 @@ TEMPLATES = {
     "lgpl": [
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
         "You should have received a copy of the GNU Lesser General Public License along with this library.",
         "SPDX-License-Identifier: LGPL-2.1-or-later",
     ],
