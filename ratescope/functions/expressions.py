@@ -6,8 +6,9 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from itertools import chain
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A literal map is planned into every task, so its size has to stay small.
 MAX_LITERAL_MAP = 1_000
@@ -176,6 +177,50 @@ def order_rank(order: Sequence, value: str | Column, what: str = "category") ->
     return map_strict({v: i for i, v in enumerate(order)}, value, what)
 
 
+# --- whole values and rows -------------------------------------------------------------------
+
+_NESTED = (T.ArrayType, T.MapType, T.StructType)
+
+
+def text_of(df: DataFrame, name: str) -> Column:
+    """The value of any type as text: equal values give equal text, different ones different text; NULL stays NULL.
+
+    Times go by their instant, because local times repeat when clocks are set back. Both zeros are one.
+    """
+    kind = df.schema[name].dataType
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return (F.col(name).cast("double") + F.lit(0.0)).cast("string")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(name).cast("string")
+    if isinstance(kind, T.BinaryType):
+        return F.hex(name)
+    if isinstance(kind, _NESTED):
+        return F.to_json(name, {"ignoreNullFields": "false"})
+    return F.col(name).cast("string")
+
+
+def row_hash(df: DataFrame, names: Sequence[str], salt: int = 0) -> Column:
+    """64-bit hash of a row's values. Other salts give other hashes of the same row.
+
+    Spark's hash passes over NULLs, so that a value and a NULL could change places unseen; the hash
+    therefore also covers which columns are NULL.
+    """
+    gaps = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in names])
+    values = [text_of(df, c) if isinstance(df.schema[c].dataType, _NESTED) else F.col(c) for c in names]
+    return F.xxhash64(F.lit(salt), gaps, *values)
+
+
+def row_bytes(df: DataFrame, names: Sequence[str]) -> Column:
+    """About how many bytes a row's values take uncompressed: lengths of texts, 8 for any other value."""
+    sizes = []
+    for c in names:
+        kind = df.schema[c].dataType
+        long = isinstance(kind, (T.StringType, T.BinaryType, *_NESTED))
+        value = text_of(df, c) if isinstance(kind, _NESTED) else F.col(c)
+        sizes.append(F.coalesce(F.octet_length(value), F.lit(0)) if long else F.lit(8))
+    return reduce(lambda a, b: a + b, sizes, F.lit(0).cast("bigint"))
+
+
 # --- calendar --------------------------------------------------------------------------------
 
 # English labels used when the caller gives none.

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratescope.functions import in_unit_interval, is_flagged, month_number, percent
+from ratescope.functions import in_unit_interval, is_flagged, month_number, percent, row_hash, text_of
 
 
 @dataclass(frozen=True)
@@ -163,35 +163,83 @@ def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     )
 
 
-def _per_column(df: DataFrame, measures: Mapping[str, Mapping[str, Column]]) -> DataFrame:
-    """One aggregation, then one row per column; ``measures`` maps column → name → aggregate."""
-    flat = [m.alias(f"c{i}_{n}") for i, ms in enumerate(measures.values()) for n, m in ms.items()]
+def cardinality_sketches(
+    df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
+) -> DataFrame:
+    """(by…, column, rows, null_count, sketch): one mergeable sketch of the distinct values per column.
+
+    One scan, and per group one row per column. Stored per period, the sketches answer any set of periods through
+    ``merged_cardinality`` without reading the table again.
+    """
+    per_group = df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[F.count_if(F.col(c).isNull()).alias(f"_n{i}") for i, c in enumerate(columns)],
+        # Sketches pass over empty texts, so that none may be empty.
+        *[F.hll_sketch_agg(F.concat(F.lit("="), text_of(df, c))).alias(f"_s{i}") for i, c in enumerate(columns)],
+    )
     rows = F.array(
         *[
-            F.struct(F.lit(c).alias("column"), *[F.col(f"c{i}_{n}").alias(n) for n in ms])
-            for i, (c, ms) in enumerate(measures.items())
+            F.struct(
+                F.lit(c).alias("column"),
+                F.col("_rows").alias("rows"),
+                F.col(f"_n{i}").alias("null_count"),
+                F.col(f"_s{i}").alias("sketch"),
+            )
+            for i, c in enumerate(columns)
         ]
     )
-    return df.agg(*flat).select(F.inline(rows))
+    return per_group.select(*by, F.inline(rows))
 
 
-def _distinct(column: str, approximate: bool) -> Column:
-    return F.approx_count_distinct(column) if approximate else F.count_distinct(F.col(column))
+def merged_cardinality(sketches: DataFrame) -> DataFrame:
+    """(column, rows, null_count, distinct_non_null) from stored sketches, distinct values within about 2%."""
+    return sketches.groupBy("column").agg(
+        F.sum("rows").alias("rows"),
+        F.sum("null_count").alias("null_count"),
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_non_null"),
+    )
+
+
+def _column_counts(df: DataFrame, columns: Sequence[str], approximate: bool) -> DataFrame:
+    """(at, column, rows, null_count, distinct_non_null); ``at`` is the column's place in the list.
+
+    Exact counts come from (column, value) cells, aggregated before they are shuffled. A table without rows gives zeros.
+    """
+    names = list(columns)
+    if approximate:
+        places = F.array(*[F.lit(c) for c in names])
+        found = merged_cardinality(cardinality_sketches(df, names))
+        return found.withColumn("at", F.array_position(places, F.col("column")).cast("int") - 1)
+    pairs = F.array(
+        *[F.struct(F.lit(i).alias("at"), text_of(df, c).alias("value")) for i, c in enumerate(names)]
+    )
+    measures = ("rows", "null_count", "distinct_non_null")
+    found = (
+        df.select(F.inline(pairs))
+        .groupBy("at", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("at")
+        .agg(
+            F.sum("n").alias("rows"),
+            F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("null_count"),
+            F.count("value").alias("distinct_non_null"),
+        )
+        .agg(F.map_from_entries(F.collect_list(F.struct("at", F.struct(*measures)))).alias("found"))
+    )
+    listed = found.select("found", F.posexplode(F.array(*[F.lit(c) for c in names])).alias("at", "column"))
+    mine = F.try_element_at("found", F.col("at"))
+    return listed.select(
+        "at", "column", *[F.coalesce(mine[m], F.lit(0).cast("bigint")).alias(m) for m in measures]
+    )
 
 
 def category_cardinality(
     df: DataFrame, columns: Sequence[str], approximate: bool = False
 ) -> DataFrame:
     """Distinct values per column; NULL counts as a value."""
-    return _per_column(
-        df,
-        {
-            c: {
-                "distinct_values": _distinct(c, approximate)
-                + F.max(F.when(F.col(c).isNull(), 1).otherwise(0))
-            }
-            for c in columns
-        },
+    null_value = F.when(F.col("null_count") > 0, 1).otherwise(0)
+    return _column_counts(df, columns, approximate).select(
+        "column", (F.col("distinct_non_null") + null_value).alias("distinct_values")
     )
 
 
@@ -199,35 +247,21 @@ def cardinality_table(
     df: DataFrame, columns: Sequence[str], approximate: bool = False
 ) -> DataFrame:
     """Distinct non-NULL values and NULLs per column."""
-    return _per_column(
-        df,
-        {
-            c: {
-                "distinct_non_null": _distinct(c, approximate),
-                "null_count": F.count_if(F.col(c).isNull()),
-            }
-            for c in columns
-        },
-    )
+    return _column_counts(df, columns, approximate).select("column", "distinct_non_null", "null_count")
 
 
 def data_quality_table(
     df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False
 ) -> DataFrame:
-    """Type, NULLs, NULL percentage and distinct non-NULL values per column."""
+    """Type, NULLs, NULL percentage (NULL for a table without rows) and distinct non-NULL values per column."""
     names = list(columns or df.columns)
-    nulls = {c: F.count_if(F.col(c).isNull()) for c in names}
-    return _per_column(
-        df,
-        {
-            c: {
-                "dtype": F.lit(df.schema[c].dataType.simpleString()),
-                "null_count": nulls[c],
-                "null_percent": percent(nulls[c], F.count(F.lit(1))),
-                "distinct_non_null": _distinct(c, approximate),
-            }
-            for c in names
-        },
+    types = F.array(*[F.lit(df.schema[c].dataType.simpleString()) for c in names])
+    return _column_counts(df, names, approximate).select(
+        "column",
+        F.get(types, F.col("at")).alias("dtype"),
+        "null_count",
+        F.when(F.col("rows") > 0, percent("null_count", "rows")).alias("null_percent"),
+        "distinct_non_null",
     )
 
 
@@ -291,9 +325,45 @@ def distinct_tokens(df: DataFrame, field: str, delimiter: str = ";") -> DataFram
 # --- comparing tables ------------------------------------------------------------------------
 
 
-def same_content(left: DataFrame, right: DataFrame) -> DataFrame:
+#: Differing buckets of at most so many rows are compared row by row without looking for smaller buckets first.
+FEW_ROWS = 1_000_000
+#: Bits of the bucket numbers at the first and the second level; so many digests reach the driver at most.
+LEVELS = (8, 16)
+
+
+def _both(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of both tables, with 1 in ``_l`` or ``_r``."""
+    return left.withColumns({"_l": F.lit(1), "_r": F.lit(0)}).unionByName(
+        right.withColumns({"_l": F.lit(0), "_r": F.lit(1)})
+    )
+
+
+def _digests(tagged: DataFrame, names: Sequence[str], by: Sequence[str | Column]) -> DataFrame:
+    """Rows of both sides per group, and whether the sums of their row hashes differ.
+
+    Sums take no notice of row order and count repeated rows. They are of two independent hashes of 64 bits, so that
+    different groups look equal with a probability of about 2**-128.
+    """
+
+    def difference(salt: int) -> Column:
+        hashed = row_hash(tagged, names, salt).cast("decimal(28,0)")
+        return F.sum(F.when(F.col("_l") == 1, hashed).otherwise(-hashed))
+
+    left, right = F.sum("_l"), F.sum("_r")
+    return tagged.groupBy(*by).agg(
+        left.alias("left_rows"),
+        right.alias("right_rows"),
+        ((left != right) | (difference(0) != 0) | (difference(1) != 0)).alias("differs"),
+    )
+
+
+def same_content(left: DataFrame, right: DataFrame, few_rows: int = FEW_ROWS) -> DataFrame:
     """One row: schema equality and the rows found on one side only, duplicates counted.
 
+    Rows fall into buckets by their hash, and buckets are compared by digests first: equal tables are scanned once and no row
+    is shuffled. Where buckets of more than ``few_rows`` rows differ, smaller buckets inside them follow. Only the rows of
+    buckets that still differ are compared one by one.
+
     Row order is not a property of a Spark table and is not compared. Tables with different column
     names share no row.
     """
@@ -310,23 +380,50 @@ def same_content(left: DataFrame, right: DataFrame) -> DataFrame:
             F.col("left_rows").alias("only_left"),
             F.col("right_rows").alias("only_right"),
         )
-    tagged = left.select(*names, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(
-        right.select(*names, F.lit(0).alias("_l"), F.lit(1).alias("_r"))
-    )
+    rest, totals = _both(left, right), None
+    for bits in LEVELS:
+        bucket = row_hash(rest, names).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint")).alias("_bucket")
+        found = _digests(rest, names, [bucket]).collect()
+        totals = totals or (sum(r["left_rows"] for r in found), sum(r["right_rows"] for r in found))
+        differing = [r for r in found if r["differs"]]
+        if not differing:
+            rest = rest.where(F.lit(False))
+        elif len(differing) < len(found):
+            buckets = left.sparkSession.createDataFrame([(r["_bucket"],) for r in differing], "_bucket bigint")
+            # At most one row per bucket of this level.
+            rest = rest.withColumn("_bucket", bucket).join(F.broadcast(buckets), "_bucket").drop("_bucket")
+        if sum(r["left_rows"] + r["right_rows"] for r in differing) <= few_rows:
+            break
     extra = F.col("l") - F.col("r")
+    only_left, only_right = F.sum(F.when(extra > 0, extra)), F.sum(F.when(extra < 0, -extra))
     return (
-        tagged.groupBy(*names)
+        rest.groupBy(*names)
         .agg(F.sum("_l").alias("l"), F.sum("_r").alias("r"))
-        .agg(
+        .agg(only_left.alias("a"), only_right.alias("b"))
+        .select(
             F.lit(same_schema).alias("same_schema"),
-            F.sum("l").alias("left_rows"),
-            F.sum("r").alias("right_rows"),
-            F.sum(F.when(extra > 0, extra).otherwise(0)).alias("only_left"),
-            F.sum(F.when(extra < 0, -extra).otherwise(0)).alias("only_right"),
+            F.lit(totals[0]).cast("bigint").alias("left_rows"),
+            F.lit(totals[1]).cast("bigint").alias("right_rows"),
+            F.coalesce("a", F.lit(0)).cast("bigint").alias("only_left"),
+            F.coalesce("b", F.lit(0)).cast("bigint").alias("only_right"),
         )
     )
 
 
+def compare_groups(left: DataFrame, right: DataFrame, by: str | Sequence[str]) -> DataFrame:
+    """(by…, left_rows, right_rows, same): which groups, such as periods, hold the same rows in both tables.
+
+    Both tables are scanned once and only digests are shuffled. NULL is a group like any other. Tables with
+    different column names are refused.
+    """
+    names = left.columns
+    if sorted(names) != sorted(right.columns):
+        raise ValueError("the tables have different columns")
+    keys = [by] if isinstance(by, str) else list(by)
+    found = _digests(_both(left, right), names, keys)
+    return found.select(*keys, "left_rows", "right_rows", (~F.col("differs")).alias("same"))
+
+
 def dataset_fingerprint(
     df: DataFrame, key_id: str, flag: str = "flag", period: str = "period"
 ) -> DataFrame:
@@ -335,7 +432,7 @@ def dataset_fingerprint(
     The hash adds up per-row hashes, so it depends neither on row order nor on partitioning.
     """
     nulls = sum((F.col(c).isNull().cast("int") for c in df.columns), F.lit(0))
-    row_hash = F.xxhash64(*[F.col(c) for c in df.columns]).cast("decimal(20,0)")
+    hashed = row_hash(df, df.columns).cast("decimal(28,0)")
     return df.agg(
         F.count(F.lit(1)).alias("rows"),
         F.lit(len(df.columns)).alias("columns"),
@@ -345,7 +442,7 @@ def dataset_fingerprint(
         F.count_if(is_flagged(flag)).alias("flagged"),
         F.count_distinct(key_id).alias("distinct_ids"),
         F.sum(nulls).alias("null_cells"),
-        F.sum(row_hash).cast("string").alias("content_hash"),
+        F.sum(hashed).cast("string").alias("content_hash"),
     )
 
 

@@ -11,7 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratescope.operators.rates import as_list
+from ratescope.functions import all_present
+from ratescope.operators.rates import as_list, cell_total
 
 # List length and minimum sample of a rate ranking.
 RANKING_SIZE = 15
@@ -126,6 +127,33 @@ def eligible_counts(
     return out
 
 
+def eligible_from_cells(
+    cells: DataFrame,
+    thresholds: Sequence[int] = (100, 500, 1000),
+    excluded: Mapping[str, Sequence[str]] | None = None,
+) -> DataFrame:
+    """``eligible_counts`` of all dimensions of ``rates.dimension_cells``, so the table is scanned once.
+
+    ``excluded`` names categories per dimension, as text, that are not counted. A NULL category fails the query.
+    """
+    counted = F.lit(True)
+    for dimension, values in (excluded or {}).items():
+        counted = counted & ~((F.col("dimension") == dimension) & F.col("category").isin(*values))
+    totals = cells.where(all_present(["category"])).groupBy("dimension", "category").agg(
+        F.sum(cell_total()).alias("total")
+    )
+    found = totals.groupBy("dimension").agg(
+        *[F.count_if(counted & (F.col("total") >= t)).alias(f"n{i}") for i, t in enumerate(thresholds)]
+    )
+    rows = F.array(
+        *[
+            F.struct(F.lit(t).alias("minimum_rows"), F.col(f"n{i}").alias("eligible_categories"))
+            for i, t in enumerate(thresholds)
+        ]
+    )
+    return found.select("dimension", F.inline(rows))
+
+
 def minimum_rank(df: DataFrame, criteria: Mapping[str, tuple[str, str]]) -> DataFrame:
     """Competition ranks of a small result table (a row per run, a row per feature).
 

@@ -260,6 +260,17 @@ def stability(
     return reduce(DataFrame.unionByName, parts)
 
 
+def stability_from_cells(cells: DataFrame, period: str = "period") -> DataFrame:
+    """``stability`` of all dimensions of ``dimension_cells``, so the table is scanned once.
+
+    A NULL category fails the query.
+    """
+    table = cells.where(all_present(["category"])).withColumns(
+        {"total": cell_total(), "rate_percent": percent("flagged", cell_total())}
+    )
+    return rate_spread(table, ["dimension", "category"], period).drop("total")
+
+
 def calendar_days(periods: DataFrame, period: str = "period") -> DataFrame:
     """Days of each month summed over the distinct years, leap years included."""
     return (

@@ -272,6 +272,40 @@ def dataset_fingerprint(spark, folder):
     return dq.dataset_fingerprint(gaps(spark, folder), "o_orderkey").drop("content_hash")
 
 
+@query(
+    "compare_groups",
+    f"""WITH {GAPS}, a AS (SELECT o_orderkey, period, flag, priority, lat FROM gaps),
+b AS (SELECT o_orderkey, period, flag, priority, CASE WHEN period % 3 = 0 AND o_custkey % 97 = 0 THEN NULL ELSE lat END AS lat
+  FROM gaps WHERE period <> 1998),
+x AS (SELECT * FROM a EXCEPT ALL SELECT * FROM b UNION ALL (SELECT * FROM b EXCEPT ALL SELECT * FROM a))
+SELECT period, count(*) AS left_rows, (SELECT count(*) FROM b WHERE b.period = a.period) AS right_rows,
+  period NOT IN (SELECT period FROM x) AS same FROM a GROUP BY period""",
+)
+def compare_groups(spark, folder):
+    """Orders against a version with other NULLs in some years and one year left out."""
+    names = ["o_orderkey", "period", "flag", "priority", "lat"]
+    rows = gaps(spark, folder)
+    lost = (F.col("period") % 3 == 0) & (F.col("o_custkey") % 97 == 0)
+    other = rows.where("period <> 1998").withColumn("lat", F.when(~lost, F.col("lat")))
+    return dq.compare_groups(rows.select(*names), other.select(*names), "period")
+
+
+@query(
+    "cardinality_sketches",
+    f"WITH {GAPS} "
+    + " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", period, count(*) AS rows, count(*) - count({c}) AS null_count,
+  count(DISTINCT {c}) AS distinct_non_null FROM gaps GROUP BY period"""
+        for c in ("priority", "status", "lat")
+    ),
+)
+def cardinality_sketches(spark, folder):
+    """Sketches of few distinct values hold them all, so their estimates are the counts."""
+    sketches = dq.cardinality_sketches(gaps(spark, folder), ["priority", "status", "lat"], ["period"])
+    estimate = F.hll_sketch_estimate("sketch").alias("distinct_non_null")
+    return sketches.select("column", "period", "rows", "null_count", estimate)
+
+
 @query("content_hash")
 def content_hash(spark, folder):
     """Equal for the same rows in another order and partitioning."""

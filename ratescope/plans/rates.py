@@ -127,13 +127,8 @@ SELECT 'return flag' AS dimension, l_returnflag AS category, {SPREAD} FROM by_pe
 UNION ALL SELECT 'line', CAST(l_linenumber AS VARCHAR), {SPREAD} FROM b2 GROUP BY 2""",
 )
 def stability(spark, folder):
-    occ = occurrences(spark, folder)
-    return rates.stability(
-        {
-            "return flag": (rates.rate_by_period(occ, "l_returnflag"), "l_returnflag"),
-            "line": (rates.rate_by_period(occ, "l_linenumber"), "l_linenumber"),
-        }
-    )
+    dimensions = {"return flag": "l_returnflag", "line": "l_linenumber"}
+    return rates.stability_from_cells(rates.dimension_cells(occurrences(spark, folder), dimensions))
 
 
 LATE = f"""{OCC}, late AS (SELECT *, CASE WHEN period < 1997 AND l_linenumber = 1 THEN 'early only'
@@ -378,9 +373,8 @@ UNION ALL SELECT 'supplier', CAST(minimum_rows AS INTEGER),
   (SELECT count(*) FROM pl WHERE total >= minimum_rows) FROM t""",
 )
 def threshold_diagnostics(spark, folder):
-    codes = rates.rate_summary(items(spark, folder), "code").where("code <> 0")
-    suppliers = rates.rate_summary(occurrences(spark, folder), "l_suppkey")
-    return ranking.eligible_counts({"code": codes, "supplier": suppliers})
+    cells = rates.dimension_cells(items(spark, folder), {"code": "code", "supplier": "l_suppkey"})
+    return ranking.eligible_from_cells(cells, excluded={"code": ["0"]})
 
 
 # --- multi-valued fields ---------------------------------------------------------------------

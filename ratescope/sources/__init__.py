@@ -1,4 +1,4 @@
-from ratescope.sources.columnar import read_columnar, scan_columns, scan_period, write_columnar
+from ratescope.sources.columnar import clustered, read_columnar, scan_columns, scan_period, write_columnar
 from ratescope.sources.delimited import (
     read_delimited_strict,
     read_periods,
@@ -8,6 +8,7 @@ from ratescope.sources.delimited import (
 from ratescope.sources.sinks import write_cube_json, write_table
 
 __all__ = [
+    "clustered",
     "read_columnar",
     "read_delimited_strict",
     "read_periods",

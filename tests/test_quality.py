@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +91,101 @@ def test_content_hash_follows_content(spark):
     assert mark(df) != mark(df.withColumn("id", F.when(F.col("id") == 3, 4).otherwise(F.col("id"))))
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def brute_difference(a, b):
+    a, b = Counter(map(tuple, a)), Counter(map(tuple, b))
+    return sum((a - b).values()), sum((b - a).values())
+
+
+@pytest.mark.parametrize("few_rows", [0, 50, 10**6])
+@pytest.mark.parametrize("changes", [0, 1, 40, 3_000])
+def test_content_by_digests_equals_brute_force(spark, few_rows, changes):
+    rng = random.Random(changes)
+    rows = [(i % 700, rng.choice(["a", "b", None]), rng.choice([0.5, None, 2.0])) for i in range(3_000)]
+    rows += [(1, "hot", 1.0)] * 1_500
+    other = list(rows)
+    for i in rng.sample(range(len(rows)), changes):
+        other[i] = (rows[i][0] + 1, None, rows[i][2]) if i % 2 else rows[0]
+    rng.shuffle(other)
+    schema = "k int, name string, x double"
+    left, right = spark.createDataFrame(rows, schema).repartition(3), spark.createDataFrame(other, schema)
+    r = dq.same_content(left, right, few_rows).first()
+    assert (r["same_schema"], r["left_rows"], r["right_rows"]) == (True, len(rows), len(other))
+    assert (r["only_left"], r["only_right"]) == brute_difference(rows, other)
+
+
+def test_equal_tables_shuffle_no_rows(spark):
+    df = spark.range(5_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("wide"))
+    done = dq.same_content(df, df.repartition(5))
+    assert "wide" not in plan_of(done) and tuple(done.first()) == (True, 5_000, 5_000, 0, 0)
+    changed = dq.same_content(df, df.where("id <> 77"), 0)
+    assert "BroadcastHashJoin" in plan_of(changed) and tuple(changed.first())[1:] == (5_000, 4_999, 1, 0)
+
+
+def test_content_of_empty_tables(spark):
+    df = spark.createDataFrame([(1,), (1,)], "x int")
+    assert tuple(dq.same_content(df.limit(0), df.limit(0)).first()) == (True, 0, 0, 0, 0)
+    assert tuple(dq.same_content(df.limit(0), df).first()) == (True, 0, 2, 0, 2)
+
+
+def test_hashes_see_moved_nulls_nested_values_and_one_zero(spark):
+    schema = "x int, y int, a array<int>, m map<string, int>, d double"
+    rows = [(1, None, [1, None], {"k": 1}, 0.0), (None, 1, [1, None], {"k": 1}, 0.0), (1, None, [None, 1], {"k": 1}, 0.0),
+            (1, None, [1, None], {"k": None}, 0.0), (1, None, [1, None], None, 0.0), (1, None, [1, None], {"k": 1}, -0.0)]
+    df = spark.createDataFrame(rows, schema)
+    for salt in (0, 1):
+        hashes = [r[0] for r in df.select(fx.row_hash(df, df.columns, salt)).collect()]
+        assert len(set(hashes)) == 5 and hashes[0] == hashes[5]
+    other = spark.createDataFrame([(1, None), (2, 2)], "x int, y int")
+    swapped = spark.createDataFrame([(None, 1), (2, 2)], "x int, y int")
+    assert dq.same_content(other, swapped).first()["only_left"] == 1
+
+
+def test_groups_that_changed(spark, rows):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y"), (None, "z"), (3, "w")], "period int, v string")
+    b = spark.createDataFrame([(1, "x"), (2, "y"), (None, "z"), (4, "w"), (2, "y"), (2, "q")], "period int, v string")
+    got = rows(dq.compare_groups(a, b.where("v <> 'q'"), "period"))
+    assert got == [(1, 2, 1, False), (2, 1, 2, False), (3, 1, 0, False), (4, 0, 1, False), (None, 1, 1, True)]
+    with pytest.raises(ValueError, match="different columns"):
+        dq.compare_groups(a, b.withColumn("w", F.lit(1)), "period")
+
+
+def test_counts_of_columns_copy_no_rows_per_column(spark):
+    schema = "i int, s string, d double, b binary, t timestamp, a array<int>"
+    values = [(1, "x", 0.0, b"\x00", None, [1]), (1, "X", -0.0, b"0", None, [1, None]), (None, "", float("nan"), None, None, [1]), (2, None, float("nan"), b"0", None, None)]
+    df = spark.createDataFrame(values, schema)
+    table = dq.data_quality_table(df)
+    assert "Expand" not in plan_of(table)
+    got = {r["column"]: (r["dtype"], r["null_count"], r["null_percent"], r["distinct_non_null"]) for r in table.collect()}
+    assert got == {
+        "i": ("int", 1, 25.0, 2), "s": ("string", 1, 25.0, 3), "d": ("double", 0, 0.0, 2), "b": ("binary", 1, 25.0, 2),
+        "t": ("timestamp", 4, 100.0, 0), "a": ("array<int>", 1, 25.0, 2),
+    }
+    near = {r["column"]: tuple(r)[1:] for r in dq.data_quality_table(df, approximate=True).collect()}
+    assert near == got
+    for approximate in (False, True):
+        nothing = dq.data_quality_table(df.limit(0), ["i", "s"], approximate).orderBy("column").collect()
+        assert [tuple(r) for r in nothing] == [("i", "int", 0, None, 0), ("s", "string", 0, None, 0)]
+
+
+def test_merged_sketches_equal_those_of_the_whole(spark):
+    df = spark.range(60_000).select(
+        (F.col("id") % 7).alias("period"), (F.col("id") % 11).alias("other"), (F.col("id") % 20_011).alias("k"),
+        F.when(F.col("id") % 10 != 0, F.col("id").cast("string")).alias("s"),
+    )
+    merged = [
+        {r["column"]: tuple(r) for r in dq.merged_cardinality(dq.cardinality_sketches(df, ["k", "s"], by)).collect()}
+        for by in (["period"], ["other"], ["period", "other"])
+    ]
+    assert merged[0] == merged[1] == merged[2]
+    for column, want in (("k", 20_011), ("s", 54_000)):
+        assert abs(merged[0][column][3] / want - 1) < 0.05
+    assert merged[0]["s"][1:3] == (60_000, 6_000)
+
+
 def test_prediction_checks(spark, rows):
     schema = "id int, period int, fold int, flag boolean, score double"
     source = spark.createDataFrame([(1, 2022, True), (2, 2022, False), (3, 2023, True)], "id int, period int, flag boolean")
@@ -221,6 +319,25 @@ def test_period_filter_prunes_folders_and_columns(spark):
     assert got.count() == 25
 
 
+def test_files_of_a_period_follow_from_its_bytes(spark):
+    rows = 12_000
+    half = F.when(F.col("id") % 2 == 0, 2021).when(F.col("id") % 100 == 1, None).otherwise(2022 + F.col("id") % 3)
+    df = spark.range(rows).select("id", half.cast("int").alias("period"), F.lit("x" * 20).alias("text")).repartition(7)
+    path = scratch_path(spark, "clustered")
+    sources.write_columnar(df, path, "period", bytes_per_file=36_000)  # 36 bytes a row
+    stored = spark.read.parquet(path)
+    files = stored.withColumn("f", F.input_file_name()).groupBy("period").agg(F.count_distinct("f"), F.count("*")).collect()
+    for period, number, n in files:
+        assert number == -(-n * 36 // 36_000), period
+    assert dq.same_content(df, sources.read_columnar(spark, path, df.columns)).first()["only_left"] == 0
+    assert stored.count() == rows and len(files) == 5
+    tasks = sources.clustered(df, "period", 36_000).select(F.spark_partition_id().alias("p"), "period").distinct()
+    assert tasks.groupBy("p").count().where("count > 1").count() == 0
+    assert tasks.where("period = 2021").count() == 6
+    empty = scratch_path(spark, "nothing")
+    sources.write_columnar(df.limit(0), empty, "period")
+
+
 def test_cube_json_rejects_nan(spark):
     df = spark.createDataFrame([(1.0,), (float("nan"),)], "p double")
     with pytest.raises(Exception, match="not finite"):

@@ -240,3 +240,19 @@ def test_reconciliation_finds_the_difference(df, rows):
 def test_population_table_has_a_total_row(df, rows):
     total = report.population_table(df).where("scope = 'total'").first()
     assert (total["total"], total["period"], total["share_percent"], total["change_percent"]) == (8, None, 100.0, None)
+
+
+def test_all_dimensions_from_one_scan_equal_each_alone(spark, rows):
+    data = [(2020 + i % 4, "abc"[i % 3 if i % 7 else 0], i % 5, i % 3 == 0) for i in range(400)]
+    df = spark.createDataFrame(data, "period int, kind string, code int, flag boolean")
+    cells = rates.dimension_cells(df, {"kind": "kind", "code": "code"})
+    alone = rates.stability({c: (rates.rate_by_period(df, c), c) for c in ("kind", "code")})
+    assert rows(rates.stability_from_cells(cells)) == rows(alone)
+    summaries = {"kind": rates.rate_summary(df, "kind"), "code": rates.rate_summary(df, "code").where("code <> 0")}
+    thresholds = (1, 81, 120, 10_000)
+    alone = ranking.eligible_counts(summaries, thresholds)
+    assert rows(ranking.eligible_from_cells(cells, thresholds, {"code": ["0"]})) == rows(alone)
+    broken = rates.dimension_cells(df.withColumn("kind", F.nullif("kind", F.lit("a"))), {"kind": "kind"})
+    for made in (rates.stability_from_cells(broken), ranking.eligible_from_cells(broken)):
+        with pytest.raises(Exception, match="category is NULL"):
+            made.collect()
