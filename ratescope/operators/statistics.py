@@ -21,7 +21,9 @@ from ratescope.runtime import settle
 #: Distinct values one window may hold before the values are cut into ranges.
 ROWS_PER_RANGE = 200_000
 FIRST_RANGES = 1_000
+#: Ranges made at one level; ranges that are still too large are cut again.
 MAXIMUM_RANGES = 10_000
+DEEPEST = 8
 #: Largest number of range rows that is sent to every task.
 BROADCAST_ROWS = 200_000
 
@@ -33,10 +35,12 @@ DECILES = tuple(i / 10 for i in range(1, 10))
 # --- ranges ----------------------------------------------------------------------------------
 
 
-def range_cuts(cells: DataFrame, value: str, rows_per_range: int) -> list[float]:
+def range_cuts(
+    cells: DataFrame, value: str, rows_per_range: int, maximum_ranges: int = MAXIMUM_RANGES
+) -> list[float]:
     """Inner borders of value ranges with about ``rows_per_range`` cells each.
 
-    Only these few numbers reach the driver (at most ``MAXIMUM_RANGES``), from a mergeable sketch.
+    Only these few numbers reach the driver (at most ``maximum_ranges``), from a mergeable sketch.
     The borders need not be exact: they decide how work is split, not what comes out.
     """
 
@@ -47,7 +51,7 @@ def range_cuts(cells: DataFrame, value: str, rows_per_range: int) -> list[float]
         return cells.agg(F.count(F.lit(1)).alias("cells"), cuts.alias("cuts")).first()
 
     found = sketch(FIRST_RANGES)
-    ranges = min(-(-found["cells"] // rows_per_range), MAXIMUM_RANGES)
+    ranges = min(-(-found["cells"] // rows_per_range), maximum_ranges)
     if ranges <= 1:
         return []
     cuts = found["cuts"] if ranges <= FIRST_RANGES else sketch(ranges)["cuts"]
@@ -55,15 +59,80 @@ def range_cuts(cells: DataFrame, value: str, rows_per_range: int) -> list[float]
     return sorted(set(cuts[step - 1 :: step]))
 
 
-def located(cells: DataFrame, value: str, cuts: Sequence[float]) -> DataFrame:
+def located(cells: DataFrame, value: str, cuts: Sequence[float], name: str = "_range") -> DataFrame:
     """Cells with the number of their range."""
     splits = [float("-inf"), *cuts, float("inf")]
     with_input = cells.withColumn("_x", F.col(value).cast("double"))
+    return Bucketizer(splits=splits, inputCol="_x", outputCol=name).transform(with_input).drop("_x")
+
+
+def _add_starts(
+    done: DataFrame, placed: DataFrame, by: Sequence[str], part: str, sums: Sequence[str], descending: bool
+) -> DataFrame:
+    """Adds what lies before each range of ``by`` to the totals inside the ranges."""
+    way = F.desc(part) if descending else F.asc(part)
+    before = Window.partitionBy(*by).orderBy(way).rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        placed.groupBy(*by, part)
+        .agg(*[F.sum(s).alias(f"_{s}") for s in sums])
+        .select(*by, part, *[F.coalesce(F.sum(f"_{s}").over(before), F.lit(0)).alias(f"_{s}") for s in sums])
+    )
     return (
-        Bucketizer(splits=splits, inputCol="_x", outputCol="_range").transform(with_input).drop("_x")
+        done.join(starts, [*by, part])
+        .withColumns({f"cum_{s}": F.col(f"cum_{s}") + F.col(f"_{s}") for s in sums})
+        .drop(part, *[f"_{s}" for s in sums])
     )
 
 
+def _totals_inside(
+    placed: DataFrame,
+    value: str,
+    sums: Sequence[str],
+    key: Sequence[str],
+    descending: bool,
+    rows_per_range: int,
+    maximum_ranges: int,
+    uneven: bool,
+    level: int = 1,
+) -> DataFrame:
+    """Running totals within each range ``key``, a window of its own.
+
+    Where ranges may be too large (``uneven``), those of more than twice ``rows_per_range`` cells are cut again, all by
+    the same borders: a cell's place between its range's lowest and highest value.
+    """
+    way = F.desc(value) if descending else F.asc(value)
+    upto = Window.partitionBy(*key).orderBy(way).rowsBetween(Window.unboundedPreceding, 0)
+    totals = {f"cum_{s}": F.sum(s).over(upto) for s in sums}
+    if not uneven or level > DEEPEST:
+        return placed.withColumns(totals)
+    at = F.col(value).cast("double") / 2  # halves, so that no difference overflows
+    large = settle(
+        placed.groupBy(*key)
+        .agg(F.count(F.lit(1)).alias("_cells"), F.min(at).alias("_low"), F.max(at).alias("_high"))
+        .where(F.col("_cells") > 2 * rows_per_range)
+    )
+    number = large.count()
+    if not number:
+        return placed.withColumns(totals)
+    share = F.try_divide(at - F.col("_low"), F.col("_high") - F.col("_low"))
+    again = placed.join(large, list(key)).withColumn("_share", F.coalesce(share, F.lit(0.0)))
+    cuts = range_cuts(again, "_share", rows_per_range * number, maximum_ranges)
+    if not cuts:
+        return placed.withColumns(totals)
+    part = f"_range{level}"
+    again = located(again, "_share", cuts, part).drop("_cells", "_low", "_high", "_share")
+    inside = _totals_inside(
+        again, value, sums, [*key, part], descending, rows_per_range, maximum_ranges, True, level + 1
+    )
+    small = placed.join(large.select(*key), list(key), "left_anti").withColumns(totals)
+    return small.unionByName(_add_starts(inside, again, key, part, sums, descending))
+
+
+def _may_be_uneven(cuts: Sequence[float], maximum_ranges: int) -> bool:
+    """Whether so many ranges were asked for that their number may have been held down."""
+    return len(cuts) + 1 >= maximum_ranges // 2
+
+
 def running_totals(
     cells: DataFrame,
     value: str,
@@ -71,36 +140,25 @@ def running_totals(
     by: Sequence[str] = (),
     descending: bool = False,
     rows_per_range: int = ROWS_PER_RANGE,
+    maximum_ranges: int = MAXIMUM_RANGES,
 ) -> DataFrame:
     """Adds ``cum_<s>``: the sum of ``s`` over all cells up to this one in value order within ``by``.
 
     ``cells`` has one row per (by, value); values are finite, ``by`` is never NULL. The cells
-    should be settled, because they are read more than once.
+    should be settled, because they are read more than once. With any number of cells no window holds more than
+    about twice ``rows_per_range`` of them.
     """
     by = list(by)
-    way = F.desc(value) if descending else F.asc(value)
-    cuts = range_cuts(cells, value, rows_per_range)
+    cuts = range_cuts(cells, value, rows_per_range, maximum_ranges)
     if not cuts:
-        upto = Window.partitionBy(*by).orderBy(way).rowsBetween(Window.unboundedPreceding, 0)
-        return cells.withColumns({f"cum_{s}": F.sum(s).over(upto) for s in sums})
-
-    placed = located(cells, value, cuts)
-    key = [*by, "_range"]
-    range_way = F.desc("_range") if descending else F.asc("_range")
-    before = Window.partitionBy(*by).orderBy(range_way).rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        placed.groupBy(*key)
-        .agg(*[F.sum(s).alias(f"_{s}") for s in sums])
-        .select(*key, *[F.coalesce(F.sum(f"_{s}").over(before), F.lit(0)).alias(f"_{s}") for s in sums])
-    )
+        return _totals_inside(cells, value, sums, by, descending, rows_per_range, maximum_ranges, False)
     # The window already spreads the cells by (by, range), so the join moves only the starts.
-    inside = Window.partitionBy(*key).orderBy(way).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        placed.withColumns({f"cum_{s}": F.sum(s).over(inside) for s in sums})
-        .join(starts, key)
-        .withColumns({f"cum_{s}": F.col(f"cum_{s}") + F.col(f"_{s}") for s in sums})
-        .drop("_range", *[f"_{s}" for s in sums])
+    placed = located(cells, value, cuts)
+    uneven = _may_be_uneven(cuts, maximum_ranges)
+    inside = _totals_inside(
+        placed, value, sums, [*by, "_range"], descending, rows_per_range, maximum_ranges, uneven
     )
+    return _add_starts(inside, placed, by, "_range", sums, descending)
 
 
 # --- quantiles -------------------------------------------------------------------------------
@@ -152,6 +210,7 @@ def quantile_table(
     above: str | None = None,
     rows_per_range: int = ROWS_PER_RANGE,
     measures: bool = True,
+    maximum_ranges: int = MAXIMUM_RANGES,
 ) -> DataFrame:
     """Exact quantiles of (by…, value, n) cells per group, with n, minimum, mean and maximum.
 
@@ -161,7 +220,7 @@ def quantile_table(
     """
     key = list(by)
     positions = _positions(shares, nearest)
-    cuts = range_cuts(cells, "value", rows_per_range)
+    cuts = range_cuts(cells, "value", rows_per_range, maximum_ranges)
     weight = F.sum(F.col("value") * F.col("n"))
     if cuts:
         ranges = settle(
@@ -195,13 +254,11 @@ def quantile_table(
         wanted = placed.where(wanted_here).drop("_n")
         if ranges.count() <= BROADCAST_ROWS:
             wanted = F.broadcast(wanted)
-        inside = Window.partitionBy(*key, "_range").orderBy("value")
-        upto = F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-        ranked = (
-            located(cells, "value", cuts)
-            .join(wanted, [*key, "_range"])
-            .withColumn("cum_n", upto + F.col("_start"))
-        )
+        chosen = located(cells, "value", cuts).join(wanted, [*key, "_range"])
+        uneven = _may_be_uneven(cuts, maximum_ranges)
+        ranked = _totals_inside(
+            chosen, "value", ["n"], [*key, "_range"], False, rows_per_range, maximum_ranges, uneven
+        ).withColumn("cum_n", F.col("cum_n") + F.col("_start"))
     else:
         overall = cells.groupBy(*key).agg(
             F.sum("n").alias("rows"),

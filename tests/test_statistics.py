@@ -40,6 +40,35 @@ def test_ranges_equal_one_window(spark, sample, descending):
     assert run(HOT) == run(10**9)
 
 
+@pytest.mark.parametrize("descending", [False, True])
+def test_ranges_are_cut_again_until_they_are_small(spark, monkeypatch, descending):
+    rng = random.Random(3)
+    values = {rng.choice([rng.random(), 1e-300 * rng.random(), -1e308 * rng.random(), 1e6 + rng.random()]) for _ in range(900)}
+    cells = settle(spark.createDataFrame([("g1" if i % 4 else "g2", v, i) for i, v in enumerate(sorted(values))], "g string, value double, n long"))
+    levels = []
+    inside = statistics._totals_inside
+
+    def watched(*a):
+        levels.append(a[8] if len(a) > 8 else 1)
+        return inside(*a)
+
+    monkeypatch.setattr(statistics, "_totals_inside", watched)
+    got = statistics.running_totals(cells, "value", ["n"], ["g"], descending, 20, 4).collect()
+    assert max(levels) >= 3
+    for g in ("g1", "g2"):
+        mine = sorted((r for r in got if r["g"] == g), key=lambda r: r["value"], reverse=descending)
+        total = 0
+        for r in mine:
+            total += r["n"]
+            assert r["cum_n"] == total
+    assert len(got) == len(values)
+    names = {"p10": 0.1, "median": 0.5}
+    ones = cells.withColumn("n", F.lit(1).cast("long"))
+    for r in statistics.quantile_table(ones, ["g"], names, rows_per_range=20, maximum_ranges=4).collect():
+        mine = [v for i, v in enumerate(sorted(values)) if ("g1" if i % 4 else "g2") == r["g"]]
+        assert r["median"] == pytest.approx(np.percentile(mine, 50)) and r["p10"] == pytest.approx(np.percentile(mine, 10))
+
+
 @pytest.mark.parametrize("per_range", [HOT, 10**9])
 def test_linear_quantiles_equal_numpy(sample, per_range):
     df, rows = sample
