@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
@@ -247,21 +248,31 @@ def fold_cells(
     weight: str | None = None,
 ) -> DataFrame:
     """(fold, feature, value, train, validation) from one grouping of the table, or of its combinations,
-    whose ``weight`` column says how many rows they stand for."""
-    rows = F.sum(weight) if weight else F.count(F.lit(1))
-    counts = (
-        long_values(df, features, [period, *([weight] if weight else [])])
-        .groupBy("variable", category_label("value").alias("value"), period)
-        .agg(rows.alias("n"))
+    whose ``weight`` column says how many rows they stand for.
+
+    The grouping keeps one row per value with its rows in each period; the folds are sums of these. A join by period
+    would bring everything to as many tasks as there are periods.
+    """
+    used = sorted({p for f in folds for p in (*f.train, f.validation)})
+    n = F.col(weight) if weight else F.lit(1)
+    sums = [F.coalesce(F.sum(F.when(F.col(period) == p, n)), F.lit(0)).alias(f"_{k}") for k, p in enumerate(used)]
+    per_value = (
+        long_values(df.where(F.col(period).isin(*used)), features, [period, *([weight] if weight else [])])
+        .groupBy(F.col("variable").alias("feature"), category_label("value").alias("value"))
+        .agg(*sums)
     )
 
-    def side(name):
-        return F.coalesce(F.sum(F.when(F.col("side") == name, F.col("n"))), F.lit(0)).alias(name)
+    def side(periods):
+        return reduce(Column.__add__, [F.col(f"_{used.index(p)}") for p in sorted(set(periods))], F.lit(0).cast("long"))
 
+    sides = [
+        F.struct(F.lit(f.fold).alias("fold"), side(f.train).alias("train"), side([f.validation]).alias("validation"))
+        for f in folds
+    ]
     return (
-        counts.join(fold_periods(df.sparkSession, folds, period), period)
-        .groupBy("fold", F.col("variable").alias("feature"), "value")
-        .agg(side("train"), side("validation"))
+        per_value.select("feature", "value", F.inline(F.array(*sides)))
+        .where("train > 0 OR validation > 0")
+        .select("fold", "feature", "value", "train", "validation")
     )
 
 

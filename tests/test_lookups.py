@@ -66,6 +66,19 @@ def test_combinations_give_the_rows_with_unseen_values(spark, rows):
     assert rows(plan, "fold", "train_rows", "validation_rows", "rows_with_any_unknown") == [(1, 1, 4, 3), (2, 5, 2, 1)]
 
 
+def test_folds_of_values_need_no_join(spark, rows):
+    data = [(2021, "a"), (2022, "b"), (2022, None), (2022, "b"), (2023, "c"), (2023, "a"), (2030, "d"), (None, "e")]
+    df = spark.createDataFrame(data, "period int, u string")
+    folds = [splits.Fold(1, (2021,), 2022), splits.Fold(2, (2021, 2022), 2023), splits.Fold(7, (2021, 2023), 2022)]
+    cells = features.fold_cells(df, ["u"], folds)
+    first = [(1, "u", "<NULL>", 0, 1), (1, "u", "a", 1, 0), (1, "u", "b", 0, 2)]
+    second = [(2, "u", "<NULL>", 1, 0), (2, "u", "a", 1, 1), (2, "u", "b", 2, 0), (2, "u", "c", 0, 1)]
+    third = [(7, "u", "<NULL>", 0, 1), (7, "u", "a", 2, 0), (7, "u", "b", 0, 2), (7, "u", "c", 1, 0)]
+    assert rows(cells) == sorted(first + second + third, key=repr)
+    # a join by period deals all values to as many tasks as there are periods
+    assert "Join" not in cells._jdf.queryExecution().executedPlan().toString()
+
+
 METRICS = "run string, fold int, rows long, average_precision double, roc_auc double, brier_score double"
 
 
