@@ -231,6 +231,9 @@ def check_matrix(df: DataFrame, recipe: Recipe) -> DataFrame:
 
 # --- categories unseen in training -----------------------------------------------------------
 
+#: Values with a larger share of a fold's validation rows are looked up without a shuffle; a feature has fewer than 1 / FREQUENT of them.
+FREQUENT = 0.005
+
 
 def combination_counts(df: DataFrame, features: Sequence[str], period: str = "period") -> DataFrame:
     """(period, features…, n): rows per combination of values, settled.
@@ -309,22 +312,27 @@ def rows_with_any_unknown(
 ) -> DataFrame:
     """Per fold: validation rows with at least one unseen category, each row counted once.
 
-    The different combinations of values are looked up, not the rows: each as one entry per feature, in one join with
-    the list of unseen categories. ``df`` may be the combinations already, with their ``weight``.
+    The different combinations of values are looked up, not the rows: each as one entry per feature. ``df`` may be the
+    combinations already, with their ``weight``. The few values with more than ``FREQUENT`` of a fold's rows are looked up
+    in a broadcast list, so the entries that are dealt by value for the join with the unseen ones have no large group.
     """
-    unseen = unknown_values(cells).select("fold", "feature", F.col("value").alias("label"))
     combinations = df if weight else df.groupBy(period, *features).agg(F.count(F.lit(1)).alias("n"))
     validated = fold_periods(df.sparkSession, folds, period).where("side = 'validation'")
-    marked = combinations.join(validated.select("fold", period), period)
+    marked = combinations.join(F.broadcast(validated.select("fold", period)), period)
+    key = ["fold", "feature", "label"]
+    labels = cells.where("validation > 0").withColumnRenamed("value", "label")
+    # every row has one value of each feature, so the counts of a feature add up to the rows of its fold
+    totals = labels.groupBy("fold", "feature").agg(F.sum("validation").alias("_rows"))
+    counted = labels.join(F.broadcast(totals), ["fold", "feature"])
+    frequent = counted.where(F.col("validation") > F.col("_rows") * FREQUENT).select(*key, _unseen().alias("_new"))
+    rare = counted.where(_unseen() & (F.col("validation") <= F.col("_rows") * FREQUENT)).select(*key)
     pairs = [F.struct(F.lit(c).alias("feature"), category_label(c).alias("label")) for c in features]
-    hits = (
-        marked.select("fold", F.struct(*features).alias("_combination"), F.col(weight or "n").alias("n"), F.inline(F.array(*pairs)))
-        .join(unseen, ["fold", "feature", "label"], "left_semi")
-        .select("fold", "_combination", "n")
-        .distinct()
-        .groupBy("fold")
-        .agg(F.sum("n").alias("_hit"))
+    entries = marked.select("fold", F.struct(*features).alias("_combination"), F.col(weight or "n").alias("n"), F.inline(F.array(*pairs))).join(
+        F.broadcast(frequent), key, "left"
     )
+    found = entries.where("_new").select("fold", "_combination", "n")
+    looked_up = entries.where("_new IS NULL").join(rare, key, "left_semi").select("fold", "_combination", "n")
+    hits = found.unionByName(looked_up).distinct().groupBy("fold").agg(F.sum("n").alias("_hit"))
     return (
         marked.select("fold")
         .distinct()

@@ -79,6 +79,18 @@ def test_folds_of_values_need_no_join(spark, rows):
     assert "Join" not in cells._jdf.queryExecution().executedPlan().toString()
 
 
+def test_frequent_unseen_values_are_not_dealt_by_value(spark, rows):
+    data = [(2021, "a", "w0")] * 10 + [(2022, "hot", f"w{k}") for k in range(300)] + [(2022, "a", f"w{k % 2}") for k in range(400)]
+    df = spark.createDataFrame(data, "period int, u string, w string")
+    folds = splits.expanding_folds([2021, 2022])
+    cells = features.fold_cells(df, ["u", "w"], folds)
+    found = features.rows_with_any_unknown(df, cells, ["u", "w"], folds)
+    assert rows(found) == [(1, 500)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # the frequent ones are marked by a broadcast list before the rest is joined by value; no join by period
+    assert "LeftOuter, BuildRight" in plan and "SortMergeJoin [period" not in plan
+
+
 METRICS = "run string, fold int, rows long, average_precision double, roc_auc double, brier_score double"
 
 
