@@ -114,12 +114,24 @@ class Recipe:
         return (*self.categorical, *self.numeric, *self.binary)
 
 
-def scaling(train: DataFrame, numeric: Sequence[str]) -> DataFrame:
-    """(column, mean, deviation) over the training rows, with the population deviation."""
-    flat = train.agg(
-        *[F.avg(c).alias(f"m_{c}") for c in numeric],
-        *[F.stddev_pop(c).alias(f"s_{c}") for c in numeric],
-    )
+def scaling(train: DataFrame, numeric: Sequence[str], weight: str | None = None) -> DataFrame:
+    """(column, mean, deviation) over the training rows, with the population deviation.
+
+    ``weight`` is the column that says how many rows one stands for.
+    """
+    if weight:
+        n = {c: F.when(F.col(c).isNotNull(), F.col(weight)) for c in numeric}
+        means = train.agg(F.struct(*[(F.sum(F.col(c) * n[c]) / F.sum(n[c])).alias(c) for c in numeric])).scalar()
+        gaps = train.withColumns({f"d_{c}": F.pow(F.col(c) - means[c], 2) * n[c] for c in numeric})
+        flat = gaps.agg(
+            *[(F.sum(F.col(c) * n[c]) / F.sum(n[c])).cast("double").alias(f"m_{c}") for c in numeric],
+            *[F.sqrt(F.sum(f"d_{c}") / F.sum(n[c])).alias(f"s_{c}") for c in numeric],
+        )
+    else:
+        flat = train.agg(
+            *[F.avg(c).alias(f"m_{c}") for c in numeric],
+            *[F.stddev_pop(c).alias(f"s_{c}") for c in numeric],
+        )
     rows = F.array(
         *[
             F.struct(
@@ -150,11 +162,11 @@ def standardize(df: DataFrame, train: DataFrame, numeric: Sequence[str]) -> Data
     )
 
 
-def _scaler(train: DataFrame, numeric: Sequence[str]) -> SQLTransformer:
+def _scaler(train: DataFrame, numeric: Sequence[str], weight: str | None = None) -> SQLTransformer:
     """The scaling as a pipeline stage; the fitted numbers are part of its statement, so the stage
     is saved and loaded with the pipeline."""
     terms = ["*"]
-    for row in scaling(train, numeric).collect():
+    for row in scaling(train, numeric, weight).collect():
         deviation = row["deviation"] or 1.0
         terms.append(
             f"(CAST(`{row['column']}` AS DOUBLE) - CAST('{row['mean']!r}' AS DOUBLE))"
@@ -163,7 +175,7 @@ def _scaler(train: DataFrame, numeric: Sequence[str]) -> SQLTransformer:
     return SQLTransformer(statement=f"SELECT {', '.join(terms)} FROM __THIS__")
 
 
-def recipe_stages(train: DataFrame, recipe: Recipe) -> list:
+def recipe_stages(train: DataFrame, recipe: Recipe, weight: str | None = None) -> list:
     """Stages that one-hot encode, scale and assemble, to be fitted on ``train`` only.
 
     ``handleInvalid='keep'`` gives unknown categories the last index and ``dropLast`` drops exactly
@@ -184,7 +196,7 @@ def recipe_stages(train: DataFrame, recipe: Recipe) -> list:
             OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=True),
         ]
     if recipe.numeric:
-        stages.append(_scaler(train, recipe.numeric))
+        stages.append(_scaler(train, recipe.numeric, weight))
     stages.append(
         VectorAssembler(inputCols=[*encoded, *scaled, *recipe.binary], outputCol=recipe.output)
     )

@@ -15,11 +15,18 @@ from ratescope.functions import at_least, demand
 from ratescope.operators import boosting
 from ratescope.operators.features import Recipe, recipe_stages
 from ratescope.operators.splits import Fold
+from ratescope.runtime import settle
 
 LABEL = "_label"
+WEIGHT = "_weight"
 Fit = Callable[[DataFrame, Recipe, str], PipelineModel]
 
 
+def _parts(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _fit(train: DataFrame, recipe: Recipe, flag: str, estimator) -> PipelineModel:
     """Fit the recipe, then the estimator on the encoded rows.
 
@@ -28,11 +35,20 @@ def _fit(train: DataFrame, recipe: Recipe, flag: str, estimator) -> PipelineMode
     """
     encoder = Pipeline(stages=recipe_stages(train, recipe)).fit(train)
     narrow = train.select(*recipe.predictors, F.col(flag).cast("double").alias(LABEL))
-    spark = train.sparkSession
-    parts = max(
-        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    )
-    encoded = encoder.transform(narrow.repartition(parts)).select(recipe.output, LABEL)
+    encoded = encoder.transform(narrow.repartition(_parts(train))).select(recipe.output, LABEL)
+    return PipelineModel(stages=[*encoder.stages, estimator.fit(encoded)])
+
+
+def weighted_rows(train: DataFrame, recipe: Recipe, flag: str) -> DataFrame:
+    """(predictors…, label, weight): the different training rows and how often each occurs, settled."""
+    keys = [*recipe.predictors, F.col(flag).cast("double").alias(LABEL)]
+    return settle(train.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias(WEIGHT)))
+
+
+def _fit_weighted(rows: DataFrame, recipe: Recipe, estimator) -> PipelineModel:
+    """As ``_fit``, on different rows with their weights: the table itself was read once, to count them."""
+    encoder = Pipeline(stages=recipe_stages(rows, recipe, WEIGHT)).fit(rows)
+    encoded = encoder.transform(rows.repartition(_parts(rows))).select(recipe.output, LABEL, WEIGHT)
     return PipelineModel(stages=[*encoder.stages, estimator.fit(encoded)])
 
 
@@ -46,19 +62,22 @@ def fit_logistic(
 ) -> PipelineModel:
     """L2 logistic regression with inverse regularisation ``strength``; not converging is an error.
 
-    The usual objective ½‖w‖² + C·Σloss divided by C·n is Spark's with λ = 1/(C·n).
+    The usual objective ½‖w‖² + C·Σloss divided by C·n is Spark's with λ = 1/(C·n). Equal rows enter it once, with
+    their number as weight: the sum is the same.
     """
-    rows = train.count()
+    rows = weighted_rows(train, recipe, flag)
+    total = rows.agg(F.sum(WEIGHT)).first()[0]
     estimator = LogisticRegression(
         featuresCol=recipe.output,
         labelCol=LABEL,
+        weightCol=WEIGHT,
         elasticNetParam=0.0,
-        regParam=1.0 / (strength * rows),
+        regParam=1.0 / (strength * total),
         standardization=False,
         maxIter=max_iter,
         tol=tolerance,
     )
-    model = _fit(train, recipe, flag, estimator)
+    model = _fit_weighted(rows, recipe, estimator)
     if model.stages[-1].summary.totalIterations >= max_iter:
         raise RuntimeError(f"no convergence in {max_iter} iterations")
     return model
@@ -142,9 +161,11 @@ def out_of_fold(
 ) -> DataFrame:
     """Fit on each fold's training periods, score its validation period, stack the results.
 
-    The few fits run one after another; each is a distributed job of its own.
+    The few fits run one after another; each is a distributed job of its own. What they read is derived
+    from the table once and written.
     """
-    parts = []
+    parts, columns = [], dict.fromkeys([*keep, period, flag, *recipe.predictors])
+    df = settle(df.where(F.col(period).isin(*{p for f in folds for p in (*f.train, f.validation)})).select(*columns))
     for f in folds:
         model = fit(df.where(F.col(period).isin(*f.train)), recipe, flag)
         scored = score(model, df.where(F.col(period) == f.validation), [*keep, period, flag])

@@ -13,7 +13,7 @@ from ratescope import functions as fx
 from ratescope.operators import explain, features, models, scores, splits
 from ratescope.plans.registry import query
 from ratescope.plans.tables import DEVELOPMENT, FINAL, OCC, occurrences
-from ratescope.runtime import scratch_path
+from ratescope.runtime import scratch_path, settle
 
 RECIPE = features.Recipe(
     ("l_returnflag", "l_linestatus", "month_name"), ("l_quantity",), ("late_line",)
@@ -45,6 +45,7 @@ def _validation(spark, folder):
 
 def _quality(scored, by=()):
     """Rows, and whether the score ranks better than chance and stays within 0–1."""
+    scored = settle(scored.select(*by, "flag", "score"))
     curve = scores.score_curve(scores.score_cells(scored, by=by), by)
     metrics = scores.probability_metrics(curve, by)
     spread = scored.groupBy(*by).agg(F.count_if(fx.in_unit_interval("score")).alias("in_range"))

@@ -254,3 +254,20 @@ def test_expanding_folds_follow_the_periods_found(spark, tmp_path):
     source.withColumn("l_shipdate", earlier.cast(kind)).write.parquet(f"{tmp_path}/lineitem.parquet")
     found = {tuple(r) for r in plan_splits.expanding_folds(spark, str(tmp_path)).collect()}
     assert found == {(1, "train", 1994), (1, "validation", 1996)}
+
+
+def test_equal_rows_are_fitted_once_with_their_weight(spark, monkeypatch):
+    data = [("a", float(k % 3), k % 2, k % 5 < 2) for k in range(300)] + [("b", 1.0, 0, True)] * 50
+    df = spark.createDataFrame(data, "u string, x double, z int, flag boolean")
+    recipe = features.Recipe(("u",), ("x",), ("z",))
+    seen, fit = [], models.LogisticRegression.fit
+    monkeypatch.setattr(models.LogisticRegression, "fit", lambda self, rows: seen.append(rows.count()) or fit(self, rows))
+    got = models.fit_logistic(df, recipe, tolerance=1e-9)
+    plain = models.LogisticRegression(
+        featuresCol="features", labelCol="y", regParam=1.0 / 350, standardization=False, maxIter=500, tol=1e-9
+    )
+    rows = features.fit_recipe(df, recipe).transform(df).withColumn("y", F.col("flag").cast("double"))
+    want = fit(plain, rows)
+    assert seen == [13]
+    assert list(got.stages[-1].coefficients) == pytest.approx(list(want.coefficients), abs=1e-6)
+    assert got.stages[-1].intercept == pytest.approx(want.intercept, abs=1e-6)
