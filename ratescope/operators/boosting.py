@@ -9,11 +9,13 @@ boosted models, so scoring, saving and explaining work as for any other.
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -79,21 +81,34 @@ class Tree:
 # --- binning ---------------------------------------------------------------------------------
 
 
-def feature_cuts(numbers: DataFrame, width: int, bins: int) -> list[np.ndarray]:
+def feature_cuts(numbers: DataFrame, width: int, bins: int, rows: DataFrame | None = None) -> list[np.ndarray]:
     """Per feature the borders between its bins; a row's code is the number of borders below its value.
 
     ``numbers`` has the features as array x. A scan finds the features that are only 0 and 1, which need no sketch.
     Borders lie halfway between neighbouring values of the sketch, so up to ``bins`` different values have a bin each.
+    If ``numbers`` are different rows with weights, ``rows`` are all rows: only features with more than ``bins`` values
+    are sketched, from these.
     """
     switch = F.transform("x", lambda v: F.when((v == 0) | (v == 1), F.lit(0)).otherwise(F.lit(1)))
     other = [F.max(F.get("s", F.lit(i))).alias(f"f{i}") for i in range(width)]
     found = numbers.select(switch.alias("s")).agg(*other).first()
     wide = [i for i in range(width) if found[i]]
     cuts = [np.array([0.5])] * width
+
+    def pairs(features):
+        return F.inline(F.array(*[F.struct(F.lit(i).alias("feature"), F.get("x", F.lit(i)).cast("double").alias("value")) for i in features]))
+
+    if wide and rows is not None:
+        values = settle(numbers.select(pairs(wide)).distinct())
+        few = [r["feature"] for r in values.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= bins).collect()]
+        found = values.where(F.col("feature").isin(*few)).toPandas() if few else None
+        for i in few:
+            own = np.sort(found["value"][found["feature"] == i].to_numpy())
+            cuts[i] = (own[1:] + own[:-1]) / 2
+        wide, numbers = [i for i in wide if i not in few], rows
     if wide:
-        pairs = F.inline(F.array(*[F.struct(F.lit(i).alias("feature"), F.get("x", F.lit(i)).cast("double").alias("value")) for i in wide]))
         grid = [i / bins for i in range(bins + 1)]
-        sketches = numbers.select(pairs).groupBy("feature").agg(F.percentile_approx("value", grid, 40 * bins).alias("q"))
+        sketches = numbers.select(pairs(wide)).groupBy("feature").agg(F.percentile_approx("value", grid, 40 * bins).alias("q"))
         for row in sketches.collect():
             values = np.unique(row["q"])
             cuts[row["feature"]] = (values[1:] + values[:-1])[: bins - 1] / 2
@@ -101,7 +116,7 @@ def feature_cuts(numbers: DataFrame, width: int, bins: int) -> list[np.ndarray]:
 
 
 def _blocks(numbers: DataFrame, cuts: list[np.ndarray], start: float) -> DataFrame:
-    """(block, rows, codes, labels, margins): up to BLOCK_ROWS rows each, the codes feature by feature."""
+    """(block, rows, codes, labels, margins, weights): up to BLOCK_ROWS rows each, the codes feature by feature."""
     kind = np.dtype(np.uint8) if max(len(c) for c in cuts) < 256 else np.dtype(np.uint16)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,21 +130,22 @@ def _blocks(numbers: DataFrame, cuts: list[np.ndarray], start: float) -> DataFra
                 codes = np.stack([np.searchsorted(c, x[:, i]) for i, c in enumerate(cuts)]).astype(kind)
                 labels = part.column(1).to_numpy(zero_copy_only=False).astype(np.uint8)
                 margins = np.full(part.num_rows, start)
-                columns = [[number], [part.num_rows], *[[v.tobytes()] for v in (codes, labels, margins)]]
+                weights = part.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+                columns = [[number], [part.num_rows], *[[v.tobytes()] for v in (codes, labels, margins, weights)]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), *[pa.binary()] * 3), strict=True)],
-                    names=["block", "rows", "codes", "labels", "margins"],
+                    [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)],
+                    names=["block", "rows", "codes", "labels", "margins", "weights"],
                 )
                 number += 1
 
-    return settle(numbers.mapInArrow(cut, "block long, rows long, codes binary, labels binary, margins binary"))
+    return settle(numbers.mapInArrow(cut, "block long, rows long, codes binary, labels binary, margins binary, weights binary"))
 
 
-def _read(batch: pa.RecordBatch, k: int, width: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+def _read(batch: pa.RecordBatch, k: int, width: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     block, rows = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-    raw = [np.frombuffer(batch.column(c)[k].as_buffer(), dtype=np.uint8) for c in (2, 3, 4)]
+    raw = [np.frombuffer(batch.column(c)[k].as_buffer(), dtype=np.uint8) for c in (2, 3, 4, 5)]
     codes = raw[0].view(np.uint8 if len(raw[0]) == rows * width else np.uint16).reshape(width, rows)
-    return block, codes, raw[1], raw[2].view(np.float64)
+    return block, codes, raw[1], raw[2].view(np.float64), raw[3].view(np.int64)
 
 
 def _advanced(blocks: DataFrame, trees: list[Tree], width: int) -> DataFrame:
@@ -139,7 +155,7 @@ def _advanced(blocks: DataFrame, trees: list[Tree], width: int) -> DataFrame:
         for batch in batches:
             new = []
             for k in range(batch.num_rows):
-                _, codes, _, margins = _read(batch, k, width)
+                _, codes, _, margins, _ = _read(batch, k, width)
                 new.append((margins + sum(t.values_of(codes) for t in trees)).tobytes())
             yield batch.set_column(4, "margins", pa.array(new, pa.binary()))
 
@@ -159,14 +175,15 @@ def _histograms(blocks: DataFrame, earlier: list[Tree], tree: Tree, nodes: list[
         sums = np.zeros((2, len(nodes) * cells))
         for batch in batches:
             for k in range(batch.num_rows):
-                block, codes, labels, margins = _read(batch, k, width)
-                draw = np.random.Generator(np.random.Philox(key=[s.seed, (number << 40) + block % (1 << 40)])).random(len(labels))
+                block, codes, labels, margins, weights = _read(batch, k, width)
+                # of the equal rows that one stands for, each is drawn on its own
+                drawn = np.random.Generator(np.random.Philox(key=[s.seed, (number << 40) + block % (1 << 40)])).binomial(weights, s.rows_share)
                 at = place[tree.leaves_of(codes)]
-                used = np.flatnonzero((draw < s.rows_share) & (at >= 0))
-                codes, at = codes[:, used], at[used]
+                used = np.flatnonzero((drawn > 0) & (at >= 0))
+                codes, at, drawn = codes[:, used], at[used], drawn[used]
                 margin = margins[used] + sum(t.values_of(codes) for t in earlier)
                 p = 1.0 / (1.0 + np.exp(-np.clip(margin, -700, 700)))
-                for i, weight in enumerate((p - labels[used], p * (1 - p))):
+                for i, weight in enumerate((drawn * (p - labels[used]), drawn * p * (1 - p))):
                     for f in columns:
                         cell = at * cells + offsets[f] + codes[f]
                         sums[i] += np.bincount(cell, weights=weight, minlength=sums.shape[1])
@@ -232,13 +249,18 @@ def _grown(blocks: DataFrame, earlier: list[Tree], cuts: list[np.ndarray], numbe
 # --- the model -------------------------------------------------------------------------------
 
 
-def fit_trees(encoded: DataFrame, features: str, label: str, s: Settings) -> tuple[float, list[Tree], list[np.ndarray]]:
-    """The starting margin, the trees and the features' cuts."""
-    numbers = encoded.select(vector_to_array(features).alias("x"), F.col(label).cast("double").alias("y"))
-    rows, share, width = encoded.select(F.count(F.lit(1)), F.avg(F.col(label).cast("double")), F.max(F.size(vector_to_array(features)))).first()
-    if not rows or share in (0.0, 1.0):
+def fit_trees(
+    encoded: DataFrame, features: str, label: str, s: Settings, weight: str | None = None, rows: DataFrame | None = None
+) -> tuple[float, list[Tree], list[np.ndarray]]:
+    """The starting margin, the trees and the features' cuts. ``encoded`` may be different rows with the ``weight`` of
+    each, with all ``rows`` beside them (see ``feature_cuts``)."""
+    n = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    numbers = encoded.select(vector_to_array(features).alias("x"), F.col(label).cast("double").alias("y"), n.alias("n"))
+    total, share, width = numbers.select(F.sum("n"), F.sum(F.col("y") * F.col("n")) / F.sum("n"), F.max(F.size("x"))).first()
+    if not total or share in (0.0, 1.0):
         raise ValueError("boosting needs rows of both classes")
-    cuts = feature_cuts(numbers, width, s.bins)
+    every = rows.select(vector_to_array(features).alias("x")) if weight and rows is not None else None
+    cuts = feature_cuts(numbers, width, s.bins, every)
     start = float(np.log(share / (1 - share)))
     blocks, pending, trees = _blocks(numbers, cuts, start), [], []
     for number in range(s.rounds):
@@ -299,13 +321,18 @@ class SecondOrder:
 
     ``fit`` takes rows with a vector and a label of 0 or 1. The margin starts at the logit of the positive share. The result
     depends on the seed and on how the rows are dealt over partitions; rows with the same features are
-    drawn one by one. Both classes must occur.
+    drawn one by one, also where they are one row with a ``weight``. Both classes must occur.
     """
 
     features: str
     label: str
     settings: Settings
+    weight: str | None = None
 
-    def fit(self, encoded: DataFrame) -> GBTClassificationModel:
-        start, trees, cuts = fit_trees(encoded, self.features, self.label, self.settings)
+    def fit(self, encoded: DataFrame, rows: DataFrame | None = None) -> GBTClassificationModel:
+        start, trees, cuts = fit_trees(encoded, self.features, self.label, self.settings, self.weight, rows)
         return as_spark_model(encoded.sparkSession, start, trees, cuts, self.features, self.label, self.settings)
+
+
+# Tasks get these helpers with the function itself, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

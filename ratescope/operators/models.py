@@ -125,9 +125,12 @@ def fit_boosted(
     """
     if estimator is None:
         settings = boosting.Settings(rounds, rate, depth, rows_share, columns_share, seed=seed)
-        estimator = boosting.SecondOrder(recipe.output, LABEL, settings)
-    else:
-        estimator = estimator.copy().setFeaturesCol(recipe.output).setLabelCol(LABEL)
+        rows = weighted_rows(train, recipe, flag)
+        encoder = Pipeline(stages=recipe_stages(rows, recipe, WEIGHT)).fit(rows)
+        encoded = encoder.transform(rows.repartition(_parts(rows))).select(recipe.output, LABEL, WEIGHT)
+        trees = boosting.SecondOrder(recipe.output, LABEL, settings, WEIGHT).fit(encoded, encoder.transform(train))
+        return PipelineModel(stages=[*encoder.stages, trees])
+    estimator = estimator.copy().setFeaturesCol(recipe.output).setLabelCol(LABEL)
     return _fit(train, recipe, flag, estimator)
 
 

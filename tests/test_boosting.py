@@ -115,3 +115,18 @@ def test_many_values_are_binned_and_few_are_not(spark):
 def test_one_class_is_an_error(spark):
     with pytest.raises(ValueError, match="both classes"):
         boosting.SecondOrder("features", "label", Settings(rounds=1)).fit(frame(spark, np.zeros((3, 1)), [1, 1, 1]))
+
+
+def test_weights_stand_for_equal_rows(spark):
+    x = np.array([[k % 7, k % 3] for k in range(42)], dtype=float)
+    y = np.array([int(k % 7 > 3 or k % 5 == 0) for k in range(42)])
+    n = [1 + k % 4 for k in range(42)]
+    each = frame(spark, np.repeat(x, n, axis=0), np.repeat(y, n))
+    data = [(Vectors.dense(v), float(c), k) for v, c, k in zip(x, y, n, strict=True)]
+    once = spark.createDataFrame(data, ["features", "label", "n"])
+    s = Settings(rounds=3, rate=0.3, depth=3, rows_share=1.0, columns_share=1.0)
+    a, b = boosting.fit_trees(each, "features", "label", s), boosting.fit_trees(once, "features", "label", s, "n", each)
+    assert a[0] == pytest.approx(b[0])
+    for p, q in zip(a[1], b[1], strict=True):
+        assert (p.feature, p.code) == (q.feature, q.code)
+        assert p.value == pytest.approx(q.value) and p.cover == pytest.approx(q.cover)
