@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and returns what it keeps; ``run`` writes that as Parquet to the
 shared folder and hands the written table to the next one. All stages but the last return the columns
-they were given.
+they were given. From the second on they tell rows apart by their place in the written table, of which they make no copy.
 """
 
 from __future__ import annotations
@@ -26,17 +26,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
-    return exact.drop_exact_duplicates(docs, keep="largest")
+    return exact.drop_exact_duplicates(docs, keep="largest", written=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by shingles the one with the smallest doc_id stays."""
-    return shingles.drop_near_duplicates(docs)
+    return shingles.drop_near_duplicates(docs, written=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each source gives its target of words: documents are repeated, cut or left out."""
-    return mixing.mix(docs)
+    return mixing.mix(docs, written=True)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

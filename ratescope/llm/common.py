@@ -72,14 +72,23 @@ def unused_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def with_row_numbers(df: DataFrame) -> tuple[DataFrame, str]:
-    """A settled copy of ``df`` in which every row has a number of its own, and that column's name.
+def with_row_numbers(df: DataFrame, written: bool = False) -> tuple[DataFrame, str]:
+    """``df`` with a number of its own for every row, and that column's name.
 
-    The number is written with the row, so later jobs and repeated tasks all see the same one. It
-    tells rows apart whose ids are null or repeated.
+    Later jobs and repeated tasks all see the same number. It tells rows apart whose ids are null or
+    repeated. By default it is written with a copy of the rows. ``written`` says that ``df`` is a Parquet table as
+    read, so that each row of its files is one row: the number is then made of the file, counted
+    in order of the paths, and the row's place in it, and nothing is copied.
     """
     name = unused_name(df, "row")
-    return settle(df.withColumn(name, F.monotonically_increasing_id())), name
+    if not written:
+        return settle(df.withColumn(name, F.monotonically_increasing_id())), name
+    about, path, file = df.metadataColumn("_metadata"), unused_name(df, f"{name}_path"), unused_name(df, f"{name}_file")
+    paths = sorted(r[0] for r in df.select(about["file_path"]).distinct().collect())
+    files = df.sparkSession.createDataFrame(list(enumerate(paths)), f"{file} long, {path} string")
+    placed = df.select("*", about["file_path"].alias(path), about["row_index"].alias(name))
+    number = F.shiftleft(file, 40) + F.col(name)
+    return placed.join(F.broadcast(files), path).withColumn(name, number).select(*df.columns, name), name
 
 
 def ranks_within(df: DataFrame, keys: list[str], order: list[str], name: str, split: Column, parts: int) -> DataFrame:

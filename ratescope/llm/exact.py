@@ -78,13 +78,16 @@ def exact_duplicates(
     )
 
 
-def drop_exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep: str = "smallest") -> DataFrame:
+def drop_exact_duplicates(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep: str = "smallest", written: bool = False
+) -> DataFrame:
     """``docs`` with one row of each text, all columns unchanged.
 
-    The numbered copy gives every row a name, so rows with null or repeated ids are told apart. The
-    list of rows to drop is settled: Spark knows its size and broadcasts it only where it is small.
+    Numbers give every row a name, so rows with null or repeated ids are told apart; they need no copy of a
+    ``written`` table (see ``with_row_numbers``). The list of rows to drop is settled: Spark knows its size and
+    broadcasts it only where it is small.
     """
-    numbered, row = with_row_numbers(docs)
+    numbered, row = with_row_numbers(docs, written)
     found = exact_duplicates(numbered, id_column, text_column, keep, row_column=row)
     dropped = settle(found.where(~F.col("kept")).select(F.col("row").alias(row)))
     return numbered.join(dropped, row, "left_anti").select(*docs.columns)

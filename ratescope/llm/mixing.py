@@ -162,14 +162,16 @@ def mix_plan(
     ).withColumnRenamed("id", id_column)
 
 
-def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **settings) -> DataFrame:
+def mix(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", written: bool = False, **settings
+) -> DataFrame:
     """``docs`` as the mix takes them: every row as often as it is taken whole, then its cut part.
 
     The cut part keeps the taken words in their order, joined by single spaces; it occurs only at
     the ends of a shard's run. Rows of which nothing is taken go. Columns stay as they are,
-    so one that counts the text still counts the whole.
+    so one that counts the text still counts the whole. A ``written`` table is not copied (see ``with_row_numbers``).
     """
-    numbered, row = with_row_numbers(docs)
+    numbered, row = with_row_numbers(docs, written)
     plan = mix_plan(numbered, id_column, text_column, source_column, row_column=row, **settings).withColumnRenamed("row", row)
     plan = plan.where("size > 0 and (times > 0 or extra > 0)").select(row, F.struct("size", "times", "first", "extra").alias(f"{row}plan"))
     p = F.col(f"{row}plan")

@@ -442,9 +442,12 @@ def jaccard_components(
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **settings) -> DataFrame:
-    """``docs`` with one row of each component, the one with the smallest id, all columns unchanged."""
-    numbered, row = with_row_numbers(docs)
+def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", written: bool = False, **settings) -> DataFrame:
+    """``docs`` with one row of each component, the one with the smallest id, all columns unchanged.
+
+    A ``written`` table is not copied (see ``with_row_numbers``).
+    """
+    numbered, row = with_row_numbers(docs, written)
     found = jaccard_components(numbered.select(F.col(row).alias("at"), F.col(text_column).alias("text")), "at", "text", **settings)
     linked = settle(found.where("n_shingles > 0").select("at", "component_id"))
     groups = linked.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")

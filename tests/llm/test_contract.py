@@ -6,6 +6,7 @@ import re
 
 import __spark_entry__ as contract
 import corpus_pipeline
+from ratescope.llm import common, exact, mixing, shingles
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -16,6 +17,17 @@ def test_thirteen_operators_and_the_pipeline_are_registered():
     assert contract.queries()["pipeline"] is corpus_pipeline.run
 
 
+def test_stages_make_no_copy_of_the_texts(spark, tmp_path, monkeypatch):
+    source, copied = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(60), []
+    source.write.parquet(f"{tmp_path}/docs")
+    for module in (common, exact, mixing, shingles):
+        monkeypatch.setattr(module, "settle", lambda df, of=module.settle: copied.append(df.columns) or of(df))
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("exact_dedup", "jaccard_join", "mix_sources"):
+            assert stage(spark, spark.read.parquet(f"{tmp_path}/docs"), FOLDER).count() > 0
+    assert len(copied) > 3 and not any("text" in c for c in copied)
+
+
 def test_stages_keep_columns_and_take_effect(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     columns, counts = docs.columns, [docs.count()]

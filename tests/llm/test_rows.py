@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from ratescope.llm import exact, mixing, packing, shards
+from ratescope.llm import common, exact, mixing, packing, shards, shingles
 from ratescope.llm.common import in_pieces
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, run int, size long, best string, id long"
@@ -54,6 +54,26 @@ def test_drop_exact_duplicates_keeps_columns(docs, none):
     assert exact.drop_exact_duplicates(none).count() == 0
 
 
+def test_written_rows_are_numbered_without_a_copy(spark, docs, none, tmp_path, monkeypatch):
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs.where("doc_id = 3").coalesce(1).write.mode("append").parquet(f"{tmp_path}/docs")
+    written, copied = spark.read.parquet(f"{tmp_path}/docs"), []
+    for module in (common, exact, mixing, shingles):
+        monkeypatch.setattr(module, "settle", lambda df, of=module.settle: copied.append(df.columns) or of(df))
+    numbered, row = common.with_row_numbers(written, written=True)
+    first, again = (Counter(tuple(r) for r in x.collect()) for x in (numbered, numbered.repartition(3)))
+    assert first == again and row == "row_" and len({r[row] for r in numbered.collect()}) == len(ROWS) + 1
+    for step in (lambda d, **s: exact.drop_exact_duplicates(d, keep="largest", **s), shingles.drop_near_duplicates, mixing.mix):
+        got = step(written, written=True)
+        assert got.columns == docs.columns
+        texts = Counter(r["text"] for r in got.collect())
+        assert copied and not any("text" in c for c in copied)
+        assert texts == Counter(r["text"] for r in step(written).collect())
+        copied.clear()
+    none.write.parquet(f"{tmp_path}/none")
+    assert mixing.mix(spark.read.parquet(f"{tmp_path}/none"), written=True).count() == 0
+
+
 def water_filled(sizes, weights, most):
     """Share by weight, fix what is above its limit, share the excess again."""
     left, fixed = set(sizes), {}
