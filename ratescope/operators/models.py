@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import json
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ratescope.functions import at_least, demand
 from ratescope.operators import boosting
 from ratescope.operators.features import Recipe, recipe_stages
 from ratescope.operators.splits import Fold
-from ratescope.runtime import settle
+from ratescope.runtime import scratch_path, settle
 
 LABEL = "_label"
 WEIGHT = "_weight"
+#: Rows from which a forest merges equal ones.
+MERGED_ROWS = 100_000
+#: Trees of a merged forest that grow at a time.
+TREES_AT_A_TIME = 4
 Fit = Callable[[DataFrame, Recipe, str], PipelineModel]
 
 
@@ -92,6 +102,13 @@ def fit_forest(
     min_leaf: int = 5,
     seed: int = 42,
 ) -> PipelineModel:
+    """Spark's random forest on bootstrapped rows.
+
+    Of a table of many rows, equal ones become one row with a weight per tree: how often this tree's bootstrap draws
+    the rows it stands for, which for n rows is a Poisson number of mean n. Each tree is then Spark's own on the different
+    rows with these weights, ``min_leaf`` counts drawn rows as ever, and the table is read once. A table
+    of few rows, or in which most rows differ, is left to Spark's forest, which draws every row by itself.
+    """
     estimator = RandomForestClassifier(
         featuresCol=recipe.output,
         labelCol=LABEL,
@@ -104,7 +121,63 @@ def fit_forest(
         maxMemoryInMB=1024,
         seed=seed,
     )
-    return _fit(train, recipe, flag, estimator)
+    rows = weighted_rows(train, recipe, flag)
+    different, total = rows.agg(F.count(F.lit(1)), F.sum(WEIGHT)).first()
+    if not total or total < max(MERGED_ROWS, 4 * different, 4 * min_leaf):
+        return _fit(train, recipe, flag, estimator)
+    encoder = Pipeline(stages=recipe_stages(rows, recipe, WEIGHT)).fit(rows)
+    drawn = [f"_drawn{t}" for t in range(trees)]
+    encoded = settle(encoder.transform(_bootstrapped(rows, drawn, seed)).select(recipe.output, LABEL, *drawn))
+    totals, path = encoded.agg(*[F.sum(c) for c in drawn]).first(), scratch_path(train.sparkSession, "forest")
+
+    def grow(t: int) -> None:
+        # half a row less, so that the product of share and total is not above min_leaf by rounding
+        own = {"weightCol": drawn[t], "seed": seed + t, "minWeightFractionPerNode": (min_leaf - 0.5) / totals[t]}
+        tree = estimator.copy().setParams(numTrees=1, bootstrap=False, minInstancesPerNode=1, **own)
+        tree.fit(encoded.select(recipe.output, LABEL, drawn[t])).write().save(f"{path}/tree-{t}")
+
+    with ThreadPool(min(TREES_AT_A_TIME, trees)) as pool:
+        pool.map(inheritable_thread_target(train.sparkSession)(grow), range(trees), chunksize=1)
+    return PipelineModel(stages=[*encoder.stages, _forest_of(train.sparkSession, path, trees)])
+
+
+def _bootstrapped(rows: DataFrame, drawn: list[str], seed: int) -> DataFrame:
+    """``rows`` with columns ``drawn``: how often each tree draws one of the equal rows that a row stands for.
+
+    The numbers follow from the seed and the row itself, so they are the same however the rows are dealt.
+    """
+    columns = rows.columns
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, weights = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_name", WEIGHT))
+            counts = np.empty((len(drawn), len(names)), dtype=np.int64)
+            for k, (name, weight) in enumerate(zip(names.view(np.uint64), weights, strict=True)):
+                counts[:, k] = np.random.Generator(np.random.Philox(key=np.array([seed, name], dtype=np.uint64))).poisson(weight, len(drawn))
+            kept = [batch.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, counts)], names=[*columns, *drawn])
+
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(c, T.LongType()) for c in drawn]])
+    name = F.xxhash64(*[c for c in columns if c != WEIGHT])
+    return rows.withColumn("_name", name).mapInArrow(draw, schema)
+
+
+def _forest_of(spark: SparkSession, path: str, trees: int) -> RandomForestClassificationModel:
+    """One model of the saved models tree-0, tree-1 … of one tree each, by Spark's saved form.
+
+    A node's rows are those drawn, as in a forest on all rows, not the different ones among them.
+    """
+    number = F.regexp_extract("_metadata.file_path", r".*/tree-(\d+)/", 1).cast("int")
+    counted = F.aggregate("nodeData.impurityStats", F.lit(0.0), lambda a, x: a + x).cast("long")
+    nodes = spark.read.parquet(f"{path}/tree-*/data")
+    nodes.select(number.alias("treeID"), F.col("nodeData").withField("rawCount", counted).alias("nodeData")).write.parquet(f"{path}/whole/data")
+    about = spark.read.parquet(f"{path}/tree-*/treesMetadata")
+    about.withColumn(about.columns[0], number).coalesce(1).write.parquet(f"{path}/whole/treesMetadata")
+    metadata = json.loads(spark.read.text(f"{path}/tree-0/metadata").first()[0])
+    metadata["paramMap"] |= {"numTrees": trees}
+    metadata |= {"numTrees": trees}
+    spark.createDataFrame([(json.dumps(metadata),)], "value string").coalesce(1).write.text(f"{path}/whole/metadata")
+    return RandomForestClassificationModel.load(f"{path}/whole")
 
 
 def fit_boosted(

@@ -271,3 +271,38 @@ def test_equal_rows_are_fitted_once_with_their_weight(spark, monkeypatch):
     assert seen == [13]
     assert list(got.stages[-1].coefficients) == pytest.approx(list(want.coefficients), abs=1e-6)
     assert got.stages[-1].intercept == pytest.approx(want.intercept, abs=1e-6)
+
+
+def test_forest_of_equal_rows_is_grown_on_different_ones(spark, monkeypatch):
+    k = F.col("id")
+    df = spark.range(40_000).select(
+        F.when(k % 7 < 3, "a").when(k % 7 < 6, "b").otherwise("c").alias("u"),
+        (k % 11).cast("double").alias("x"),
+        (k % 2).cast("int").alias("z"),
+        ((k % 11 > 6) != (F.pmod(F.xxhash64("id"), F.lit(5)) == 0)).alias("flag"),
+    )
+    df = df.union(spark.createDataFrame([("d", 3.0, 1, True)] * 3, df.schema))
+    recipe = features.Recipe(("u",), ("x",), ("z",))
+    settings = {"trees": 12, "depth": 4, "min_leaf": 30}
+    plain = models.fit_forest(df, recipe, **settings)
+    seen, fit = [], models.RandomForestClassifier.fit
+    monkeypatch.setattr(models, "MERGED_ROWS", 40_000)
+    monkeypatch.setattr(models.RandomForestClassifier, "fit", lambda self, rows: seen.append(rows.count()) or fit(self, rows))
+    got = models.fit_forest(df, recipe, **settings)
+    different = df.distinct()
+    assert seen == [different.count()] * 12
+    nodes = explain.tree_nodes(spark, got).collect()
+    roots = {r["tree"]: r["rows"] for r in nodes if r["id"] == 0}
+    # a bootstrap of n rows draws n of them but for about sqrt(n), and another number per tree
+    assert sorted(roots) == list(range(12)) and len(set(roots.values())) > 6
+    assert all(abs(n - 40_003) < 5 * 200 for n in roots.values())
+    assert min(r["rows"] for r in nodes) >= 30
+    scored = [
+        {tuple(r)[:3]: r["score"] for r in models.score(m, different, ["u", "x", "z"]).collect()} for m in (plain, got)
+    ]
+    assert scored[0].keys() == scored[1].keys()
+    assert np.mean([abs(scored[0][key] - scored[1][key]) for key in scored[0]]) < 0.05
+    again = models.fit_forest(df.repartition(3), recipe, **settings)
+    scored = {tuple(r)[:3]: r["score"] for r in models.score(again, different, ["u", "x", "z"]).collect()}
+    want = {tuple(r)[:3]: r["score"] for r in models.score(got, different, ["u", "x", "z"]).collect()}
+    assert scored == pytest.approx(want) and again.stages[-1].treeWeights == [1.0] * 12
