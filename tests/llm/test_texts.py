@@ -288,6 +288,59 @@ def test_leaf_that_does_not_split_is_final(spark):
     assert split.count() == 100 and split.where("tree = -2").count() == 100
 
 
+def test_nodes_that_fit_a_task_are_split_there(spark, monkeypatch):
+    placed, split_further = [], neighbours._split_further
+    monkeypatch.setattr(neighbours, "_split_further", lambda rows, *rest: placed.append(rows) or split_further(rows, *rest))
+    x = np.random.default_rng(12).standard_normal((3000, 16))
+    x[1500:1700] = x[:200] * 3 + 0.1
+    frame = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in neighbours.similar_vectors(frame, sample_rows=200, most_leaf=200).collect()}
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = ((y @ y.T >= 0.9) & ~np.eye(len(y), dtype=bool)).sum(axis=1)
+    assert sum(got.values()) >= 0.97 * near.sum() > 0 and all(got[k] <= near[k] for k in got)
+    # one row per tree and vector, however many leaves of 200 a tree has
+    assert placed[0].count() == 12 * 3000
+
+
+def test_vectors_are_not_shuffled_to_give_rows_their_links(spark):
+    frame = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(vectors(5, 100))], "vec_id long, embedding array<float>")
+    plan = neighbours.similar_vectors(frame)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "vector#" not in plan
+
+
+def test_leaf_in_blocks_gives_each_pair_once():
+    x = np.random.default_rng(4).standard_normal((70, 3))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = [i * 70 + j for i in range(0, 70, 2) for j in range(i + 2, 70, 2) if x[i] @ x[j] >= 0.8]
+    for most in (10, 35, 100):
+        found = np.concatenate(list(neighbours._near_within(x, np.arange(0, 70, 2), most, 0.8)))
+        assert sorted(found.tolist()) == want and len(want) > 20
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 40])
+def test_nodes_too_large_for_a_task_are_split_by_the_cluster_or_compared_in_blocks(spark, monkeypatch, rounds):
+    monkeypatch.setattr(neighbours, "TASK_LEAVES", 1)
+    x = vectors(3)
+    frame = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<float>")
+    found = neighbours.similar_vectors(frame, sample_rows=40, leaf=8, most_leaf=60, rounds=rounds).collect()
+    got = {r["vec_id"]: r["n_links"] for r in found}
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = ((y @ y.T >= 0.9) & ~np.eye(len(y), dtype=bool)).sum(axis=1)
+    assert len(got) == len(found) == len(x) and sum(got.values()) >= 0.97 * near.sum() and all(got[k] <= near[k] for k in got)
+
+
+def test_limit_holds_in_double_precision():
+    above = np.concatenate([[1.0], 0.9 + np.arange(-20, 20) * 1e-9 + 5e-10])
+    x = np.stack([above, np.sqrt(1 - above**2), np.zeros(41)], axis=1)
+    x[1::2, 1] *= -1
+    own, other = np.arange(1), np.arange(1, 41)
+    want = [j for j in range(1, 41) if above[j] >= 0.9]
+    assert neighbours._near(x, own, other, 0.9).tolist() == want and len(want) == 20
+    every = np.arange(41)
+    both = neighbours._near(x, every, every, 0.9)
+    assert both[both < 41].tolist() == want
+
+
 MIT_TEXT = """MIT License
 
 Permission is hereby granted, free of charge, to any person obtaining a copy
